@@ -79,7 +79,8 @@ def compact_money(value: Column) -> Column:
         return F.concat(F.lit("$"), F.format_string(pattern, number), F.lit(suffix))
 
     return (
-        F.when(magnitude >= 1_000_000, shown(F.round(value / 1_000_000, 1), "%.1f", "M"))
+        F.when(value.isNull(), F.lit(None).cast("string"))
+        .when(magnitude >= 1_000_000, shown(F.round(value / 1_000_000, 1), "%.1f", "M"))
         .when(magnitude >= 1_000, shown(F.round(value / 1_000, 0), "%.0f", "K"))
         .otherwise(shown(F.round(value, 0), "%,.0f", ""))
     )

@@ -50,12 +50,14 @@ def _layout(queries: DataFrame, candidates: DataFrame, within: str | None) -> tu
         buckets = F.greatest(F.lit(spread), _blocks(row_count(queries), QUERY_BLOCK))
         queries = queries.join(sizes, within).withColumn("_bucket", F.pmod(F.xxhash64(within), buckets))
         candidates = candidates.join(sizes, within).withColumn("_bucket", F.pmod(F.xxhash64(within), buckets))
-    queries = queries.withColumn("_row", F.pmod(F.xxhash64("query"), F.col("_rows"))).withColumn(
-        "_column", F.explode(F.sequence(F.lit(0), F.col("_columns") - 1))
-    )
-    candidates = candidates.withColumn("_column", F.pmod(F.xxhash64("candidate"), F.col("_columns")).cast("int")).withColumn(
-        "_row", F.explode(F.sequence(F.lit(0), F.col("_rows") - 1)).cast("long")
-    )
+    def block_of(text, blocks):
+        return F.pmod(F.xxhash64(text), F.col(blocks)).cast("int")
+
+    def every(blocks):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    queries = queries.withColumn("_row", block_of("query", "_rows")).withColumn("_column", every("_columns"))
+    candidates = candidates.withColumn("_column", block_of("candidate", "_columns")).withColumn("_row", every("_rows"))
     return queries, candidates
 
 

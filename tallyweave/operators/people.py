@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.names import normalize_name, shares_anchor, sorted_key
 from tallyweave.operators.best_match import best_match
 from tallyweave.operators.scale import last_by
+from tallyweave.session import cut_lineage
 
 # Accept a similarity outright from the first, or from the second with a shared component.
 STRONG_SIMILARITY = 80.0
@@ -104,9 +105,13 @@ def resolve_names(names: DataFrame, timesheets: DataFrame, aliases: DataFrame |
 
 
 def resolve_lines(lines: DataFrame, timesheets: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Lines with ``norm``, ``resolved`` and ``match_method`` (null / ``unresolved`` when nobody fits)."""
+    """Lines with ``norm``, ``resolved`` and ``match_method`` (null / ``unresolved`` when nobody fits).
+
+    The resolved names are written to the shared checkpoint folder: a small table whose similarity search
+    is the expensive part, and which every later stage (and every retry after a lost executor) reuses.
+    """
     lines = lines.withColumn("norm", normalize_name("contractor_name"))
-    resolved = resolve_names(lines.select("norm").distinct(), timesheets, aliases)
+    resolved = cut_lineage(resolve_names(lines.select("norm").distinct(), timesheets, aliases))
     return (
         lines.join(resolved, "norm", "left")
         .withColumn("match_method", F.coalesce("method", F.lit(UNRESOLVED)))

@@ -1,6 +1,8 @@
 """All query modules; importing this fills the registry."""
 
-from tallyweave.plans import timesheet_queries  # noqa: F401
-from tallyweave.plans.registry import ORACLES, QUERIES
+from tallyweave.plans import timesheet_queries  # noqa: F401  isort: skip
+from tallyweave.plans import matching_queries  # noqa: F401  isort: skip
+from tallyweave.plans import report_queries  # noqa: F401  isort: skip
+from tallyweave.plans.registry import MODULES, ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -14,6 +14,7 @@ from tallyweave.sources.driver_views import VIEWS, DriverTables, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+MODULES: dict[str, str] = {}
 
 
 def present(df: DataFrame) -> DataFrame:
@@ -49,6 +50,7 @@ def query(name: str, sql: str | None = None):
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = run
+        MODULES[name] = function.__module__.rpartition(".")[2]
         if sql is not None:
             ORACLES[name] = oracle_text(sql)
         return function

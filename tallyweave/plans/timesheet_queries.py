@@ -26,19 +26,19 @@ SHEET_SQL = ", ".join(f"{day_text(c)} AS {c}" if c in _DATES else c for c in SHE
            resource_id, resource_manager, investment_name, investment_manager, charge_code, task_name,
            time_sheet_status, period_start, period_finish FROM ts_groups""")
 def agg_timesheet_daily(d):
-    return ops.daily_groups(d.view("timesheet_raw"))
+    return ops.daily_groups(d.raw())
 
 
 @query("agg_timesheet_canonical", f"SELECT {SHEET_SQL} FROM timesheets")
 def agg_timesheet_canonical(d):
-    return d.timesheets().select(*SHEET)
+    return ops.import_rows(d.raw()).select(*SHEET)
 
 
 @query("agg_timesheet_canonical_summed", """
     SELECT contractor_name_normalized AS person, CAST(sum(CAST(hours AS DECIMAL(28, 6))) AS DOUBLE) AS hours
     FROM ts_keyed GROUP BY 1""")
 def agg_timesheet_canonical_summed(d):
-    rows = ops.import_rows(d.view("timesheet_raw"), dedupe="sum")
+    rows = ops.import_rows(d.raw(), dedupe="sum")
     return rows.groupBy(F.col("contractor_name_normalized").alias("person")).agg(
         F.sum(F.col("hours").cast("decimal(28,6)")).alias("hours")
     )
@@ -46,23 +46,23 @@ def agg_timesheet_canonical_summed(d):
 
 @query("agg_project_class", "SELECT project_id, capex_opex FROM project_classes")
 def agg_project_class(d):
-    return ops.project_classes(d.view("timesheet_raw"))
+    return ops.project_classes(d.raw())
 
 
 @query("agg_project_name", "SELECT project_id, project_name, capex_opex FROM project_table")
 def agg_project_name(d):
-    return ops.projects_of(d.view("timesheet_raw"))
+    return ops.projects_of(d.raw())
 
 
 @query("set_union_keys", """
     SELECT project_id FROM project_titles UNION SELECT project_id FROM project_classes""")
 def set_union_keys(d):
-    return ops.project_keys(d.view("timesheet_raw"))
+    return ops.project_keys(d.raw())
 
 
 def split_by_week(d):
     """The export as two files: the first two weeks already stored, everything imported again later."""
-    raw = d.view("timesheet_raw")
+    raw = d.raw()
     return raw.filter("period_start < '2024-01-15'"), raw.filter("period_start >= '2024-01-08'")
 
 
@@ -183,7 +183,7 @@ def agg_distinct_people(d):
 # --- scalar functions over the raw rows -------------------------------------------------------------
 @query("fn_first_last", f"SELECT row_order, {flipped('resource_name')} AS display_name FROM timesheet_raw")
 def fn_first_last(d):
-    return d.view("timesheet_raw").select("row_order", names.first_last("resource_name").alias("display_name"))
+    return d.raw().select("row_order", names.first_last("resource_name").alias("display_name"))
 
 
 @query("fn_last_first", """
@@ -201,45 +201,45 @@ def fn_last_first(d):
 
 @query("fn_normalize_name", f"SELECT id, {normalized('contractor_name')} AS norm FROM invoice_lines")
 def fn_normalize_name(d):
-    return d.view("invoice_lines").select("id", names.normalize_name("contractor_name").alias("norm"))
+    return d.invoice_lines().select("id", names.normalize_name("contractor_name").alias("norm"))
 
 
 @query("fn_sorted_key", f"SELECT id, {sorted_tokens(normalized('contractor_name'))} AS sorted_key FROM invoice_lines")
 def fn_sorted_key(d):
     key = names.sorted_key(names.normalize_name("contractor_name"))
-    return d.view("invoice_lines").select("id", key.alias("sorted_key"))
+    return d.invoice_lines().select("id", key.alias("sorted_key"))
 
 
 @query("fn_time_off", """
     SELECT row_order, coalesce(regexp_matches(lower(task_name), 'time\\s*off|\\bpto\\b'), false) AS is_time_off
     FROM timesheet_raw""")
 def fn_time_off(d):
-    return d.view("timesheet_raw").select("row_order", coding.is_time_off("task_name").alias("is_time_off"))
+    return d.raw().select("row_order", coding.is_time_off("task_name").alias("is_time_off"))
 
 
 @query("fn_posted", """
     SELECT row_order, coalesce(lower(trim(time_sheet_status)) = 'posted', false) AS is_posted FROM timesheet_raw""")
 def fn_posted(d):
-    return d.view("timesheet_raw").select("row_order", coding.is_posted("time_sheet_status").alias("is_posted"))
+    return d.raw().select("row_order", coding.is_posted("time_sheet_status").alias("is_posted"))
 
 
 @query("fn_charge_class", f"SELECT row_order, {class_of_charge('charge_code')} AS capex_opex FROM timesheet_raw")
 def fn_charge_class(d):
-    return d.view("timesheet_raw").select("row_order", coding.charge_class("charge_code").alias("capex_opex"))
+    return d.raw().select("row_order", coding.charge_class("charge_code").alias("capex_opex"))
 
 
 @query("fn_to_date", f"""
     SELECT row_order, {day_text(export_date('date_worked'))} AS worked, {day_text(export_date('period_start'))} AS starts
     FROM timesheet_raw""")
 def fn_to_date(d):
-    return d.view("timesheet_raw").select(
+    return d.raw().select(
         "row_order", dates.to_date("date_worked").alias("worked"), dates.to_date("period_start").alias("starts")
     )
 
 
 @query("fn_row_hash", "SELECT entry_order AS group_key, source_row_hash FROM ts_keyed")
 def fn_row_hash(d):
-    groups = ops.daily_groups(d.view("timesheet_raw"))
+    groups = ops.daily_groups(d.raw())
     day = dates.to_date("date_worked")
     flags = [F.col(c).cast("int").cast("string") for c in ("is_time_off", "is_posted")]
     return groups.select(
@@ -257,18 +257,23 @@ def export_headers(raw):
     return raw.select(*[F.col(c).alias(headers[c]) for c in raw.columns if c in headers])
 
 
-def exported_folder(d):
-    """Write the export as CSV files into a fresh place of the shared folder: one UTF-8 set, one Windows set."""
+def fresh_folder(d):
+    """A new place in the shared folder."""
     import uuid
 
     from tallyweave.session import shared_folder
 
-    folder = f"{shared_folder(d.spark)}/tallyweave-export-{uuid.uuid4().hex}"
-    raw = d.view("timesheet_raw").withColumn("resource_manager", F.replace("resource_manager", F.lit("a"), F.lit("á")))
-    for part, encoding in ((0, "utf-8"), (1, "windows-1252")):
+    return f"{shared_folder(d.spark)}/tallyweave-export-{uuid.uuid4().hex}"
+
+
+def exported_folder(d):
+    """Write the export as CSV files into a fresh place of the shared folder: one UTF-8 set, one Windows set."""
+    folder = fresh_folder(d)
+    raw = d.raw().withColumn("resource_manager", F.replace("resource_manager", F.lit("a"), F.lit("á")))
+    for part, encoding in ((0, "utf-8"), (1, "iso-8859-1")):
         rows = raw.filter(F.col("row_order").cast("long") % 2 == part)
         (
-            export_headers(rows).coalesce(1).write.option("header", True).option("encoding", encoding)
+            export_headers(rows).write.option("header", True).option("encoding", encoding)
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .option("emptyValue", "").csv(f"{folder}/{encoding}")
         )
@@ -286,7 +291,7 @@ def src_timesheet_csv(d):
     return files.read_timesheet_folder(d.spark, exported_folder(d) + "/*").drop("row_order")
 
 
-@query("src_newest_file", "SELECT 'windows-1252' AS folder, 'csv' AS kind")
+@query("src_newest_file", "SELECT 'iso-8859-1' AS folder, 'csv' AS kind")
 def src_newest_file(d):
     newest = files.newest_file(d.spark, exported_folder(d) + "/*")
     return newest.select(
@@ -299,7 +304,7 @@ def src_newest_file(d):
     SELECT count(resource_name) AS resource_name, count(date_worked) AS date_worked,
            count(investment_id) AS investment_id, count(hours) AS hours FROM timesheet_raw""")
 def src_required_columns(d):
-    raw = files.canonical_columns(export_headers(d.view("timesheet_raw")))
+    raw = files.canonical_columns(export_headers(d.raw()))
     return raw.agg(*[F.count(files.EXPORT_COLUMNS[c]).alias(files.EXPORT_COLUMNS[c]) for c in files.REQUIRED])
 
 
@@ -310,13 +315,13 @@ def src_required_columns(d):
            CAST(NULL AS VARCHAR) AS task_name
     FROM timesheet_raw GROUP BY ALL""")
 def src_optional_columns(d):
-    raw = d.view("timesheet_raw").select("row_order", "resource_name", "date_worked", "investment_id", "hours")
+    raw = d.raw().select("row_order", "resource_name", "date_worked", "investment_id", "hours")
     return ops.daily_groups(raw).select(*ops.GROUP_KEYS, "hours", "task_name")
 
 
 def payload(d):
-    """One nested timesheet document per event, through JSON text and the declared schema."""
-    raw = d.view("timesheet_raw")
+    """One nested timesheet document per event, written as JSON lines and read back as the source does."""
+    raw = d.raw()
     seconds = F.coalesce(F.col("hours").try_cast("double"), F.lit(0.0)) * 3600
     start = F.concat(F.date_format(dates.to_date("date_worked"), "yyyy-MM-dd"), F.lit("T00:00:00"))
     segments = F.array(
@@ -329,17 +334,17 @@ def payload(d):
         F.col("task_name").alias("taskName"), F.struct(F.col("charge_code").alias("displayValue")).alias("chargeCode"),
         F.struct(F.struct(segments.alias("segments")).alias("segmentList")).alias("actuals"),
     )
-    document = F.to_json(
-        F.struct(
+    documents = raw.select(
             F.substring("resource_id", 2, 20).alias("resourceId"), F.col("resource_name").alias("resourceName"),
             F.col("resource_manager").alias("resourceManager"),
             F.struct(F.col("time_sheet_status").alias("displayValue")).alias("status"),
             F.concat("period_start", F.lit("T00:00:00")).alias("timePeriodStart"),
             F.concat("period_finish", F.lit("T00:00:00")).alias("timePeriodFinish"),
             F.array(entry).alias("timeEntries"),
-        )
     )
-    return raw.select(F.from_json(document, files.PAYLOAD_SCHEMA).alias("doc")).select("doc.*")
+    folder = fresh_folder(d)
+    documents.write.json(folder)
+    return files.read_payload(d.spark, folder)
 
 
 PAYLOAD_ROWS = f"""

@@ -9,10 +9,15 @@ at least two of three letters, so a printed variant is closest to the name it wa
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.operators.timesheets import import_rows, projects_of
+from tallyweave.session import shared_folder
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -262,7 +267,7 @@ def needed(sql: str, views: dict[str, str] = VIEWS) -> list[str]:
 
     def visit(text: str) -> None:
         for name in views:
-            if name not in ordered and re.search(rf"(?<![\w.'{{]){name}(?![\w'])", text):
+            if name not in ordered and re.search(rf"(?<![\w.']){name}(?![\w'])", text):
                 visit(views[name])
                 if name not in ordered:
                     ordered.append(name)
@@ -281,6 +286,9 @@ def with_views(body: str, views: dict[str, str] = VIEWS) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + body
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class DriverTables:
     """The driver's parquet tables and the domain views over them, as lazy DataFrames."""
 
@@ -298,37 +306,47 @@ class DriverTables:
             provided.setdefault("timesheets", self.timesheets())
         return self.spark.sql(sql, **frames, **{k: v for k, v in provided.items() if k in used})
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, written once per session to the shared folder and read from there.
+
+        Callers of the library have their timesheets and invoices in tables; so do these queries.
+        """
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _STORED:
+            path = f"{shared_folder(self.spark)}/tallyweave-{uuid.uuid4().hex}/{name}"
+            build().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
+    def raw(self) -> DataFrame:
+        return self.stored("timesheet_raw", lambda: self.view("timesheet_raw"))
+
     def timesheets(self) -> DataFrame:
         """The export imported into an empty table."""
-        from tallyweave.operators.timesheets import import_rows
-
-        return import_rows(self.view("timesheet_raw"))
+        return self.stored("timesheets", lambda: import_rows(self.raw()))
 
     def projects(self) -> DataFrame:
-        from tallyweave.operators.timesheets import projects_of
-
-        return projects_of(self.view("timesheet_raw"))
+        return self.stored("projects", lambda: projects_of(self.raw()))
 
     def invoices(self) -> DataFrame:
-        return self.view("invoices")
+        return self.stored("invoices", lambda: self.view("invoices"))
 
     def invoice_lines(self) -> DataFrame:
-        return with_own_period(self.view("invoice_lines"))
+        return self.stored("invoice_lines", lambda: with_own_period(self.view("invoice_lines")))
 
     def aliases(self) -> DataFrame:
-        return self.view("aliases")
+        return self.stored("aliases", lambda: self.view("aliases"))
 
     def spend_invoices(self) -> DataFrame:
         extraction = F.struct(
             "method", "cost_center", F.col("offset_gl").alias("offset_gl_account"),
             F.struct(F.col("hint").alias("capex_opex")).alias("accounting_hint"),
         )
-        return self.view("spend_invoices").withColumn("raw_extraction", extraction).drop(
-            "method", "cost_center", "offset_gl", "hint"
-        )
+        invoices = self.view("spend_invoices").withColumn("raw_extraction", extraction)
+        return invoices.drop("method", "cost_center", "offset_gl", "hint")
 
     def spend_lines(self) -> DataFrame:
-        return with_own_period(self.view("spend_lines"))
+        return self.stored("spend_lines", lambda: with_own_period(self.view("spend_lines")))
 
 
 def with_own_period(lines: DataFrame) -> DataFrame:

@@ -28,7 +28,11 @@ EXPORT_COLUMNS = {
 }
 REQUIRED = ("Resource Name", "Date Worked", "Investment ID", "Time Entry Hours")
 # Encodings are tried in this order; the last one accepts any bytes.
-ENCODINGS = {"utf-8": "utf-8-sig", "windows-1252": "cp1252", "iso-8859-1": "latin-1"}
+ENCODINGS = ("utf-8", "cp1252", "iso-8859-1")
+# Windows text is read as ISO 8859-1 and the block where the two differ is translated.
+_WINDOWS_BYTES = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+_LATIN_BLOCK = "".join(map(chr, _WINDOWS_BYTES))
+_WINDOWS_BLOCK = bytes(_WINDOWS_BYTES).decode("cp1252")
 
 
 def require_columns(columns: list[str]) -> None:
@@ -64,9 +68,9 @@ def _fits(encoding: str):
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
     """``(path, modified, encoding)`` of every export under ``path``: the first encoding that decodes it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    chosen: Column = F.lit(list(ENCODINGS)[-1])
-    for name in reversed(list(ENCODINGS)[:-1]):
-        chosen = F.when(_fits(ENCODINGS[name])("content"), name).otherwise(chosen)
+    chosen: Column = F.lit(ENCODINGS[-1])
+    for name in reversed(ENCODINGS[:-1]):
+        chosen = F.when(_fits(name)("content"), name).otherwise(chosen)
     return files.select("path", F.col("modificationTime").alias("modified"), chosen.alias("encoding"))
 
 
@@ -82,8 +86,9 @@ def read_timesheet_csv(spark: SparkSession, path: str | list[str], encoding: str
 
     ``row_order`` is a text that sorts rows as they stand in their file.
     """
+    charset = "utf-8" if encoding == "utf-8" else "iso-8859-1"
     reader = (
-        spark.read.option("header", True).option("encoding", encoding)
+        spark.read.option("header", True).option("encoding", charset)
         .option("nullValue", "").option("emptyValue", "").option("inferSchema", False)
     )
     df = reader.csv(path)
@@ -94,7 +99,10 @@ def read_timesheet_csv(spark: SparkSession, path: str | list[str], encoding: str
         F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
         F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"),
     )
-    return df.select("*", order.alias("row_order"))
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    if encoding == "cp1252":
+        cells = [F.translate(c, _LATIN_BLOCK, _WINDOWS_BLOCK).alias(n) for c, n in zip(cells, df.columns)]
+    return df.select(*cells, order.alias("row_order"))
 
 
 def paths_by_encoding(files: DataFrame) -> dict[str, list[str]]:
@@ -133,6 +141,11 @@ PAYLOAD_SCHEMA = (
 RESOURCE_SCHEMA = "_internalId string, fullName string, department struct<id: string, displayValue: string>"
 
 
+def read_payload(spark: SparkSession, path: str) -> DataFrame:
+    """Nested timesheets stored as JSON lines, under the declared schema (no inference pass)."""
+    return spark.read.schema(PAYLOAD_SCHEMA).json(path)
+
+
 def period_pushdown(payload: DataFrame, resources: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """Timesheets of known resources lying wholly inside the period (containment, not overlap)."""
     if start:

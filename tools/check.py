@@ -1,6 +1,6 @@
 """Run registered queries next to their check statements and report differences.
 
-usage: python tools/check.py [sf_dir] [name-part ...]
+usage: python tools/check.py [sf_dir] [@module ...] [name-part ...]
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def cell(value):
         return "null"
     if type(value).__name__ in ("NaTType", "NAType"):
         return "null"
-    if isinstance(value, bool) or type(value).__name__ == "bool_":
+    if isinstance(value, bool) or type(value).__name__ in ("bool_", "bool"):
         return str(bool(value))
     if isinstance(value, (int, float)) or type(value).__name__.startswith(("int", "float")):
         number = float(value)
@@ -46,8 +46,12 @@ def main() -> int:
     for table in TABLES:
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
     failed = 0
+    modules = [a[1:] for a in arguments if a.startswith("@")]
+    parts = [a for a in arguments if not a.startswith("@")]
     for name, run in catalog.QUERIES.items():
-        if arguments and not any(part in name for part in arguments):
+        if modules and catalog.MODULES[name] not in modules:
+            continue
+        if parts and not any(part in name for part in parts):
             continue
         started = time.time()
         try:
