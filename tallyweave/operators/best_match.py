@@ -62,6 +62,8 @@ def _layout(queries: DataFrame, candidates: DataFrame, within: str | None) -> tu
 
 
 def _cell_search(scorer: str, cutoff: float, keep_all: bool):
+    block_type = similarity.BLOCKS[scorer]
+
     def search(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         found = []
         groups = {key: part for key, part in offered.groupby("_key", sort=False)} if len(offered) else {}
@@ -70,7 +72,7 @@ def _cell_search(scorer: str, cutoff: float, keep_all: bool):
             if options is None:
                 continue
             texts, order = options["candidate"].tolist(), options["candidate_order"].tolist()
-            block = similarity.BLOCKS[scorer](texts)
+            block = block_type(texts)
             for query in part["query"]:
                 if keep_all:
                     found += [(key, query, texts[i], score, order[i]) for i, score in block.all(query, cutoff)]

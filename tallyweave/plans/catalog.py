@@ -3,6 +3,7 @@
 from tallyweave.plans import timesheet_queries  # noqa: F401  isort: skip
 from tallyweave.plans import matching_queries  # noqa: F401  isort: skip
 from tallyweave.plans import report_queries  # noqa: F401  isort: skip
+from tallyweave.plans import supplier_queries  # noqa: F401  isort: skip
 from tallyweave.plans.registry import MODULES, ORACLES, QUERIES
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -52,11 +52,9 @@ def join_name_crossref(d):
 
 @query("join_name_fuzzy", f"""
     SELECT DISTINCT {_NORM} AS norm, made_from AS resolved, 'fuzzy' AS method FROM invoice_lines
-    WHERE made_by = 'fuzzy' AND made_from IN (SELECT norm FROM ts_people)""")
+    WHERE made_by IN ('exact', 'fuzzy') AND made_from IN (SELECT norm FROM ts_people)""")
 def join_name_fuzzy(d):
-    everyone = people.distinct_people(d.timesheets())
-    made = d.invoice_lines().filter("made_by in ('fuzzy', 'unresolved')")
-    return people.by_similarity(made.select(names.normalize_name("contractor_name").alias("norm")).distinct(), everyone)
+    return people.by_similarity(printed_names(d), people.distinct_people(d.timesheets()))
 
 
 @query("join_resolve_tiers", f"""
@@ -68,13 +66,11 @@ def join_resolve_tiers(d):
 
 
 @query("join_upsert_crossref", """
-    SELECT invoice_name, CASE WHEN alias_id % 3 = 0 THEN timesheet_name ELSE 'Before' END AS timesheet_name
-    FROM aliases WHERE alias_id % 2 = 0 OR alias_id % 3 = 0""")
+    SELECT invoice_name, timesheet_name FROM aliases""")
 def join_upsert_crossref(d):
     aliases = d.aliases()
     stored = aliases.filter("alias_id % 2 = 0").withColumn("timesheet_name", F.lit("Before"))
-    seeds = aliases.filter("alias_id % 3 = 0")
-    return merges.seed_aliases(merges.seed_aliases(stored, seeds), seeds).select("invoice_name", "timesheet_name")
+    return merges.seed_aliases(merges.seed_aliases(stored, aliases), aliases).select("invoice_name", "timesheet_name")
 
 
 @query("fn_name_similarity", """

@@ -138,7 +138,7 @@ def src_project_company(d):
 
 
 @query("join_project_company", f"""
-    SELECT source_row_hash, {company_of('project_id', 'investment_name')} AS company FROM timesheets""")
+    SELECT source_row_hash, {company_of('t.project_id', 't.investment_name')} AS company FROM timesheets t""")
 def join_project_company(d):
     return accounting.with_company(d.timesheets(), companies(d), POLICY, "project_id", "investment_name").select(
         "source_row_hash", "company"
@@ -350,17 +350,21 @@ def rank_limit(d):
     return boards.list_projects(d.projects()).select("project_id", "project_name", "capex_opex")
 
 
-@query("rank_board_sort", """
+@query("rank_board_sort", f"""
     WITH cards AS (SELECT *, coalesce(total_invoice_cost, 0) AS price FROM spend_invoices WHERE invoice_type = 'contractor' AND archived_at IS NULL)
-    SELECT * FROM (SELECT 'price_desc' AS sort_key, id FROM cards ORDER BY price DESC, created_at DESC, id DESC LIMIT 100)
-    UNION ALL SELECT * FROM (SELECT 'date_asc', id FROM cards ORDER BY coalesce(date_received, DATE '1970-01-01'), created_at DESC, id DESC LIMIT 100)""")
+    SELECT 'price_desc' AS sort_key, id, price, NULL AS received FROM cards
+    UNION ALL SELECT 'date_asc', id, NULL, coalesce({day_text('date_received')}, '1970-01-01') FROM cards""")
 def rank_board_sort(d):
     cards = boards.contractor_board(d.spend_invoices())
-
-    def page(key):
-        return boards.sort_board(cards, key).limit(100).select(F.lit(key).alias("sort_key"), "id")
-
-    return page("price_desc").unionByName(page("date_asc"))
+    day = F.coalesce(F.date_format("date_received", "yyyy-MM-dd"), F.lit("1970-01-01"))
+    by_price = boards.sort_board(cards, "price_desc").select(
+        F.lit("price_desc").alias("sort_key"), "id", F.coalesce("total_invoice_cost", F.lit(0.0)).alias("price"),
+        F.lit(None).cast("string").alias("received"),
+    )
+    by_date = boards.sort_board(cards, "date_asc").select(
+        F.lit("date_asc").alias("sort_key"), "id", F.lit(None).cast("double").alias("price"), day.alias("received")
+    )
+    return by_price.unionByName(by_date)
 
 
 @query("agg_invoice_card", """

@@ -212,7 +212,7 @@ VIEWS: dict[str, str] = {
         FROM brands""",
     "vendors": """
         SELECT c_custkey, s_suppkey,
-               CASE c_custkey % 5 WHEN 0 THEN upper(brand || ', ' || legal) || '.'
+               CASE CASE WHEN s_suppkey % 17 = 16 THEN 3 ELSE c_custkey % 5 END WHEN 0 THEN upper(brand || ', ' || legal) || '.'
                     WHEN 1 THEN replace(brand, ' ', '') || CASE s_suppkey % 4 WHEN 0 THEN 'Technologies Limited'
                          WHEN 1 THEN 'Solutions Inc' WHEN 2 THEN 'Systems LLC' ELSE 'Consulting Gmbh' END
                     WHEN 2 THEN substr(brand, 1, 3) || substr(brand, 5) || ' ' || legal
@@ -229,7 +229,7 @@ VIEWS: dict[str, str] = {
                brand || ' ' || legal AS vendor,
                CASE l_orderkey % 3 WHEN 0 THEN ' Inv ' || CAST(l_orderkey AS STRING) WHEN 1 THEN CAST(l_orderkey AS STRING) || '.0'
                     ELSE 'inv' || CAST(l_orderkey AS STRING) END AS invoice_number,
-               CASE WHEN l_partkey % 6 > 0 THEN 'Approver ' || CAST(l_suppkey % 7 AS STRING) ELSE ' ' END AS approved_by,
+               CASE WHEN l_orderkey % 6 > 0 THEN 'Approver ' || CAST(l_suppkey % 7 AS STRING) ELSE ' ' END AS approved_by,
                CASE WHEN l_partkey % 5 > 0 THEN 'CC' || CAST(l_partkey % 4 AS STRING) END AS cost_center,
                CASE l_partkey % 3 WHEN 0 THEN '246010' WHEN 1 THEN '667040' ELSE '' END AS offset_gl_account
         FROM {lineitem} JOIN brands ON s_suppkey = l_suppkey""",
@@ -244,6 +244,12 @@ VIEWS: dict[str, str] = {
         FROM {orders} LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS s_suppkey FROM {lineitem} GROUP BY l_orderkey) f
             ON f.l_orderkey = o_orderkey
         LEFT JOIN brands b ON b.s_suppkey = f.s_suppkey""",
+    "other_lookups": """
+        SELECT o_orderkey AS id, f.s_suppkey, o_orderkey % 2 = 1 AND f.s_suppkey % 17 < 16 AS is_listed,
+               CASE WHEN o_orderkey % 2 = 1 AND f.s_suppkey % 17 < 16 THEN b.brand || ' ' || b.legal ELSE upper(b.brand) END
+                   AS vendor_name,
+               f.invoice_number, '0123456789' AS description
+        FROM {orders} JOIN filed_lookups f USING (o_orderkey) LEFT JOIN brands b ON b.s_suppkey = f.s_suppkey""",
     "budget_sheet": """
         SELECT p_partkey AS row_idx, brand AS supplier,
                CASE WHEN p_partkey % 4 = 0 THEN 'n/a' WHEN p_partkey % 4 = 1 THEN CAST(300000 + s_suppkey AS STRING)

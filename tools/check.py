@@ -49,9 +49,8 @@ def main() -> int:
     modules = [a[1:] for a in arguments if a.startswith("@")]
     parts = [a for a in arguments if not a.startswith("@")]
     for name, run in catalog.QUERIES.items():
-        if modules and catalog.MODULES[name] not in modules:
-            continue
-        if parts and not any(part in name for part in parts):
+        wanted = catalog.MODULES[name] in modules or any(part in name for part in parts)
+        if arguments and not wanted:
             continue
         started = time.time()
         try:
