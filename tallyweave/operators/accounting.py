@@ -55,7 +55,7 @@ def linked_lines(invoices: DataFrame, lines: DataFrame, timesheets: DataFrame, p
     )
     classes = projects.select(F.col("project_id").alias("entry_project"), F.col("capex_opex").alias("project_class"))
     joined = (
-        lines.join(header, "invoice_id").join(entries, "matched_timesheet_id", "left").join(classes, "entry_project", "left")
+        lines.drop("resolved").join(header, "invoice_id").join(entries, "matched_timesheet_id", "left").join(classes, "entry_project", "left")
     )
     own = F.col("extra.period_start").isNotNull() & F.col("extra.period_end").isNotNull()
     start = F.when(own, F.col("extra.period_start")).otherwise(F.col("payment_period_start"))
@@ -65,7 +65,7 @@ def linked_lines(invoices: DataFrame, lines: DataFrame, timesheets: DataFrame, p
             "weight": line_weight("amount", "hours", "rate"),
             "expense_class": expense_class_of(F.coalesce(blank_to_null("entry_class"), F.col("project_class"))),
         }
-    )
+    ).drop("entry_class", "project_class")
 
 
 def _span_sums(spans: DataFrame, days: DataFrame, keys: list[str], aggregates: dict[str, tuple[Column, Column]]) -> DataFrame:
