@@ -20,10 +20,12 @@ PERIOD = f"{day_text('period_start')} AS period_start, {day_text('period_end')}
 NO_PERIOD = "CAST(NULL AS VARCHAR) AS period_start, CAST(NULL AS VARCHAR) AS period_end"
 
 
-def lines_sql(name="contractor_name", period=NO_PERIOD, amount=_CENTS.format("amount"), where=""):
+WHOLE_RATE = "CAST(floor(rate) AS DOUBLE)"
+
+
+def lines_sql(name="contractor_name", period=NO_PERIOD, amount=_CENTS.format("amount"), rate=_CENTS.format("rate")):
     return (
-        f"SELECT invoice_id AS doc_id, {name} AS contractor_name, hours, {_CENTS.format('rate')} AS rate, "
-        f"{amount} AS amount, {period} FROM billing {where}"
+        f"SELECT invoice_id AS doc_id, {name} AS contractor_name, hours, {rate} AS rate, {amount} AS amount, {period} FROM billing"
     )
 
 
@@ -39,7 +41,7 @@ def extracted(d, layout):
     return line_text.LAYOUTS[layout](R.rendered(billing(d), layout)).drop("ord")
 
 
-@query("txt_lines_rate_list", lines_sql())
+@query("txt_lines_rate_list", lines_sql(rate=WHOLE_RATE))
 def txt_lines_rate_list(d):
     return extracted(d, "rate_list")
 
@@ -64,7 +66,7 @@ def txt_lines_unit_rows(d):
     return extracted(d, "unit_rows")
 
 
-@query("txt_lines_period_blocks", lines_sql(period=PERIOD))
+@query("txt_lines_period_blocks", lines_sql(period=PERIOD, rate=WHOLE_RATE))
 def txt_lines_period_blocks(d):
     return extracted(d, "period_blocks")
 
@@ -329,7 +331,7 @@ def _texts(*values):
 def person_grid(d):
     period = F.concat(F.col("contractor_name"), F.lit(" "), R.us(F.col("period_start"), "MM/dd/yyyy"), F.lit(" - "), R.us(F.col("period_end"), "MM/dd/yyyy"))
     row = _texts(period, F.col("hours").cast("int").cast("string"), R.money(F.col("rate")), F.lit(""))
-    return _grid(d, _texts("Resource Name", "Total Units", "Rate", "Amount"), row, _texts("Grand Total", "1", "", "9.00"))
+    return _grid(d, _texts("Resource Name", "Units", "Rate", "Amount"), row, _texts("Grand Total", "1", "", "9.00"))
 
 
 # Amount is derived, and a second, smaller table competes.
@@ -427,12 +429,12 @@ def word_table(d):
 
     names = F.split("contractor_name", " ")
     row = F.array(
-        word(names[0], 10, top), word(names[1], 43, top + 1.5), word(F.col("hours").cast("int"), 200, top),
-        word(R.money(F.col("rate")), 300, top), word(R.money(F.col("amount")), 400, top), word(F.lit("wrapped"), 10, top + 10),
+        word(names[0], 10, top), word(names[1], 43, top + 1.5), word(F.lit("seat"), 76, top), word(F.col("hours").cast("int"), 200, top),
+        word(R.money(F.col("rate")), 300, top), word(R.money(F.col("amount")), 430, top), word(F.lit("wrapped"), 10, top + 10),
     )
     body = lines.select("doc_id", F.explode(row).alias("w"))
     heading = F.array(
-        *[word(F.lit(t), x, F.lit(10.0)) for t, x in (("Service", 10), ("Qty", 200), ("Price", 300), ("Total", 400))]
+        *[word(F.lit(t), x, F.lit(10.0)) for t, x in (("Service", 10), ("Name", 43), ("Qty", 200), ("Unit", 300), ("Price", 333), ("Total", 430))]
     )
     top_rows = lines.select("doc_id").distinct().select("doc_id", F.explode(heading).alias("w"))
     return body.unionByName(top_rows).select("doc_id", F.lit(1).alias("page"), "w.*")
@@ -445,7 +447,7 @@ def _by_invoice():
 
 
 @query("txt_other_words", f"""
-    SELECT invoice_id AS doc_id, contractor_name || ' wrapped' AS description, hours AS quantity, {_CENTS.format('rate')} AS unit_price,
+    SELECT invoice_id AS doc_id, contractor_name || ' seat wrapped' AS description, hours AS quantity, {_CENTS.format('rate')} AS unit_price,
            {_CENTS.format('amount')} AS amount FROM billing""")
 def txt_other_words(d):
     return service_text.word_rows(word_table(d)).drop("ord")
@@ -479,12 +481,12 @@ def supplier_of(d):
 
 
 @query("txt_vendor", """
-    SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 2 THEN replace(b.brand, ' ', '') ELSE b.brand || ' ' || b.legal END AS vendor
+    SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 2 THEN replace(b.brand, ' ', '') || split_part(b.legal, ' ', 1) ELSE b.brand || ' ' || b.legal END AS vendor
     FROM (SELECT c_custkey, CASE WHEN c_custkey % 95 % 17 = 16 THEN 1 ELSE c_custkey % 95 END AS slot FROM {customer}) c JOIN brands b ON b.s_suppkey = c.slot""")
 def txt_vendor(d):
     slot = F.when(F.col("c_custkey") % 95 % 17 == 16, F.lit(1)).otherwise(F.col("c_custkey") % 95)
     docs = d.table("customer").select(F.col("c_custkey").alias("doc_id"), slot.alias("s_suppkey")).join(d.view("brands"), "s_suppkey")
-    key, plain = F.col("doc_id") % 3, F.replace("brand", F.lit(" "), F.lit(""))
+    key, plain = F.col("doc_id") % 3, F.concat(F.replace("brand", F.lit(" "), F.lit("")), F.split("legal", " ")[0])
     text = (
         F.when(key == 0, F.concat(F.lit("INVOICE\nSeller: "), "brand", F.lit(" "), "legal", F.lit(" Buyer: Somebody Inc\nlines")))
         .when(key == 1, F.concat(F.lit("Invoice No 7\n"), "brand", F.lit(" "), "legal", F.lit(" 12 Main Street\npay pay@pnc.com")))

@@ -43,13 +43,14 @@ def layouts() -> dict[str, tuple[Column, str, str]]:
     parts = F.split(name, " ")
     last_first = F.concat_ws(", ", parts[1], parts[0])
     period = F.concat(us(F.col("period_start")), F.lit("-"), us(F.col("period_end")))
-    plain_rate = F.col("rate").cast("decimal(18,2)").cast("string")
+    # Whole rates: a rate with cents would itself read as an amount.
+    plain_rate = F.floor("rate").cast("string")
 
     def fmt(*pieces):
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
 
     return {
-        "rate_list": (fmt("Hours- ", name, "- $", plain_rate, "/hr\n", hours, " hours\n$", amount), "Staffing note\n", "\nTOTAL DUE $1.00"),
+        "rate_list": (fmt("Hours- ", name, "- $", plain_rate, "/hr\n", hours, " hours\n$", amount, " net"), "Staffing note\n", "\nTOTAL DUE $1.00"),
         "billable": (fmt("7 ", last_first, " ...Billable ", hours, ".00 Hours @ ", rate, " No 1.00"), "Item Description Tax\n", "\nThe end"),
         "qty_item": (fmt(hours, " ", name, " $", rate, " $", amount), "Bill To Somebody\nQty Item Rate Amount\n", "\nSubtotal $1.00\nTotal $1.00\n1 of 1"),
         "desc_qty": (fmt(name, "-Scrum Master-Reg Hours (", period, ") ", hours, " ", rate, " ", amount), "DESCRIPTION QTY RATE AMOUNT\n", "\nPayment Information BALANCE DUE $7,030.00\nTotal 1 2.00 3.00"),
