@@ -13,6 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from tallyweave.plans import catalog  # noqa: E402
+from tallyweave.plans.text_queries import billing  # noqa: E402
 from tallyweave.session import local_session  # noqa: E402
 from tallyweave.sources.driver_views import DriverTables  # noqa: E402
 
@@ -33,6 +34,9 @@ def main() -> None:
     tables = DriverTables(spark, sf_dir)
     for table in (tables.raw, tables.timesheets, tables.projects, tables.invoices, tables.invoice_lines, tables.aliases, tables.spend_lines):
         table()
+    for view in ("spend_invoices", "tracker", "filed_lookups", "supplier_list", "vendors", "departments", "lob_rows", "people"):
+        tables.kept(view)
+    billing(tables)
     seconds = {}
     for name in HEADLINE:
         started = time.perf_counter()

@@ -36,6 +36,15 @@ def extract(text: Column | str, pattern: str, group: int = 1) -> Column:
     return blank_to_null(F.regexp_extract(col(text), pattern, group))
 
 
+GROUP_MARK = "\u0001"
+
+
+def groups(match: Column | str, pattern: str, count: int) -> Column:
+    """All groups of a text that the pattern matches as a whole, from one pass; absent groups are blank."""
+    marked = F.regexp_replace(col(match), pattern, GROUP_MARK.join(f"${i}" for i in range(1, count + 1)))
+    return F.split(marked, GROUP_MARK, -1)
+
+
 def first_match(text: Column | str, patterns: list[str], group: int = 1) -> Column:
     """Ordered cascade: the first pattern that matches wins."""
     return F.coalesce(*[strip(extract(text, p, group)) for p in patterns])

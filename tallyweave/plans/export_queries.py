@@ -57,7 +57,7 @@ def routed_invoices(d):
 
 
 def coded(d, **options):
-    return export.coded_lines(linked(d), splits(d), companies(d), d.view("departments"), POLICY, **options)
+    return export.coded_lines(linked(d), splits(d), companies(d), d.kept("departments"), POLICY, **options)
 
 
 @query("rank_line_numbers", """
@@ -147,7 +147,7 @@ def snk_bulk_export(d):
     joined = accounting.linked_lines(invoices, lines, d.timesheets(), d.projects())
     project_splits = accounting.span_projects(accounting.spans_of(joined), d.timesheets(), companies(d), POLICY)
     rows = export.purchase_rows(
-        invoices, export.coded_lines(joined, project_splits, companies(d), d.view("departments"), POLICY)
+        invoices, export.coded_lines(joined, project_splits, companies(d), d.kept("departments"), POLICY)
     )
     folder = fresh_folder(d)
     export.write_bulk_export(rows, export.export_names(export.active_matched(invoices)), folder)
@@ -248,7 +248,7 @@ def join_upsert_invoices(d):
     SELECT lower(b.brand) || ' ' || lower(b.legal) AS vendor_key, max(l_partkey) AS template
     FROM {lineitem} JOIN brands b ON b.s_suppkey = l_suppkey GROUP BY 1""")
 def join_upsert_templates(d):
-    brands = d.view("brands").select("s_suppkey", F.concat_ws(" ", "brand", "legal").alias("vendor_name"))
+    brands = d.kept("brands").select("s_suppkey", F.concat_ws(" ", "brand", "legal").alias("vendor_name"))
     learned = d.table("lineitem").join(brands, F.col("l_suppkey") == F.col("s_suppkey")).select(
         F.col("l_partkey").alias("learned_seq"), "vendor_name", F.col("l_partkey").alias("template")
     )

@@ -82,7 +82,7 @@ def fn_name_similarity(d):
     whole = F.concat_ws(" ", first, last)
     score = similarity.name_similarity_udf
     cut = F.concat(F.substring(last, 1, 2), F.substring(last, 4, 40))
-    return d.view("people").select(
+    return d.kept("people").select(
         "user_id",
         score(whole, whole).alias("same"),
         score(whole, F.concat_ws(" ", last, first)).alias("reversed"),
@@ -318,7 +318,7 @@ def flt_line_drilldown(d):
 def fn_status_label(d):
     from tallyweave.functions.money import compact_money
 
-    return d.view("spend_invoices").select(
+    return d.kept("spend_invoices").select(
         "id", labels.status_label("status").alias("label"), labels.method_badge("method").alias("badge"),
         compact_money(F.col("total_invoice_cost")).alias("compact"),
     )

@@ -121,7 +121,7 @@ ORACLE_VIEWS.update(
 
 
 def companies(d):
-    return accounting.project_companies(d.view("lob_rows"), POLICY)
+    return accounting.project_companies(d.kept("lob_rows"), POLICY)
 
 
 def linked(d):
@@ -155,7 +155,7 @@ def join_line_timesheet(d):
     SELECT t.source_row_hash, d.cost_center FROM timesheets t
     LEFT JOIN departments d ON d.contractor_name_normalized = t.contractor_name_normalized""")
 def join_cost_center(d):
-    codes = d.view("departments").select("contractor_name_normalized", "cost_center")
+    codes = d.kept("departments").select("contractor_name_normalized", "cost_center")
     return d.timesheets().join(codes, "contractor_name_normalized", "left").select("source_row_hash", "cost_center")
 
 
@@ -546,5 +546,5 @@ def agg_project_detail(d):
     rows = boards.invoice_entries(d.spend_invoices(), d.spend_lines(), d.timesheets())
     return accounting.project_detail(
         d.spend_invoices(), rows, accounting.invoice_project_spend(linked(d), splits(d)), d.projects(), companies(d),
-        accounting.project_lines_of_business(d.view("lob_rows")), d.view("departments"), POLICY,
+        accounting.project_lines_of_business(d.kept("lob_rows")), d.kept("departments"), POLICY,
     )

@@ -57,11 +57,11 @@ ORACLE_VIEWS.update(
 
 
 def vendor_norms(d):
-    return d.view("vendors").select("c_custkey", "vendor_name", coding.normalize_supplier("vendor_name").alias("vendor_norm"))
+    return d.kept("vendors").select("c_custkey", "vendor_name", coding.normalize_supplier("vendor_name").alias("vendor_norm"))
 
 
 def index(d):
-    return ops.supplier_index(d.view("supplier_list"))
+    return ops.supplier_index(d.kept("supplier_list"))
 
 
 @query("src_supplier_index", "SELECT row_idx, supplier_norm, supplier_number, core_key FROM supplier_keys")
@@ -97,16 +97,16 @@ def join_supplier_number(d):
 
 @query("fn_norm_invoice_no", f"SELECT row_order, {invoice_key('invoice_number')} AS invoice_key FROM tracker")
 def fn_norm_invoice_no(d):
-    return d.view("tracker").select("row_order", coding.invoice_number_key("invoice_number").alias("invoice_key"))
+    return d.kept("tracker").select("row_order", coding.invoice_number_key("invoice_number").alias("invoice_key"))
 
 
 @query("src_tracker_index", "SELECT invoice_key, filed_vendor, approver, row_order FROM filed")
 def src_tracker_index(d):
-    return ops.filed_approvers(d.view("tracker"))
+    return ops.filed_approvers(d.kept("tracker"))
 
 
 def lookup_keys(d):
-    return d.view("filed_lookups").select(
+    return d.kept("filed_lookups").select(
         "o_orderkey", coding.invoice_number_key("invoice_number").alias("invoice_key"),
         coding.normalize_supplier("vendor_name").alias("vendor_norm"),
     )
@@ -121,27 +121,27 @@ def lookup_keys(d):
     WHERE n = 1 OR (l.o_orderkey % 4 <> 2 AND v.approver IS NOT NULL)""")
 def join_approver(d):
     keys = lookup_keys(d)
-    found = ops.approvers(keys, ops.filed_approvers(d.view("tracker")))
+    found = ops.approvers(keys, ops.filed_approvers(d.kept("tracker")))
     return keys.join(found, ["invoice_key", "vendor_norm"]).select("o_orderkey", "approver")
 
 
 @query("agg_distinct_concat", "SELECT invoice_key, cost_center FROM filed_sum WHERE cost_center IS NOT NULL")
 def agg_distinct_concat(d):
-    rows = d.view("tracker").withColumn("invoice_key", coding.invoice_number_key("invoice_number"))
+    rows = d.kept("tracker").withColumn("invoice_key", coding.invoice_number_key("invoice_number"))
     return ops.distinct_text(rows, ["invoice_key"], "cost_center", "row_order", "cost_center")
 
 
 @query("join_tracker_accounting", """
     SELECT o_orderkey, cost_center, offset_gl_account FROM lookups LEFT JOIN filed_sum USING (invoice_key)""")
 def join_tracker_accounting(d):
-    return lookup_keys(d).join(ops.filed_accounting(d.view("tracker")), "invoice_key", "left").select(
+    return lookup_keys(d).join(ops.filed_accounting(d.kept("tracker")), "invoice_key", "left").select(
         "o_orderkey", "cost_center", "offset_gl_account"
     )
 
 
 @query("src_budget_rows", "SELECT * FROM budget")
 def src_budget_rows(d):
-    return ops.budget_rows(d.view("budget_sheet"), POLICY)
+    return ops.budget_rows(d.kept("budget_sheet"), POLICY)
 
 
 @query("fn_code_prefix", """
@@ -164,14 +164,14 @@ def fn_clean_text(d):
 
 @query("agg_consensus", "SELECT supplier_norm, cost_center, approver, supplier_number FROM agreed")
 def agg_consensus(d):
-    return ops.budget_rows(d.view("budget_sheet"), POLICY).groupBy("supplier_norm").agg(
+    return ops.budget_rows(d.kept("budget_sheet"), POLICY).groupBy("supplier_norm").agg(
         *[ops.consensus(c).alias(c) for c in ("cost_center", "approver", "supplier_number")]
     )
 
 
 def budget_lookups(d):
     """One lookup per part: the exact product, an unrelated text, or none; every fourth vendor reversed."""
-    part = d.view("budget_sheet").select("row_idx", "supplier", "product")
+    part = d.kept("budget_sheet").select("row_idx", "supplier", "product")
     words = F.split("supplier", " ")
     vendor = F.when(F.col("row_idx") % 4 == 3, F.concat_ws(" ", words[1], words[0])).otherwise(F.upper("supplier"))
     described = F.when(F.col("row_idx") % 3 == 0, F.lower(F.regexp_extract("product", " - (.*)$", 1))).when(
@@ -195,7 +195,7 @@ def budget_lookups(d):
     JOIN first_rows f ON f.supplier_norm = a.supplier_norm AND f.product = a.product JOIN budget b ON b.row_idx = f.first_idx""")
 def join_budget_route(d):
     lookups = budget_lookups(d)
-    routes = ops.budget_routes(lookups, ops.budget_rows(d.view("budget_sheet"), POLICY))
+    routes = ops.budget_routes(lookups, ops.budget_rows(d.kept("budget_sheet"), POLICY))
     return lookups.join(routes, ["vendor_norm", "description"]).select("row_idx", "by_product", *ops.ROUTED)
 
 
@@ -212,14 +212,14 @@ def join_budget_route(d):
     LEFT JOIN per_vendor v ON v.invoice_key = {invoice_key('l.invoice_number')} AND v.l_suppkey = l.s_suppkey
     LEFT JOIN agreed a ON NOT is_listed AND a.supplier_norm = {supplier_key('l.vendor_name')}""")
 def join_other_accounting(d):
-    lookups = d.view("other_lookups")
-    return ops.other_accounting(lookups, d.view("tracker"), d.view("supplier_list"), d.view("budget_sheet"), POLICY)
+    lookups = d.kept("other_lookups")
+    return ops.other_accounting(lookups, d.kept("tracker"), d.kept("supplier_list"), d.kept("budget_sheet"), POLICY)
 
 
 @query("fn_norm_class", """
     SELECT id, CASE upper(trim(hint)) WHEN 'CAPEX' THEN 'CAPEX' WHEN 'OPEX' THEN 'OPEX' END AS expense_class FROM spend_invoices""")
 def fn_norm_class(d):
-    return d.view("spend_invoices").select("id", coding.expense_class_of("hint").alias("expense_class"))
+    return d.kept("spend_invoices").select("id", coding.expense_class_of("hint").alias("expense_class"))
 
 
 @query("fn_gl_code", """
@@ -227,7 +227,7 @@ def fn_norm_class(d):
            WHEN 'OPEX' THEN CASE WHEN contains(lower(vendor_name), 'customer 7') THEN '667070' ELSE '667040' END ELSE '' END AS gl_code
     FROM spend_invoices""")
 def fn_gl_code(d):
-    return d.view("spend_invoices").select("id", POLICY.gl_code(F.col("hint"), F.col("vendor_name")).alias("gl_code"))
+    return d.kept("spend_invoices").select("id", POLICY.gl_code(F.col("hint"), F.col("vendor_name")).alias("gl_code"))
 
 
 @query("fn_cost_center", """

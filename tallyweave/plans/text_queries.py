@@ -475,7 +475,7 @@ def rank_best_candidate(d):
 def supplier_of(d):
     def known(names):
         keyed = names.withColumn("vendor_norm", coding.normalize_supplier("vendor"))
-        return keyed.join(supplier_numbers(keyed, supplier_index(d.view("supplier_list"))).select("vendor_norm"), "vendor_norm")
+        return keyed.join(supplier_numbers(keyed, supplier_index(d.kept("supplier_list"))).select("vendor_norm"), "vendor_norm")
 
     return known
 
@@ -485,7 +485,7 @@ def supplier_of(d):
     FROM (SELECT c_custkey, CASE WHEN c_custkey % 95 % 17 = 16 THEN 1 ELSE c_custkey % 95 END AS slot FROM {customer}) c JOIN brands b ON b.s_suppkey = c.slot""")
 def txt_vendor(d):
     slot = F.when(F.col("c_custkey") % 95 % 17 == 16, F.lit(1)).otherwise(F.col("c_custkey") % 95)
-    docs = d.table("customer").select(F.col("c_custkey").alias("doc_id"), slot.alias("s_suppkey")).join(d.view("brands"), "s_suppkey")
+    docs = d.table("customer").select(F.col("c_custkey").alias("doc_id"), slot.alias("s_suppkey")).join(d.kept("brands"), "s_suppkey")
     key, plain = F.col("doc_id") % 3, F.concat(F.replace("brand", F.lit(" "), F.lit("")), F.split("legal", " ")[0])
     text = (
         F.when(key == 0, F.concat(F.lit("INVOICE\nSeller: "), "brand", F.lit(" "), "legal", F.lit(" Buyer: Somebody Inc\nlines")))

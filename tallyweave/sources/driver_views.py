@@ -320,7 +320,9 @@ class DriverTables:
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _STORED:
             path = f"{shared_folder(self.spark)}/tallyweave-{uuid.uuid4().hex}/{name}"
-            build().write.parquet(path)
+            # The driver's files are single row groups, which one task reads; spread them for what follows.
+            spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            build().repartition(spread).write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
@@ -343,12 +345,16 @@ class DriverTables:
     def aliases(self) -> DataFrame:
         return self.stored("aliases", lambda: self.view("aliases"))
 
+    def kept(self, name: str) -> DataFrame:
+        """A view as a stored table."""
+        return self.stored(name, lambda: self.view(name))
+
     def spend_invoices(self) -> DataFrame:
         extraction = F.struct(
             "method", "cost_center", F.col("offset_gl").alias("offset_gl_account"),
             F.struct(F.col("hint").alias("capex_opex")).alias("accounting_hint"),
         )
-        invoices = self.view("spend_invoices").withColumn("raw_extraction", extraction)
+        invoices = self.kept("spend_invoices").withColumn("raw_extraction", extraction)
         return invoices.drop("method", "cost_center", "offset_gl", "hint")
 
     def spend_lines(self) -> DataFrame:
