@@ -27,6 +27,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def kept_once(value: Column, condition: Callable[[Column], Column]) -> Column:
+    """A generator that yields ``value`` where the condition holds, and no row otherwise.
+
+    A filter on a computed column is pushed below the projection and computes the column again; a generator
+    computes it once, which matters for long text cascades.
+    """
+    return F.explode(F.filter(F.array(value), condition))
+
+
 def blank_to_null(value: Column | str) -> Column:
     return F.nullif(col(value), F.lit(""))
 

@@ -125,7 +125,13 @@ def fn_format_cells(d):
 
 
 def reconciled(d):
-    """Reconciled invoices and lines in the stored shape."""
+    """Reconciled invoices and lines in the stored shape, written once as a matching run leaves them."""
+    return (
+        d.stored("matched_invoices", lambda: _reconciled(d)[0]), d.stored("matched_lines", lambda: _reconciled(d)[1])
+    )
+
+
+def _reconciled(d):
     result = matched(d)
     record = F.struct(F.lit("rules").alias("method"))
     invoices = result.invoices.withColumns(
