@@ -105,9 +105,9 @@ VIEWS: dict[str, str] = {
         FROM event_days
         GROUP BY user_id, week, CASE WHEN user_id % 5 = 0 THEN half ELSE 0 END""",
     "billed_lines": """
-        SELECT b.user_id, b.week, b.half, b.user_id % n.suppliers AS slot,
+        SELECT b.user_id, b.week, b.half, b.user_id % (SELECT count(*) FROM {supplier}) AS slot,
                CAST((b.week * 2 + CASE WHEN b.user_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) * 10000000
-                   + CASE WHEN b.user_id % 5 = 0 THEN b.user_id ELSE b.user_id % n.suppliers END AS invoice_id,
+                   + CASE WHEN b.user_id % 5 = 0 THEN b.user_id ELSE b.user_id % (SELECT count(*) FROM {supplier}) END AS invoice_id,
                CASE (b.user_id + b.week) % 4 WHEN 0 THEN logged WHEN 1 THEN logged + 0.5e0 WHEN 2 THEN logged + 5e0 END
                    AS hours,
                50e0 + b.user_id % 50 AS rate,
@@ -124,8 +124,7 @@ VIEWS: dict[str, str] = {
                CASE b.user_id % 12 WHEN 3 THEN 'fuzzy' WHEN 9 THEN 'fuzzy' WHEN 4 THEN 'crossref' WHEN 10 THEN 'crossref'
                    WHEN 11 THEN 'unresolved' ELSE 'exact' END AS made_by,
                CASE WHEN b.user_id % 12 <> 11 THEN lower(first_name || ' ' || last_name) END AS made_from
-        FROM billed b JOIN people p ON b.user_id = p.user_id
-        CROSS JOIN (SELECT count(*) AS suppliers FROM {supplier}) n""",
+        FROM billed b JOIN people p ON b.user_id = p.user_id""",
     "invoice_lines": """
         SELECT user_id * 1000 + week * 2 + half AS id, invoice_id,
                CAST(user_id * 2 + half AS BIGINT) AS line_ord, contractor_name, hours, rate, hours * rate AS amount,
@@ -149,11 +148,11 @@ VIEWS: dict[str, str] = {
               GROUP BY invoice_id, slot, week) i
         JOIN {supplier} s ON s.s_suppkey = i.slot""",
     "lob_rows": """
-        SELECT DISTINCT 'PR' || lpad(CAST(k % 20 AS STRING), 5, '0') AS project_id, copy AS row_idx,
-               CASE (k % 20 + copy) % 5 WHEN 0 THEN '/Group' WHEN 1 THEN ' /group/NOVA ' WHEN 2 THEN '/Group/Pulse'
-                    WHEN 3 THEN '/Elsewhere' ELSE '' END AS line_of_business
-        FROM event_days CROSS JOIN (SELECT 1 AS copy UNION ALL SELECT 2 AS copy) c
-        WHERE k % 20 >= 4 AND (copy = 1 OR k % 3 = 0)""",
+        SELECT 'PR' || lpad(CAST(project AS STRING), 5, '0') AS project_id, row_idx,
+               CASE (project + row_idx) % 5 WHEN 0 THEN '/Group' WHEN 1 THEN ' /group/NOVA '
+                    WHEN 2 THEN '/Group/Pulse' WHEN 3 THEN '/Elsewhere' ELSE '' END AS line_of_business
+        FROM (SELECT DISTINCT k % 20 AS project, 1 AS row_idx FROM event_days WHERE k % 20 >= 4
+              UNION ALL SELECT DISTINCT k % 20 AS project, 2 AS row_idx FROM event_days WHERE k % 20 >= 4 AND k % 3 = 0) p""",
     "person_entry": """
         SELECT p.user_id, t.entry_hash, t.norm FROM people p JOIN (
             SELECT contractor_name_normalized AS norm, min(entry_order || '~' || source_row_hash) AS first_entry,
@@ -192,13 +191,13 @@ VIEWS: dict[str, str] = {
                CASE WHEN l.l_suppkey % 9 > 0 AND l.l_partkey % 3 > 0 THEN 'matched' ELSE 'flagged' END AS line_status,
                CASE WHEN l.l_partkey % 7 = 0 THEN DATE '2024-01-01' + CAST(l.l_partkey % 20 AS INT) END AS own_start,
                CASE WHEN l.l_partkey % 7 = 0 THEN DATE '2024-01-01' + CAST(l.l_partkey % 20 + 3 AS INT) END AS own_end
-        FROM (SELECT l_orderkey, l_suppkey, l_partkey, sum(l_quantity) AS hours,
-                     CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS amount
-              FROM {lineitem} GROUP BY l_orderkey, l_suppkey, l_partkey) l
+        FROM (SELECT g.*, l_suppkey % (SELECT max(user_id) + 1 FROM {events}) AS person_id
+              FROM (SELECT l_orderkey, l_suppkey, l_partkey, sum(l_quantity) AS hours,
+                           CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS amount
+                    FROM {lineitem} GROUP BY l_orderkey, l_suppkey, l_partkey) g) l
         JOIN {part} r ON r.p_partkey = l.l_partkey
-        CROSS JOIN (SELECT max(user_id) + 1 AS n FROM {events}) u
-        JOIN people p ON p.user_id = l.l_suppkey % u.n
-        LEFT JOIN person_entry e ON e.user_id = l.l_suppkey % u.n""",
+        JOIN people p ON p.user_id = l.person_id
+        LEFT JOIN person_entry e ON e.user_id = l.person_id""",
     "brands": f"""
         SELECT s_suppkey, {_BRAND_FIRST} || ' ' || {_BRAND_LAST} AS brand,
                CASE s_suppkey % 4 WHEN 0 THEN 'Technologies Inc' WHEN 1 THEN 'Solutions LLC' WHEN 2 THEN 'Systems Limited'
@@ -218,8 +217,7 @@ VIEWS: dict[str, str] = {
                     WHEN 2 THEN substr(brand, 1, 3) || substr(brand, 5) || ' ' || legal
                     WHEN 3 THEN 'Quxq Xyqx Wyyx'
                     ELSE brand || ' ' || legal END AS vendor_name
-        FROM (SELECT c_custkey, c_custkey % n.suppliers AS slot FROM {customer}
-              CROSS JOIN (SELECT count(*) AS suppliers FROM {supplier}) n) c
+        FROM (SELECT c_custkey, c_custkey % (SELECT count(*) FROM {supplier}) AS slot FROM {customer}) c
         JOIN brands b ON b.s_suppkey = c.slot""",
     "tracker": """
         SELECT lpad(CAST(l_orderkey AS STRING), 12, '0') || '-' || lpad(CAST(l_partkey AS STRING), 12, '0') || '-'
@@ -261,8 +259,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN s_suppkey % 2 = 0 THEN 'DT' || CAST(500 + s_suppkey % 100 AS STRING) || ' - Apps'
                     WHEN p_partkey % 3 = 0 THEN 'OPEN' ELSE 'DT' || CAST(500 + p_partkey % 100 AS STRING) END AS cost_center,
                CASE WHEN p_partkey % 2 = 0 THEN '679030 - IT SERVICES' ELSE '131120' END AS gl_account
-        FROM (SELECT p_partkey, p_name, p_partkey % n.suppliers AS slot FROM {part}
-              CROSS JOIN (SELECT count(*) AS suppliers FROM {supplier}) n) p
+        FROM (SELECT p_partkey, p_name, p_partkey % (SELECT count(*) FROM {supplier}) AS slot FROM {part}) p
         JOIN brands b ON b.s_suppkey = p.slot""",
 }
 
