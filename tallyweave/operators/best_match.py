@@ -21,7 +21,9 @@ from tallyweave.operators.scale import row_count
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# A cell holds at most this many queries and candidates; fewer queries than the minimum are not spread further.
 QUERY_BLOCK = 4_000
+QUERY_BLOCK_MINIMUM = 64
 CANDIDATE_BLOCK = 50_000
 
 
@@ -29,11 +31,17 @@ def _blocks(rows: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(rows / size)).cast("int")
 
 
+def _spread(queries: DataFrame) -> Column:
+    """Row blocks for all queries: enough for every core where that pays, and never more than a block each."""
+    rows = row_count(queries)
+    cores = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.greatest(F.least(F.lit(cores), _blocks(rows, QUERY_BLOCK_MINIMUM)), _blocks(rows, QUERY_BLOCK))
+
+
 def _layout(queries: DataFrame, candidates: DataFrame, within: str | None) -> tuple[DataFrame, DataFrame]:
     """Add the cell coordinates ``_bucket, _row, _column`` to both sides."""
     if within is None:
-        spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = F.greatest(F.lit(spread), _blocks(row_count(queries), QUERY_BLOCK))
+        rows = _spread(queries)
         columns = _blocks(row_count(candidates), CANDIDATE_BLOCK)
         queries = queries.withColumn("_rows", rows).withColumn("_columns", columns).withColumn("_bucket", F.lit(0))
         candidates = candidates.withColumn("_rows", rows).withColumn("_columns", columns).withColumn("_bucket", F.lit(0))
@@ -46,8 +54,7 @@ def _layout(queries: DataFrame, candidates: DataFrame, within: str | None) -> tu
             _blocks(F.col("_asked"), QUERY_BLOCK).alias("_rows"),
             _blocks(F.col("_offered"), CANDIDATE_BLOCK).alias("_columns"),
         )
-        spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = F.greatest(F.lit(spread), _blocks(row_count(queries), QUERY_BLOCK))
+        buckets = _spread(queries)
         queries = queries.join(sizes, within).withColumn("_bucket", F.pmod(F.xxhash64(within), buckets))
         candidates = candidates.join(sizes, within).withColumn("_bucket", F.pmod(F.xxhash64(within), buckets))
     def block_of(text, blocks):

@@ -318,7 +318,7 @@ class DriverTables:
         if key not in _STORED:
             path = f"{shared_folder(self.spark)}/tallyweave-{uuid.uuid4().hex}/{name}"
             # The driver's files are single row groups, which one task reads; spread them for what follows.
-            spread = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            spread = self.spark.sparkContext.defaultParallelism
             build().repartition(spread).write.parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
