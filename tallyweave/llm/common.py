@@ -61,7 +61,7 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*columns)
 
 
-def in_blocks(df: DataFrame, total: int, block_bytes: int, *more: Column) -> tuple[DataFrame, int]:
+def in_blocks(df: DataFrame, total: int, block_bytes: int, *more: str | Column) -> tuple[DataFrame, int]:
     """(doc_id, text, more…, block), dealt by block, and the number of blocks."""
     n = max(1, math.ceil(total / block_bytes))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))

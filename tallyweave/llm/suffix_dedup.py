@@ -17,6 +17,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave.llm import common as C
 from tallyweave.llm.suffix_array import repeated_windows
@@ -312,7 +314,7 @@ def _meet(messages: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=FOUND_ARROW)
 
 
-def _results(block: pa.Table, messages: pa.Table, window: int) -> pa.Table:
+def _results(block: pa.Table, messages: pa.Table, window: int, carried: list[str]) -> pa.Table:
     block = C.ordered(block)
     data, offsets = C.flat_text(block.column("text"))
     edge = np.zeros(len(data) + 1, np.int64)
@@ -336,10 +338,13 @@ def _results(block: pa.Table, messages: pa.Table, window: int) -> pa.Table:
             cut = np.repeat(np.maximum.reduceat(mask, first), np.diff(np.append(first, b - a)))
             text = data[a:b][~cut].tobytes()
         rows.append((doc_id, b - a, n, len(spans), text.decode(), hashlib.sha256(kept).hexdigest(), spans))
-    return pa.Table.from_pylist([dict(zip(RESULT_ARROW.names, r, strict=True)) for r in rows], schema=RESULT_ARROW)
+    out = pa.Table.from_pylist([dict(zip(RESULT_ARROW.names, r, strict=True)) for r in rows], schema=RESULT_ARROW)
+    for name in carried:
+        out = out.append_column(name, block.column(name))
+    return out
 
 
-def remove_repeated_strings(docs: DataFrame, window: int = 100, anchor: int | None = None, part_runs: int = PART_RUNS) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, window: int = 100, anchor: int | None = None, part_runs: int = PART_RUNS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each document without the bytes of ``window``-byte strings that begin earlier elsewhere, and what was removed.
 
     docs: doc_id, text. A text is its UTF-8 bytes (null: none). Each byte in a string of ``window`` bytes that also begins
@@ -348,16 +353,19 @@ def remove_repeated_strings(docs: DataFrame, window: int = 100, anchor: int | No
 
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_text (without characters that lost a byte),
     kept_sha256 (of exactly the remaining bytes), spans. Texts shorter than the window stay as they are. Rows that share a doc_id
-    are documents of their own, in the order of their texts; rows without an id come last. Further columns are ignored. One
-    document must fit into a task.
+    are documents of their own, in the order of their texts; rows without an id come last. The columns named in ``keep`` follow; others
+    are ignored. One document must fit into a task.
     """
     anchor = max(1, window // 2) if anchor is None else anchor
     if not 1 <= anchor <= window:
         raise ValueError("an anchor is no longer than the window")
     spark = docs.sparkSession
-    source = C.plain(docs, "doc_id", "text")
+    carried = [f"keep_{i}" for i in range(len(keep))]
+    source = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, carried, strict=True)))
     total = C.text_bytes(source)
-    blocks, n = C.in_blocks(source, total, BLOCK_BYTES)
+    blocks, n = C.in_blocks(source, total, BLOCK_BYTES, *carried)
+    result = StructType.fromDDL(RESULT)
+    result = StructType([*result.fields, *(source.schema[k] for k in carried)])
     n_buckets, n_shards = C.buckets_for(spark, total, BUCKET_BYTES), C.buckets_for(spark, total, SHARD_BYTES)
     bits = C.filter_bits(total)
 
@@ -371,4 +379,6 @@ def remove_repeated_strings(docs: DataFrame, window: int = 100, anchor: int | No
     )
     found = strings.groupBy("shard").applyInArrow(lambda s: _solve(s, window, n_buckets), FOUND)
     spans = found.groupBy("bucket").applyInArrow(_meet, FOUND).repartition(n, "block")
-    return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(lambda b, m: _results(b, m, window), RESULT)
+    return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
+        lambda b, m: _results(b, m, window, carried), result
+    ).withColumnsRenamed(dict(zip(carried, keep, strict=True)))
