@@ -90,7 +90,7 @@ def _answer(messages: pa.Table) -> pa.Table:
             _, which, counts = np.unique(values, return_inverse=True, return_counts=True)
             bits = (counts[which] > 1) | (np.bincount(which, again)[which] > 0)
         else:
-            second, document, tie = (np.concatenate([C.unpack(r[k]) for r in asked]) for k in ("second", "document", "tie"))
+            second, document, tie = (np.concatenate([C.unpack(r[k]) for r in asked]).view(kind) for k, kind in (("second", np.uint64), ("document", np.int64), ("tie", np.int64)))
             order = np.lexsort((tie, document, second, values))
             new = np.ones(len(order), bool)
             new[1:] = (values[order][1:] != values[order][:-1]) | (second[order][1:] != second[order][:-1])
