@@ -2,8 +2,8 @@
 
 Voters are lexicon words and word beginnings (found by how they split a bounded sample of labelled texts), patterns of the text,
 and the given label itself, none of which is trusted. The label model treats the true class as hidden: each voter fires with its own
-rate in either class, and voters that fire together within a class are correlated and count less. Expectation-maximisation
-estimates class balance, rates and correlations together. A logistic regression over hashed words and word beginnings is then
+rate in either class, and votes of one text that are correlated within the classes share their weight. Expectation-maximisation
+estimates rates and correlations together. A logistic regression over hashed words and word beginnings is then
 trained on the posterior of the hidden class and scores every document.
 """
 
@@ -21,6 +21,8 @@ SAMPLE = 12_000
 SLOT_BITS = 20
 #: Features of the classifier, lexicon voters, and in how many texts a feature must occur.
 FEATURES, LEXICON, SUPPORT = 4096, 150, 3
+#: Least share of toxic texts among those with a lexicon word.
+PURITY = 0.6
 #: Bytes of a word's beginning.
 BEGINNING = 5
 PATTERNS = ("capitals", "exclamations", "digits", "symbols", "repeats", "short")
@@ -70,29 +72,39 @@ def _features(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return document_of, slot_of, patterns
 
 
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> dict:
-    """Class balance, firing rates and correlation discounts of binary voters, with the posterior of the hidden class.
+def fit_label_model(votes: np.ndarray, labels: np.ndarray, toxic_voters: int, rounds: int = 30, trust: float = 0.8) -> dict:
+    """Class balance, firing rates and correlations of binary voters, with the posterior of the hidden class.
 
-    The given labels start the estimate and are one more voter of it.
+    A voter that doesn't fire abstains: a lexicon word that is absent says nothing, as texts have their own languages and words. The
+    given labels and the toxic voters start the estimate, the labels give the class balance; a given label is one voter if toxic and another if not, and is taken
+    to be right in at least ``trust`` of either class. The first ``toxic_voters`` voters never speak for the clean class. Without
+    these bounds the hidden class could drift to any other that the voters tell apart.
     """
-    votes = np.concatenate([votes, labels[:, None]], axis=1).astype(np.float64)
-    q = np.where(labels > 0, 0.9, 0.1)
-    for _ in range(rounds):
-        balance = (q.sum() + 1) / (len(q) + 2)
+    votes = np.concatenate([votes, labels[:, None], 1 - labels[:, None]], axis=1).astype(np.float64)
+    q = 0.1 + 0.4 * labels + 0.4 * votes[:, :toxic_voters].any(axis=1)
+    balance = (labels.sum() + 1) / (len(q) + 2)
+    for step in range(rounds):
         rate = np.stack([((1 - q) @ votes + 1) / ((1 - q).sum() + 2), (q @ votes + 1) / (q.sum() + 2)])
-        # Correlation of what is left of the votes when the class is known.
-        left = votes - rate[0] - q[:, None] * (rate[1] - rate[0])
+        rate[1, -2:] = np.clip(rate[1, -2:], (trust, 0), (1, 1 - trust))
+        rate[0, -2:] = np.clip(rate[0, -2:], (0, trust), (1 - trust, 1))
+        rate[1, :toxic_voters] = np.maximum(rate[1], rate[0])[:toxic_voters]
+        # Correlation of what is left of the votes within each likelier class, where few mistakes of the class blur it least.
+        likely = (q > 0.5).astype(np.float64)
+        means = np.stack([(1 - likely) @ votes / max(1, (1 - likely).sum()), likely @ votes / max(1, likely.sum())])
+        left = votes - means[0] - likely[:, None] * (means[1] - means[0])
         spread = np.sqrt((left**2).sum(axis=0) + 1e-9)
-        together = np.clip(left.T @ left / np.outer(spread, spread), 0, 1)
+        together = np.clip(left.T @ left / np.outer(spread, spread), 0, 1) if step else np.zeros((votes.shape[1], votes.shape[1]))
         together[together < 0.05] = 0
-        weight = 1 / np.maximum(1, together.sum(axis=0))
-        odds = np.log(balance / (1 - balance)) + votes @ (weight * np.log(rate[1] / rate[0])) + (1 - votes) @ (weight * np.log((1 - rate[1]) / (1 - rate[0])))
+        np.fill_diagonal(together, 1)
+        # A vote shares its weight with the correlated votes that the same text has.
+        shared = np.maximum(1, votes @ together)
+        odds = np.log(balance / (1 - balance)) + (votes / shared) @ np.log(rate[1] / rate[0])
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         if np.abs(new - q).max() < 1e-6:
             q = new
             break
         q = new
-    return {"balance": balance, "rates": rate, "weights": weight, "posterior": q}
+    return {"balance": balance, "rates": rate, "correlations": together, "posterior": q}
 
 
 def fit_classifier(document: np.ndarray, feature: np.ndarray, n_features: int, target: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -110,6 +122,17 @@ def fit_classifier(document: np.ndarray, feature: np.ndarray, n_features: int, t
     return w, b
 
 
+def _first_of_copies(rows) -> np.ndarray:
+    """Near copies are one example: of the texts with a label and the same three minimal hashes of their words, the first."""
+    seen, first = set(), []
+    for label, slots in zip(rows["toxic"], rows["slots"], strict=True):
+        x = np.frombuffer(slots, np.int32).astype(np.uint64)
+        key = (label, *(int(C.mixed(x + np.uint64(k << 32)).min()) if len(x) else -1 for k in (1, 2, 3)))
+        first.append(key not in seen)
+        seen.add(key)
+    return np.array(first)
+
+
 def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE) -> dict:
     """A model from at most ``sample`` labelled training documents; without any, every score is 0."""
     marked = labels.where(training & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
@@ -130,29 +153,34 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
     empty = {"slots": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -30.0}
     if not len(rows) or rows["toxic"].nunique() < 2:
         return empty
+    rows = rows[_first_of_copies(rows)]
     label = rows["toxic"].to_numpy(np.int64)
     lists = [np.frombuffer(x, np.int32) for x in rows["slots"]]
     document, slot = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64)
     total = np.bincount(slot, minlength=1 << SLOT_BITS).astype(np.float64)
     hit = np.bincount(slot, label[document], 1 << SLOT_BITS)
     base = label.mean()
-    # How surprising the share of toxic texts among those that have the slot is.
-    surprise = np.where(total >= SUPPORT, np.abs(hit - total * base) / np.sqrt(np.maximum(total, 1) * base * (1 - base)), 0)
-    order = np.argsort(-surprise, kind="stable")
-    kept = np.sort(order[:FEATURES][surprise[order[:FEATURES]] > 0])
+    # Evidence that a slot tells the classes apart: its log likelihood against the share of toxic texts. What chance alone would
+    # show somewhere among so many slots is not kept.
+    share = np.clip(hit / np.maximum(total, 1), 1e-9, 1 - 1e-9)
+    evidence = total * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+    evidence[(total < SUPPORT) | (evidence < np.log(max(2, np.count_nonzero(total >= SUPPORT))))] = 0
+    order = np.argsort(-evidence, kind="stable")
+    kept = np.sort(order[:FEATURES][evidence[order[:FEATURES]] > 0])
     index = np.full(1 << SLOT_BITS, -1)
     index[kept] = np.arange(len(kept))
     use = index[slot] >= 0
     document, feature = document[use], index[slot[use]]
-    raised = order[: 8 * LEXICON][(hit > total * base)[order[: 8 * LEXICON]]][:LEXICON]
+    raised = order[(share[order] >= PURITY) & (evidence[order] > 0)][:LEXICON]
     voter = np.full(len(kept) + 1, -1)
-    voter[index[raised[index[raised] >= 0]]] = np.arange(int((index[raised] >= 0).sum()))
+    raised = raised[index[raised] >= 0]
+    voter[index[raised]] = np.arange(len(raised))
     votes = np.zeros((len(lists), int((voter >= 0).sum())), bool)
     fires = voter[feature] >= 0
     votes[document[fires], voter[feature[fires]]] = True
     patterns = np.stack([np.unpackbits(np.frombuffer(x, np.uint8), count=len(PATTERNS)) for x in rows["patterns"]]).astype(bool)
     silent = ~votes.any(axis=1)
-    model = fit_label_model(np.concatenate([votes, patterns, silent[:, None]], axis=1), label)
+    model = fit_label_model(np.concatenate([votes, patterns, silent[:, None]], axis=1), label, votes.shape[1])
     weights, bias = fit_classifier(document, feature, len(kept), model["posterior"])
     return {"slots": kept, "weights": weights, "bias": bias}
 
@@ -186,7 +214,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, *keep:
 
     docs: doc_id, text and what is kept; labels: doc_id, toxic (0 or 1; others are ignored). ``training`` is a condition on doc_id of
     the labels. The classifier is fitted on at most ``sample`` labelled texts, those with the smallest hashes of their ids, equal
-    texts once. Only the text is looked at in a score. A null or empty text has the score of a text without features. Every row is judged by itself, so
+    texts and near copies once. Only the text is looked at in a score. A null or empty text has the score of a text without features. Every row is judged by itself, so
     repeated rows repeat; several labels of one document count as toxic if one is. Further columns are ignored.
     """
     return score(docs, train(docs, labels, training, sample), *keep)
