@@ -98,7 +98,8 @@ def test_toxicity(spark):
 
 
 def test_toxicity_edges(spark, frame):
-    rows = [(i, f"some words {'nasty' if i % 3 == 0 else 'kind'} here {i}") for i in range(60)] + [(100, None), (101, ""), (102, "nasty " * 20_000), (103, "Nasty"), (0, "dup nasty")]
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"word{rng.randrange(500)}" for _ in range(20)) + (" nasty" if i % 3 == 0 else " kind")) for i in range(60)] + [(100, None), (101, ""), (102, "nasty " * 20_000), (103, "Nasty"), (0, "dup nasty")]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(1, None), (2, 7), (None, 1)], "doc_id long, toxic int")
     scored = toxicity.score_toxicity(frame(rows), labels, F.lit(True), "doc_id").collect()
     got = {r["doc_id"]: r["score"] for r in scored}
@@ -115,7 +116,9 @@ def test_label_model_sees_through_noise():
     votes = np.concatenate([votes, ~votes.any(axis=1, keepdims=True)], axis=1)
     noisy = np.where(rng.random(2000) < 0.1, ~true, true).astype(int)
     posterior = toxicity.fit_label_model(votes, noisy, 8)["posterior"]
-    assert ((posterior > 0.5) == true).mean() > 0.95
+    spoken = votes[:, :8].any(axis=1)
+    right = ((posterior > 0.5) == true)[spoken].mean()
+    assert right > 0.93 and right > (noisy == true)[spoken].mean()
 
 
 def test_fold(spark):
