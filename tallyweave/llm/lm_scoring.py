@@ -182,7 +182,7 @@ def score_documents(docs: DataFrame, training: F.Column) -> DataFrame:
     total = C.text_bytes(source)
     blocks, n = C.in_blocks(source, total, BLOCK_BYTES, F.col("training"))
     n_buckets = C.buckets_for(spark, total, BUCKET_BYTES)
-    asked = blocks.groupBy("block").applyInArrow(lambda block: _send(block, n_buckets), MESSAGE)
+    asked = blocks.groupBy("block").applyInArrow(lambda block: _send(block, n_buckets), MESSAGE).repartition(n_buckets, "bucket")
     totals = asked.groupBy("bucket").applyInArrow(_total, MESSAGE).repartition(n, "block")
     pair = blocks.groupBy("block").cogroup(totals.groupBy("block"))
     counted = C.stored(pair.applyInArrow(lambda block, messages: _count(block, messages, n_buckets), COUNTED), "lm-counts")

@@ -185,7 +185,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, shortest: int = S
 
     asked = blocks.groupBy("block").applyInArrow(begin, MESSAGE)
     for k in range(1, len(lengths) + 1):
-        answers = asked.groupBy("bucket").applyInArrow(_answer, MESSAGE).repartition(n, "block")
+        answers = asked.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_answer, MESSAGE).repartition(n, "block")
         pair = blocks.groupBy("block").cogroup(answers.groupBy("block"))
         asked = pair.applyInArrow(extend(k), MESSAGE) if k < len(lengths) else pair.applyInArrow(finish, RESULT)
     return asked

@@ -372,12 +372,12 @@ def remove_repeated_strings(docs: DataFrame, window: int = 100, anchor: int | No
     def number(block: pa.Table) -> int:
         return block.column("block")[0].as_py()
 
-    asked = blocks.groupBy("block").applyInArrow(lambda b: _ask(_Runs(b, window, anchor), number(b), bits, n_buckets), ASK)
+    asked = blocks.groupBy("block").applyInArrow(lambda b: _ask(_Runs(b, window, anchor), number(b), bits, n_buckets), ASK).repartition(n_buckets, "bucket")
     answers = asked.groupBy("bucket").applyInArrow(lambda m: _answer(m, part_runs), ASK).repartition(n, "block")
     strings = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         lambda b, m: _strings(_Runs(b, window, anchor), number(b), m, bits, n_buckets, window, n_shards), STRING
-    )
-    found = strings.groupBy("shard").applyInArrow(lambda s: _solve(s, window, n_buckets), FOUND)
+    ).repartition(n_shards, "shard")
+    found = strings.groupBy("shard").applyInArrow(lambda s: _solve(s, window, n_buckets), FOUND).repartition(n_buckets, "bucket")
     spans = found.groupBy("bucket").applyInArrow(_meet, FOUND).repartition(n, "block")
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
         lambda b, m: _results(b, m, window, carried), result

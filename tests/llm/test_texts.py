@@ -99,7 +99,7 @@ def test_toxicity(spark):
 
 def test_toxicity_edges(spark, frame):
     rng = random.Random(4)
-    rows = [(i, " ".join(f"word{rng.randrange(500)}" for _ in range(20)) + (" nasty" if i % 3 == 0 else " kind")) for i in range(60)] + [(100, None), (101, ""), (102, "nasty " * 20_000), (103, "Nasty"), (0, "dup nasty")]
+    rows = [(i, " ".join("".join(rng.choice("aeiklmnrst") for _ in range(3)) for _ in range(20)) + (" nasty" if i % 3 == 0 else " kind")) for i in range(60)] + [(100, None), (101, ""), (102, "nasty " * 20_000), (103, "Nasty"), (0, "dup nasty")]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(1, None), (2, 7), (None, 1)], "doc_id long, toxic int")
     scored = toxicity.score_toxicity(frame(rows), labels, F.lit(True), "doc_id").collect()
     got = {r["doc_id"]: r["score"] for r in scored}
@@ -110,15 +110,15 @@ def test_toxicity_edges(spark, frame):
 
 
 def test_label_model_sees_through_noise():
+    """Three kinds of texts, each with voters of its own, and labels of which a tenth are wrong."""
     rng = np.random.default_rng(0)
-    true = rng.random(2000) < 0.2
-    votes = np.stack([(rng.random(2000) < np.where(true, 0.7, 0.02)) for _ in range(8)], axis=1)
+    true, kind = rng.random(3000) < 0.2, rng.integers(0, 3, 3000)
+    votes = np.stack([(rng.random(3000) < np.where(true & (kind == v % 3), 0.5, 0.002)) for v in range(24)], axis=1)
     votes = np.concatenate([votes, ~votes.any(axis=1, keepdims=True)], axis=1)
-    noisy = np.where(rng.random(2000) < 0.1, ~true, true).astype(int)
-    posterior = toxicity.fit_label_model(votes, noisy, 8)["posterior"]
-    spoken = votes[:, :8].any(axis=1)
-    right = ((posterior > 0.5) == true)[spoken].mean()
-    assert right > 0.93 and right > (noisy == true)[spoken].mean()
+    noisy = np.where(rng.random(3000) < 0.1, ~true, true).astype(int)
+    posterior = toxicity.fit_label_model(votes, noisy, 24)["posterior"]
+    right = ((posterior > 0.5) == true).mean()
+    assert right > 0.93 and right > (noisy == true).mean()
 
 
 def test_fold(spark):
