@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import common as C
 
-PIVOTS = 32
+#: Most and fewest pivots, and queries that make up for one.
+PIVOTS, LEAST_PIVOTS, GROUP_QUERIES = 32, 4, 256
 #: Data points and queries in one cell.
 CELL_ROWS, CELL_QUERIES = 16_384, 1024
 #: Largest absolute component whose products doubles add up exactly, for up to 2^13 components.
@@ -28,10 +29,17 @@ BEST = "query_id long, query long, vec_id long, score long"
 BEST_ARROW = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
-def _matrix(rows: list, size: int) -> np.ndarray:
-    out = np.zeros((len(rows), size), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    """Lists of numbers as rows of a matrix, the shorter ones filled with zeros."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    lengths = np.asarray(lists.value_lengths(), np.int64)
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(lengths) and (lengths == size).all():
+        return values.reshape(-1, size)
+    out = np.zeros((len(lengths), size), np.int64)
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    out[row, np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
     return out
 
 
@@ -66,18 +74,20 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
     rows = vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("is_query")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(finite)
     rows = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("components"), "is_query")
     length = F.aggregate("components", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    shape = rows.agg(F.max(F.size("components")).alias("size"), F.max(length).alias("largest"), F.count("*").alias("n")).first()
+    shape = rows.agg(F.max(F.size("components")).alias("size"), F.max(length).alias("largest"), F.count("*").alias("n"), F.count_if("is_query").alias("queries")).first()
     if not shape["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     size, largest = int(shape["size"]), float(shape["largest"])
+    # Each query group may draw all data to it, so there are no more groups than queries can fill.
+    pivots = min(pivots, max(LEAST_PIVOTS, math.ceil(shape["queries"] / GROUP_QUERIES)))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("components").collect()
-    points = _lifted(_matrix([r["components"] for r in chosen], size).astype(np.float64), largest)
+    points = _lifted(_matrix(pa.array([r["components"] for r in chosen], pa.list_(pa.int64())), size).astype(np.float64), largest)
     # Distances are rounded; bounds are widened by far more than that.
     slack = 1e-6 * math.sqrt(largest) + 1e-6
 
     def assign(batches):
         for batch in batches:
-            vectors = _matrix(batch.column("components").to_pylist(), size).astype(np.float64)
+            vectors = _matrix(batch.column("components"), size).astype(np.float64)
             as_data = _distances(_lifted(vectors, largest), points)
             as_query = _distances(np.concatenate([vectors, np.zeros((len(vectors), 1))], axis=1), points)
             query, data = as_query.argmin(axis=1), as_data.argmin(axis=1)
@@ -131,8 +141,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
         ids, query_ids, prints = data.column("vec_id").to_numpy(), queries.column("of_vec_id").to_numpy(), queries.column("of_query").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        x = _matrix(data.column("components").to_pylist(), size)[order]
-        q = _matrix(queries.column("of_components").to_pylist(), size)
+        x = _matrix(data.column("components"), size)[order]
+        q = _matrix(queries.column("of_components"), size)
         out = []
         for a in range(0, len(q), 128):
             scores = _products(q[a : a + 128], x)
