@@ -11,6 +11,7 @@ import math
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +75,23 @@ def buckets_for(spark: SparkSession, total: int, bucket_bytes: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bucket_bytes))
 
 
+# Texts in tasks.
+
+#: Bytes of text that a task turns into Python objects or wide arrays at a time.
+WORKING_BYTES = 1 << 20
+
+
+def small(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about WORKING_BYTES of ``column``; a longer text is a batch of its own."""
+    for batch in batches:
+        sums = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + WORKING_BYTES, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 # Documents of a block as flat arrays.
 
 

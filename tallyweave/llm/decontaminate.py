@@ -136,7 +136,7 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, width: int = 10,
 
     def run(batches):
         held, size = [], 0
-        for batch in batches:
+        for batch in C.small(batches):
             held.append(batch)
             size += batch.nbytes
             if len(shared) == 1 or size >= SCAN_BYTES:

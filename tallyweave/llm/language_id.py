@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm import common as C
+
 SLOTS = 1 << 15
 #: A matrix of more languages than this isn't broadcast; the caller must lower ``slots``.
 MATRIX_CELLS = 1 << 24
 UNDETERMINED = "und"
-#: Characters handled at once.
-SLICE = 1 << 20
 _LETTERS: list[np.ndarray] = []
 
 
@@ -46,33 +46,19 @@ def trigrams(texts: list[str], slots: int) -> tuple[np.ndarray, np.ndarray]:
     return ((x >> np.uint64(40)) % np.uint64(slots)).astype(np.int64), sums[ends] - sums[ends - lengths]
 
 
-def _slices(texts: list[str]):
-    """Runs of texts of about SLICE characters together."""
-    start, total = 0, 0
-    for i, t in enumerate(texts):
-        total += len(t)
-        if total >= SLICE:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def train(docs: DataFrame, slots: int = SLOTS) -> dict:
     """Model of (text, lang) rows; rows without a language or a text take no part."""
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
-        for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            for a, b in _slices(texts):
-                slot, sizes = trigrams(texts[a:b], slots)
-                names, which = np.unique(np.array(langs[a:b], dtype=object).astype(str), return_inverse=True)
-                both = np.bincount(np.repeat(which, sizes) * slots + slot, minlength=len(names) * slots).reshape(len(names), slots)
-                for name, of, n in zip(names.tolist(), both, np.bincount(which, minlength=len(names)).tolist(), strict=True):
-                    counts[name] = counts[name] + of if name in counts else of
-                    rows[name] = rows.get(name, 0) + n
+        for batch in C.small(batches):
+            slot, sizes = trigrams(batch.column("text").to_pylist(), slots)
+            names, which = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object).astype(str), return_inverse=True)
+            both = np.bincount(np.repeat(which, sizes) * slots + slot, minlength=len(names) * slots).reshape(len(names), slots)
+            for name, of, n in zip(names.tolist(), both, np.bincount(which, minlength=len(names)).tolist(), strict=True):
+                counts[name] = counts[name] + of if name in counts else of
+                rows[name] = rows.get(name, 0) + n
         for name, of in counts.items():
             used = np.flatnonzero(of)
             # Slot -1 counts the documents.
@@ -107,19 +93,17 @@ def predict(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
     def run(batches):
         m = shared.value
         names = np.array([*m["languages"], UNDETERMINED], dtype=object)
-        for batch in batches:
+        for batch in C.small(batches, "__text"):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
-            for a, b in _slices(texts) if m["languages"] else ():
-                slot, sizes = trigrams(texts[a:b], m["slots"])
-                has = np.flatnonzero(sizes)
-                if not len(has):
-                    continue
+            slot, sizes = trigrams(texts, m["slots"])
+            has = np.flatnonzero(sizes)
+            if m["languages"] and len(has):
                 logs = np.add.reduceat(m["matrix"][slot], (np.cumsum(sizes) - sizes)[has], axis=0) + m["prior"]
                 share = np.exp(logs - logs.max(axis=1, keepdims=True))
                 share /= share.sum(axis=1, keepdims=True)
                 top = logs.argmax(axis=1)
-                best[a + has], score[a + has] = top, share[np.arange(len(has)), top]
+                best[has], score[has] = top, share[np.arange(len(has)), top]
             arrays = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]
             kept = [n for n in batch.schema.names if n != "__text"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])

@@ -77,7 +77,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, longest: int, end_id: int) ->
     """doc_id, doc_tokens, pieces: each document's ids, and the end after them, cut into powers of two."""
 
     def cut(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             end = np.array([end_id], "<u4").tobytes()
             rows = []

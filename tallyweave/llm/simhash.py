@@ -67,7 +67,7 @@ def add_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """(doc_id, text_hash, fp): the SimHash of each whole text, lower-cased in A-Z, as a signed 64-bit integer."""
 
     def run(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             prints = fingerprints([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(prints.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 

@@ -23,11 +23,11 @@ from pyspark.sql.types import StructType
 from tallyweave.llm import common as C
 from tallyweave.llm.suffix_array import repeated_windows
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 BUCKET_BYTES = 64 << 20
 SHARD_BYTES = 8 << 20
 #: Bytes whose suffixes are sorted at once; a larger group of one anchor is still sorted as a whole.
-SORTED_BYTES = 1 << 20
+SORTED_BYTES = 1 << 19
 #: Runs of one anchor in one part.
 PART_RUNS = 4096
 #: A byte that UTF-8 text doesn't have.
@@ -317,13 +317,13 @@ def _meet(messages: pa.Table) -> pa.Table:
 def _results(block: pa.Table, messages: pa.Table, window: int, carried: list[str]) -> pa.Table:
     block = C.ordered(block)
     data, offsets = C.flat_text(block.column("text"))
-    edge = np.zeros(len(data) + 1, np.int64)
+    edge = np.zeros(len(data) + 1, np.int32)
     for r in messages.to_pylist():
         starts, stops = _unpacked_spans(r["starts"])
         np.add.at(edge, starts, 1)
         np.add.at(edge, stops - 1 + window, -1)
-    gone = np.cumsum(edge)[: len(data)] > 0
-    removed = np.concatenate([[0], np.cumsum(gone)])
+    gone = np.cumsum(edge, dtype=np.int32)[: len(data)] > 0
+    removed = np.concatenate([[0], np.cumsum(gone, dtype=np.int32)])
     raw, rows = data.tobytes(), []
     for doc_id, a, b in zip(block.column("doc_id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         n = int(removed[b] - removed[a])

@@ -15,6 +15,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tallyweave.llm import common as C
+
 COUNT = "doc_id long, n_bytes long, n_tokens long"
 CACHED, CACHED_CHARS = 300_000, 64
 #: A space inside white space, where white space may belong to one pre-token across the space.
@@ -139,7 +141,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataF
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             of = counter(tokenizer).count
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             counts = [of(t.decode(errors="replace")) for t in texts]

@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["text", "__toxic"])
 
     def extract(batches):
-        for batch in batches:
+        for batch in C.small(batches):
             document, slot, patterns = _features(pa.chunked_array([batch.column("text")]))
             cuts = np.searchsorted(document, np.arange(batch.num_rows + 1))
             rows = [slot[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
         m = shared.value
         weight = np.zeros(1 << SLOT_BITS)
         weight[m["slots"]] = m["weights"]
-        for batch in batches:
+        for batch in C.small(batches, "__text"):
             data, offsets = C.flat_text(pa.chunked_array([batch.column("__text")]))
             slot, document = _slots(data, offsets)
             use = weight[slot] != 0
