@@ -81,13 +81,13 @@ def buckets_for(spark: SparkSession, total: int, bucket_bytes: int) -> int:
 WORKING_BYTES = 1 << 20
 
 
-def small(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about WORKING_BYTES of ``column``; a longer text is a batch of its own."""
+def small(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = WORKING_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes of ``column``; a longer text is a batch of its own."""
     for batch in batches:
         sums = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + WORKING_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(sums, (sums[start - 1] if start else 0) + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -22,7 +22,9 @@ CUT = "doc_id long, doc_tokens long, pieces array<struct<start:long,length:long,
 PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 CUT_ARROW = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("pieces", pa.list_(PIECE))])
 #: Words whose ids a worker keeps, and the longest of them in bytes.
-CACHED, CACHED_BYTES = 400_000, 64
+CACHED, CACHED_BYTES = 700_000, 64
+#: Bytes of text whose new words are looked up together.
+TEXT_BYTES = 8 << 20
 #: Documents that one task numbers.
 NUMBERED = 100_000
 _TOKENIZERS: dict[str, tuple] = {}
@@ -77,7 +79,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, longest: int, end_id: int) ->
     """doc_id, doc_tokens, pieces: each document's ids, and the end after them, cut into powers of two."""
 
     def cut(batches):
-        for batch in C.small(batches):
+        for batch in C.small(batches, limit=TEXT_BYTES):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             end = np.array([end_id], "<u4").tobytes()
             rows = []
