@@ -46,6 +46,20 @@ def _words(text: bytes) -> list[bytes]:
     return (text if b"<|" in text else text.lower()).split()
 
 
+def _word_ids(words: list[bytes], tokenizer) -> list[bytes]:
+    """Ids of each word. Words go through the tokenizer as one text, parted by a bar between blanks, which is a token by itself; words
+    with a bar go alone."""
+    encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    bar, joined = encode("|"), [w for w in words if b"|" not in w]
+    found = {}
+    if len(bar) == 1 and joined:
+        ids = encode(" | ".join(w.decode(errors="replace") for w in joined))
+        parts = np.split(ids, np.flatnonzero(ids == bar[0]))
+        if len(parts) == len(joined):
+            found = {w: x[min(i, 1) :].tobytes() for i, (w, x) in enumerate(zip(joined, parts, strict=True))}
+    return [found[w] if w in found else encode(w.decode(errors="replace")).tobytes() for w in words]
+
+
 def _ids(texts: list[bytes], name: str) -> list[bytes]:
     tokenizer, cache = _tokenizer(name)
     if len(cache) > CACHED:
@@ -53,10 +67,9 @@ def _ids(texts: list[bytes], name: str) -> list[bytes]:
     split = [_words(t) for t in texts]
     missing = list({w for words in split for w in words if w not in cache})
     more = {}
-    for i in range(0, len(missing), 4096):
-        part = missing[i : i + 4096]
-        for word, encoded in zip(part, tokenizer.encode_batch([w.decode(errors="replace") for w in part], add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, "<u4").tobytes()
+    for i in range(0, len(missing), 1024):
+        part = missing[i : i + 1024]
+        for word, ids in zip(part, _word_ids(part, tokenizer), strict=True):
             (cache if len(word) <= CACHED_BYTES else more)[word] = ids
     if more:
         both = lambda w: cache[w] if w in cache else more[w]
