@@ -8,6 +8,7 @@ nothing is padded. Sequences are numbered bucket by bucket, longest first, and b
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm import common as C
+from tallyweave.llm.token_counts import byte_symbols
 
 CUT = "doc_id long, doc_tokens long, pieces array<struct<start:long,length:long,ids_crc32:long>>"
 PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -27,6 +29,9 @@ CACHED, CACHED_BYTES = 700_000, 64
 TEXT_BYTES = 8 << 20
 #: Documents that one task numbers.
 NUMBERED = 100_000
+#: Punctuation that the tokenizer parts from a letter before it.
+_TAIL = b".,!?;:"
+_SYMBOLS = byte_symbols()
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -46,18 +51,19 @@ def _words(text: bytes) -> list[bytes]:
     return (text if b"<|" in text else text.lower()).split()
 
 
-def _word_ids(words: list[bytes], tokenizer) -> list[bytes]:
-    """Ids of each word. Words go through the tokenizer as one text, parted by a bar between blanks, which is a token by itself; words
-    with a bar go alone."""
-    encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-    bar, joined = encode("|"), [w for w in words if b"|" not in w]
-    found = {}
-    if len(bar) == 1 and joined:
-        ids = encode(" | ".join(w.decode(errors="replace") for w in joined))
-        parts = np.split(ids, np.flatnonzero(ids == bar[0]))
-        if len(parts) == len(joined):
-            found = {w: x[min(i, 1) :].tobytes() for i, (w, x) in enumerate(zip(joined, parts, strict=True))}
-    return [found[w] if w in found else encode(w.decode(errors="replace")).tobytes() for w in words]
+def _word_ids(word: bytes, tokenizer, cache: dict[bytes, bytes]) -> bytes:
+    """Ids of one word. Punctuation after a letter is a part by itself, so it is cut off and both parts looked up. A part that is
+    letters in the form the tokenizer would bring it to goes straight to its merges."""
+    base = word.rstrip(_TAIL)
+    if base and len(base) < len(word) and 97 <= base[-1] <= 122 and b"<|" not in word:
+        for part in (base, word[len(base) :]):
+            if part not in cache:
+                cache[part] = _word_ids(part, tokenizer, cache)
+        return cache[base] + cache[word[len(base) :]]
+    text = word.decode(errors="replace")
+    if text.isalpha() and text == text.lower() and unicodedata.is_normalized("NFC", text):
+        return np.array([t.id for t in tokenizer.model.tokenize(word.decode("latin-1").translate(_SYMBOLS))], "<u4").tobytes()
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def _ids(texts: list[bytes], name: str) -> list[bytes]:
@@ -67,10 +73,11 @@ def _ids(texts: list[bytes], name: str) -> list[bytes]:
     split = [_words(t) for t in texts]
     missing = list({w for words in split for w in words if w not in cache})
     more = {}
-    for i in range(0, len(missing), 1024):
-        part = missing[i : i + 1024]
-        for word, ids in zip(part, _word_ids(part, tokenizer), strict=True):
-            (cache if len(word) <= CACHED_BYTES else more)[word] = ids
+    for word in missing:
+        if len(word) <= CACHED_BYTES:
+            cache[word] = _word_ids(word, tokenizer, cache)
+        else:
+            more[word] = _word_ids(word, tokenizer, {})
     if more:
         both = lambda w: cache[w] if w in cache else more[w]
         return [b"".join(map(both, words)) for words in split]
