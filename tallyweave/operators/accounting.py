@@ -152,11 +152,12 @@ def share_of(weight: Column, part: Column, whole: Column) -> Column:
 def allocate_labels(linked: DataFrame, timesheets: DataFrame) -> DataFrame:
     """Weight of contractor lines per project label.
 
-    Weights are summed per span before they meet the span's labels, so the fan-out happens on distinct spans.
+    Weights are summed per span before they meet the span's labels, so the fan-out happens on distinct spans. A span whose hours
+    cancel out can't be split; its weight is unresolved.
     """
     weighted = linked.filter("weight <> 0")
     per_span = weighted.groupBy(*SPAN).agg(F.sum(exact("weight")).alias("weight"))
-    labels = span_labels(spans_of(weighted), timesheets)
+    labels = span_labels(spans_of(weighted), timesheets).filter("span_hours <> 0")
     spread = per_span.alias("l").join(labels.alias("s"), same_span("l", "s"), "left")
     return spread.select(
         F.coalesce("s.label", F.lit(UNRESOLVED_PROJECT)).alias("project"),

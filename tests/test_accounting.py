@@ -128,3 +128,13 @@ def test_upserted_invoices_keep_their_id(spark):
     merged = merges.upsert_invoices(stored, incoming)
     assert sorted(r.id for r in merged.invoices.collect()) == [1, 2, 12]
     assert sorted((r.invoice_id, r.hours) for r in merged.lines.collect()) == [(1, 9.0), (12, 8.0)]
+
+
+def test_hours_that_cancel_out_leave_a_span_unresolved(spark):
+    day = date(2026, 5, 4)
+    sheets = spark.createDataFrame(
+        [(f"h{i}", str(i), "A B", "a b", hours, day, False, True, "Posted", f"PR{i}", f"P{i}", "CAPEX") for i, hours in enumerate((8.0, -8.0))], SHEETS
+    )
+    linked = spark.createDataFrame([("a b", day, day, 100.0)], "resolved string, span_start date, span_end date, weight double")
+    rows = accounting.allocate_labels(linked, sheets).collect()
+    assert [(r["project"], float(r["spend"])) for r in rows] == [("Unresolved", 100.0)]
