@@ -10,8 +10,6 @@ from tallyweave.functions.money import cents, exact, exact_sum
 from tallyweave.functions.strings import any_of, col
 from tallyweave.operators.hours import PERSON, billable, days_in_spans, in_window, is_counted, same_span, spans_of
 
-# Fixed value: no listing returns more rows than this, however many are asked for.
-LISTING_LIMIT = 500
 SUGGESTIONS = 6
 
 
@@ -45,14 +43,18 @@ def matches_search(text: str) -> Column:
     return any_of([F.contains(F.lower(f), F.lit(wanted)) for f in fields]) if wanted else F.lit(True)
 
 
-def search_timesheets(timesheets: DataFrame, text: str | None = None, limit: int = 50) -> DataFrame:
-    """Timesheets whose person contains the text, by name. The limit is the page size of the listing."""
+def search_timesheets(timesheets: DataFrame, text: str | None = None, limit: int | None = 50) -> DataFrame:
+    """Timesheets whose person contains the text, by name. The limit is the caller's page size; None returns them all."""
     found = timesheets.filter(F.contains(PERSON, F.lit(text.lower()))) if text else timesheets
-    return found.orderBy("contractor_name", "entry_order").limit(min(limit, LISTING_LIMIT))
+    return _page(found.orderBy("contractor_name", "entry_order"), limit)
 
 
-def list_projects(projects: DataFrame, limit: int = 50) -> DataFrame:
-    return projects.orderBy("project_id").limit(min(limit, LISTING_LIMIT))
+def list_projects(projects: DataFrame, limit: int | None = 50) -> DataFrame:
+    return _page(projects.orderBy("project_id"), limit)
+
+
+def _page(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
 
 
 def sort_board(cards: DataFrame, key: str) -> DataFrame:

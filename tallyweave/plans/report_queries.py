@@ -339,9 +339,9 @@ def flt_search(d):
 
 @query("flt_timesheet_search", f"""
     SELECT contractor_name, {day_text('date_worked')} AS date_worked, hours, source_row_hash FROM timesheets
-    WHERE contains(contractor_name_normalized, 'ran') ORDER BY contractor_name, entry_order LIMIT 500""")
+    WHERE contains(contractor_name_normalized, 'ran') ORDER BY contractor_name, entry_order""")
 def flt_timesheet_search(d):
-    return boards.search_timesheets(d.timesheets(), "RAN", 1000).select("contractor_name", "date_worked", "hours", "source_row_hash")
+    return boards.search_timesheets(d.timesheets(), "RAN", None).select("contractor_name", "date_worked", "hours", "source_row_hash")
 
 
 @query("rank_limit", """
