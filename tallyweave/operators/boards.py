@@ -10,9 +10,6 @@ from tallyweave.functions.money import cents, exact, exact_sum
 from tallyweave.functions.strings import any_of, col
 from tallyweave.operators.hours import PERSON, billable, days_in_spans, in_window, is_counted, same_span, spans_of
 
-SUGGESTIONS = 6
-
-
 def contractor_board(invoices: DataFrame) -> DataFrame:
     """Active contractor invoices with the column of the board they stand in."""
     column = F.when(F.col("status") == MATCHED, MATCHED).when(
@@ -94,22 +91,22 @@ def other_cards(invoices: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def vendor_suggestions(invoices: DataFrame, text: str) -> DataFrame:
-    """Six vendors containing the text with invoice counts, by name; the first prefix hit is marked."""
+def vendor_suggestions(invoices: DataFrame, text: str, limit: int | None = 6) -> DataFrame:
+    """Vendors containing the text with invoice counts, by name; the first prefix hit is marked. None returns them all."""
     wanted = text.strip().lower()
     vendors = invoices.filter("vendor_name is not null").groupBy("vendor_name").agg(F.count(F.lit(1)).alias("invoices"))
     prefix = vendors.filter(F.startswith(F.lower("vendor_name"), F.lit(wanted))).agg(F.min("vendor_name")).scalar()
     found = vendors.filter(F.contains(F.lower("vendor_name"), F.lit(wanted)))
-    return found.orderBy("vendor_name").limit(SUGGESTIONS).withColumn(
+    return _page(found.orderBy("vendor_name"), limit).withColumn(
         "is_completion", F.coalesce(F.col("vendor_name") == prefix, F.lit(False))
     )
 
 
-def invoice_suggestions(invoices: DataFrame, text: str) -> DataFrame:
-    """Six invoices whose number contains the text or whose id equals it."""
+def invoice_suggestions(invoices: DataFrame, text: str, limit: int | None = 6) -> DataFrame:
+    """Invoices whose number contains the text or whose id equals it, newest first. None returns them all."""
     wanted = text.strip().lower()
     hit = F.contains(F.lower("invoice_number"), F.lit(wanted)) | (F.col("id").cast("string") == wanted)
-    return invoices.filter(F.coalesce(hit, F.lit(False))).orderBy(F.desc("created_at"), F.desc("id")).limit(SUGGESTIONS)
+    return _page(invoices.filter(F.coalesce(hit, F.lit(False))).orderBy(F.desc("created_at"), F.desc("id")), limit)
 
 
 def line_entries(lines: DataFrame, timesheets: DataFrame) -> DataFrame:

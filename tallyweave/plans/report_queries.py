@@ -420,17 +420,17 @@ def fn_json_field(d):
 @query("agg_vendor_suggest", """
     SELECT 'vendor' AS kind, vendor_name AS label, count(*) AS invoices,
            vendor_name = (SELECT min(vendor_name) FROM spend_invoices WHERE starts_with(lower(vendor_name), 'customer 1')) AS is_completion
-    FROM spend_invoices WHERE contains(lower(vendor_name), 'customer 1') GROUP BY ALL ORDER BY vendor_name LIMIT 6""")
+    FROM spend_invoices WHERE contains(lower(vendor_name), 'customer 1') GROUP BY ALL ORDER BY vendor_name""")
 def agg_vendor_suggest(d):
-    found = boards.vendor_suggestions(d.spend_invoices(), "Customer 1 ")
+    found = boards.vendor_suggestions(d.spend_invoices(), "Customer 1 ", None)
     return found.select(F.lit("vendor").alias("kind"), F.col("vendor_name").alias("label"), "invoices", "is_completion")
 
 
 @query("agg_vendor_suggest_numbers", f"""
     SELECT id, invoice_number FROM spend_invoices WHERE contains(lower(invoice_number), '-12') OR CAST(id AS VARCHAR) = '-12'
-    ORDER BY {_BOARD_ORDER} LIMIT 6""")
+    ORDER BY {_BOARD_ORDER}""")
 def agg_vendor_suggest_numbers(d):
-    return boards.invoice_suggestions(d.spend_invoices(), "-12").select("id", "invoice_number")
+    return boards.invoice_suggestions(d.spend_invoices(), "-12", None).select("id", "invoice_number")
 
 
 @query("agg_detail_totals", f"""
