@@ -267,13 +267,18 @@ def fresh_folder(d):
 
 
 def exported_folder(d):
-    """Write the export as CSV files into a fresh place of the shared folder: one UTF-8 set, one Windows set."""
+    """Write the export as CSV files into a fresh place of the shared folder.
+
+    One set is UTF-8 with task names that hold quotes and line breaks, one is Windows text with its columns in reverse.
+    """
     folder = fresh_folder(d)
     raw = d.raw().withColumn("resource_manager", F.replace("resource_manager", F.lit("a"), F.lit("á")))
-    for part, encoding in ((0, "utf-8"), (1, "iso-8859-1")):
-        rows = raw.filter(F.col("row_order").cast("long") % 2 == part)
+    is_even = F.col("row_order").cast("long") % 2 == 0
+    quoted = export_headers(raw.filter(is_even).withColumn("task_name", F.concat(F.lit('"'), "task_name", F.lit('",\n'))))
+    reverse = export_headers(raw.filter(~is_even))
+    for rows, encoding in ((quoted, "utf-8"), (reverse.select(*reversed(reverse.columns)), "iso-8859-1")):
         (
-            export_headers(rows).write.option("header", True).option("encoding", encoding)
+            rows.write.option("header", True).option("encoding", encoding).option("escape", '"')
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .option("emptyValue", "").csv(f"{folder}/{encoding}")
         )
@@ -282,8 +287,9 @@ def exported_folder(d):
 
 EXPORT_SQL = """
     SELECT resource_name, replace(resource_manager, 'a', 'á') AS resource_manager, time_sheet_status, period_start,
-           period_finish, investment_id, investment_name, investment_manager, charge_code, task_name, date_worked,
-           hours, resource_id FROM timesheet_raw"""
+           period_finish, investment_id, investment_name, investment_manager, charge_code,
+           CASE WHEN CAST(row_order AS BIGINT) % 2 = 0 THEN '"' || task_name || '",' || chr(10) ELSE task_name END AS task_name,
+           date_worked, hours, resource_id FROM timesheet_raw"""
 
 
 @query("src_timesheet_csv", EXPORT_SQL)

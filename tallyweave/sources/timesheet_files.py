@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,7 @@ ENCODINGS = ("utf-8", "cp1252", "iso-8859-1")
 _WINDOWS_BYTES = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
 _LATIN_BLOCK = "".join(map(chr, _WINDOWS_BYTES))
 _WINDOWS_BLOCK = bytes(_WINDOWS_BYTES).decode("cp1252")
+_NOT_WINDOWS = "".join(rf"\x{b:02x}" for b in range(0x80, 0xA0) if b not in _WINDOWS_BYTES)
 
 
 def require_columns(columns: list[str]) -> None:
@@ -50,75 +52,83 @@ def canonical_columns(df: DataFrame) -> DataFrame:
     return df.select(*extra, *kept)
 
 
-def _fits(encoding: str):
-    def check(content: pd.Series) -> pd.Series:
-        def decodes(data: bytes) -> bool:
-            try:
-                bytes(data).decode(encoding)
-                return True
-            except UnicodeDecodeError:
-                return False
-
-        return content.map(decodes)
-
-    check.__annotations__ = {"content": pd.Series, "return": pd.Series}
-    return F.pandas_udf(check, T.BooleanType())
-
+def scan_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, modified, encoding, header, torn)`` of every export under ``path`` that holds a line.
 
-def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, modified, encoding)`` of every export under ``path``: the first encoding that decodes it."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    chosen: Column = F.lit(ENCODINGS[-1])
-    for name in reversed(ENCODINGS[:-1]):
-        chosen = F.when(_fits(name)("content"), name).otherwise(chosen)
-    return files.select("path", F.col("modificationTime").alias("modified"), chosen.alias("encoding"))
+    The encoding is the first that decodes every line. ``torn`` says that a quoted cell may run over a line break: some line
+    holds an odd number of quotes. Lines are judged one by one, so no file has to fit into a cell.
+    """
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("modified"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("line")).alias("place"),
+        F.col("value").cast("binary").alias("bytes"),
+        F.is_valid_utf8("value").alias("is_utf8"),
+    )
+    latin = F.decode("bytes", "iso-8859-1")
+    files = lines.groupBy("path").agg(
+        F.max("modified").alias("modified"),
+        F.bool_and("is_utf8").alias("utf8"),
+        F.bool_and(~latin.rlike(f"[{_NOT_WINDOWS}]")).alias("windows"),
+        F.min_by("bytes", "place").alias("first_line"),
+        F.bool_or(F.length(F.regexp_replace(latin, '[^"]', "")) % 2 == 1).alias("torn"),
+    )
+    encoding = F.when(F.col("utf8"), ENCODINGS[0]).when(F.col("windows"), ENCODINGS[1]).otherwise(ENCODINGS[2])
+    text = F.when(F.col("utf8"), F.decode("first_line", "utf-8")).otherwise(F.decode("first_line", "iso-8859-1"))
+    return files.select("path", "modified", encoding.alias("encoding"), text.alias("header"), "torn")
 
 
 def newest_file(spark: SparkSession, path: str) -> DataFrame:
-    """The newest csv / xls export in a folder, as one row ``(path, modified)``."""
+    """The newest csv / xls export in a folder, as one row ``(path, modified)``; of equally new ones the last by path."""
     files = spark.read.format("binaryFile").load(path).select("path", "modificationTime")
     exports = files.filter(F.lower("path").rlike(r"\.(csv|xls[a-z]?)$"))
-    return exports.agg(F.max_by("path", "modificationTime").alias("path"), F.max("modificationTime").alias("modified"))
+    return exports.agg(
+        F.max_by("path", F.struct("modificationTime", "path")).alias("path"), F.max("modificationTime").alias("modified")
+    )
+
 
+def _header_cells(line: str) -> list[str]:
+    return [cell.strip() for cell in next(csv.reader([line.lstrip("\ufeff")]), [])]
 
-def read_timesheet_csv(spark: SparkSession, path: str | list[str], encoding: str = "utf-8") -> DataFrame:
-    """Every column as text; only an empty cell is null, so a literal ``NA`` survives.
 
-    ``row_order`` is a text that sorts rows as they stand in their file.
+def read_timesheet_csv(
+    spark: SparkSession, paths: list[str], header: list[str], encoding: str = "utf-8", torn: bool = False
+) -> DataFrame:
+    """Files of one header, every known column as text; only an empty cell is null, so a literal ``NA`` survives.
+
+    Quotes inside a cell are doubled. ``torn`` files are read whole by one task each, as their cells may hold line breaks.
+    Of columns with the same name the first counts. ``row_order`` is a text that sorts rows as they stand in their file.
     """
-    charset = "utf-8" if encoding == "utf-8" else "iso-8859-1"
+    schema = T.StructType([T.StructField(f"cell_{i}", T.StringType()) for i in range(len(header))])
     reader = (
-        spark.read.option("header", True).option("encoding", charset)
-        .option("nullValue", "").option("emptyValue", "").option("inferSchema", False)
+        spark.read.schema(schema).option("header", True).option("encoding", "utf-8" if encoding == "utf-8" else "iso-8859-1")
+        .option("nullValue", "").option("emptyValue", "").option("escape", '"').option("multiLine", torn)
     )
-    df = reader.csv(path)
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     order = F.concat_ws(
         "|",
         F.col("_metadata.file_path"),
         F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
         F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"),
     )
-    cells = [F.col(f"`{c}`") for c in df.columns]
+    cells = {name: F.col(f"cell_{i}") for i, name in reversed(list(enumerate(header))) if name in EXPORT_COLUMNS}
     if encoding == "cp1252":
-        cells = [F.translate(c, _LATIN_BLOCK, _WINDOWS_BLOCK).alias(n) for c, n in zip(cells, df.columns)]
-    return df.select(*cells, order.alias("row_order"))
-
-
-def paths_by_encoding(files: DataFrame) -> dict[str, list[str]]:
-    """Paths per encoding. One row per file is collected: the listing, never the data."""
-    chosen: dict[str, list[str]] = {}
-    for row in files.select("path", "encoding").toLocalIterator():
-        chosen.setdefault(row["encoding"], []).append(row["path"])
-    return chosen
+        cells = {name: F.translate(cell, _LATIN_BLOCK, _WINDOWS_BLOCK) for name, cell in cells.items()}
+    return reader.csv(paths).select(*[cell.alias(name) for name, cell in cells.items()], order.alias("row_order"))
 
 
 def read_timesheet_folder(spark: SparkSession, path: str) -> DataFrame:
-    """All exports under ``path``, each read in the encoding that fits it."""
-    parts = [
-        canonical_columns(read_timesheet_csv(spark, paths, encoding))
-        for encoding, paths in sorted(paths_by_encoding(file_encodings(spark, path)).items())
-    ]
+    """All exports under ``path``: files of one encoding and header are read together, then joined by column name.
+
+    Files without a line are passed over. The driver holds one short row per file, as it does for any file listing.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for row in scan_files(spark, path).toLocalIterator():
+        groups.setdefault((row["encoding"], row["header"], row["torn"]), []).append(row["path"])
+    parts = []
+    for (encoding, header, torn), paths in sorted(groups.items()):
+        if header.count('"') % 2:
+            raise ValueError(f"The header of {paths[0]} is cut by a line break")
+        parts.append(canonical_columns(read_timesheet_csv(spark, sorted(paths), _header_cells(header), encoding, torn)))
     if not parts:
         raise ValueError(f"No timesheet export under {path}")
     whole = parts[0]

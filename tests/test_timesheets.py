@@ -70,6 +70,24 @@ def test_csv_encodings(spark, tmp_path):
     assert [(r.resource_name, r.investment_id, r.task_name) for r in rows] == [("Núñez, Ana", "NA", None), ("Núñez, Ana", "PR1", "“x”")]
 
 
+def test_csv_mixed_headers_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Resource Name,Date Worked,Investment ID,Time Entry Hours\n\"Roe, Jan\",5/11/26,PR1,8.0\n")
+    (tmp_path / "b.csv").write_text(
+        'Date Worked,Task Name,Time Entry Hours,Other,Investment ID,Resource Name,Task Name\n'
+        '5/12/26,"say ""hi"", then\nrest",4.0,x,PR2,"Roe, Jan",second\n5/13/26,,1.0,,PR2,"Poe, Ann",second\n'
+    )
+    (tmp_path / "empty.csv").write_text("")
+    rows = files.read_timesheet_folder(spark, str(tmp_path)).orderBy("date_worked").collect()
+    assert [(r.resource_name, r.date_worked, r.investment_id, r.hours, r.task_name) for r in rows] == [
+        ("Roe, Jan", "5/11/26", "PR1", "8.0", None),
+        ("Roe, Jan", "5/12/26", "PR2", "4.0", 'say "hi", then\nrest'),
+        ("Poe, Ann", "5/13/26", "PR2", "1.0", None),
+    ]
+    (tmp_path / "c.csv").write_text("Resource Name,Date Worked\nx,y\n")
+    with pytest.raises(ValueError, match="Time Entry Hours"):
+        files.read_timesheet_folder(spark, str(tmp_path))
+
+
 def test_nested_payload(spark, tmp_path):
     (tmp_path / "p.json").write_text(
         '{"resourceId":"7","resourceName":"Zarton, Balran","status":{"displayValue":"Posted"},"timePeriodStart":"2026-05-11T00:00:00",'
