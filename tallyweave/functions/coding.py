@@ -38,10 +38,10 @@ class Policy:
     """Customer-specific accounting values. Companies are tried in order for project-name patterns."""
 
     companies: tuple[Company, ...] = ()
-    # Default ledger codes per expense class and the vendor texts that override the second.
-    capex_gl: str = "246010"
-    opex_gl: str = "667040"
-    opex_gl_by_vendor_text: dict[str, str] = field(default_factory=lambda: {"cigniti": "667070", "tata": "667070"})
+    # Ledger codes per expense class, and texts in vendor names that lead to another code than ``opex_gl``.
+    capex_gl: str = ""
+    opex_gl: str = ""
+    opex_gl_by_vendor_text: dict[str, str] = field(default_factory=dict)
     supplier_number_prefix: str = ""
 
     def _choose(self, key: Column, attribute: str) -> Column:
@@ -80,8 +80,8 @@ class Policy:
         return F.when(kind == CAPEX, self.capex_gl).when(kind == OPEX, opex).otherwise("")
 
     def class_of_gl(self, gl_code: Column) -> Column:
-        """Reverse map of the two default ledger codes; joined lists and overrides are unknown."""
-        code = strip(gl_code)
+        """Reverse map of the two ledger codes; joined lists, overrides and blanks are unknown."""
+        code = F.nullif(strip(gl_code), F.lit(""))
         return F.when(code == self.capex_gl, CAPEX).when(code == self.opex_gl, OPEX)
 
     def cost_center(self, company: Column, expense_class: Column, department_code: Column) -> Column:

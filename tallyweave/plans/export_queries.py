@@ -230,9 +230,13 @@ def invoice_tables(d):
         invoices.filter("id % 2 = 0"), lines.filter("invoice_id % 2 = 0").withColumn("hours", F.lit(-1.0))
     )
     shift = 1_000_000_000_000
+    parsed = invoices.withColumn("id", F.col("id") + shift).withColumn("total_invoice_cost", F.col("total_invoice_cost") + 1)
+    parsed_lines = lines.withColumn("invoice_id", F.col("invoice_id") + shift)
+    # Every seventh order was parsed once before in the same batch: that parse must leave nothing behind.
+    before = parsed.filter("id % 7 = 0").withColumn("id", F.col("id") - shift // 2).withColumn("total_invoice_cost", F.lit(0.0))
+    lines_before = parsed_lines.filter("invoice_id % 7 = 0").withColumn("invoice_id", F.col("invoice_id") - shift // 2)
     return stored, merges.InvoiceTables(
-        invoices.withColumn("id", F.col("id") + shift).withColumn("total_invoice_cost", F.col("total_invoice_cost") + 1),
-        lines.withColumn("invoice_id", F.col("invoice_id") + shift),
+        parsed.unionByName(before.select(*parsed.columns)), parsed_lines.unionByName(lines_before)
     )
 
 

@@ -15,6 +15,8 @@ POLICY = Policy(
         Company("PULSE", "20", "PU200", ("/group/pulse",), r"\bpulse"),
         Company("NOVA", "10", "NO100", ("/group", "/group/nova"), r"\bnova"),
     ),
+    capex_gl="246010",
+    opex_gl="667040",
     opex_gl_by_vendor_text={"customer 7": "667070"},
     supplier_number_prefix="S-",
 )

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from tallyweave.functions.coding import Company, Policy
 from tallyweave.operators import accounting, export, merges, report, scale, suppliers
 
-POLICY = Policy(companies=(Company("A", "5", "CA", ("/group/a",), r"\balpha"), Company("B", "67", "CB", ("/group/b",), r"\bbeta")))
+POLICY = Policy(
+    companies=(Company("A", "5", "CA", ("/group/a",), r"\balpha"), Company("B", "67", "CB", ("/group/b",), r"\bbeta")),
+    capex_gl="246010", opex_gl="667040",
+)
 SHEETS = "source_row_hash string, entry_order string, contractor_name string, contractor_name_normalized string, hours double, date_worked date, is_time_off boolean, is_posted boolean, time_sheet_status string, project_id string, investment_name string, capex_opex string"
 
 
@@ -130,6 +133,36 @@ def test_upserted_invoices_keep_their_id(spark):
     assert sorted((r.invoice_id, r.hours) for r in merged.lines.collect()) == [(1, 9.0), (12, 8.0)]
 
 
+def test_parses_of_one_batch_meet_before_the_store(spark):
+    columns = "id long, invoice_number string, stored_file string, invoice_type string, archived_at timestamp"
+    line = "invoice_id long, hours double"
+    stored = merges.InvoiceTables(
+        spark.createDataFrame([(1, "A", "f1", "contractor", None)], columns), spark.createDataFrame([(1, 1.0)], line)
+    )
+    parses = [
+        (10, "A", "f8"), (11, "A", "f9"),  # one stored number twice: the last
+        (12, "N", "f3"), (13, "N", "f4"),  # one new number twice: the last
+        (14, "B", "f1"),  # finds invoice 1 by file, which number A has taken: new
+        (15, None, "f5"), (16, "D", "f5"),  # one new file twice: the last
+        (17, None, None), (18, None, None),  # nothing to find them by: both new
+    ]
+    incoming = merges.InvoiceTables(
+        spark.createDataFrame([(*p, "contractor", None) for p in parses], columns),
+        spark.createDataFrame([(p[0], float(p[0])) for p in parses], line),
+    )
+    merged = merges.upsert_invoices(stored, incoming)
+    assert {(r.id, r.invoice_number, r.stored_file) for r in merged.invoices.collect()} == {
+        (1, "A", "f9"), (13, "N", "f4"), (14, "B", "f1"), (16, "D", "f5"), (17, None, None), (18, None, None)
+    }
+    assert sorted((r.invoice_id, r.hours) for r in merged.lines.collect()) == [(1, 11.0), (13, 13.0), (14, 14.0), (16, 16.0), (17, 17.0), (18, 18.0)]
+
+
+def test_repeated_alias_seeds(spark):
+    known = spark.createDataFrame([("J. Roe", "Jan Roe")], "invoice_name string, contractor_name string")
+    seeds = spark.createDataFrame([("J. Roe", "Joe Roe", 1), ("J. Roe", "Jay Roe", 2)], "invoice_name string, contractor_name string, seq int")
+    assert [tuple(r) for r in merges.seed_aliases(known, seeds, "seq").collect()] == [("J. Roe", "Jay Roe")]
+
+
 def test_hours_that_cancel_out_leave_a_span_unresolved(spark):
     day = date(2026, 5, 4)
     sheets = spark.createDataFrame(

@@ -41,9 +41,13 @@ def test_codes(column):
 
 
 def test_policy(column):
-    policy = coding.Policy(companies=(coding.Company("A", "5", "CA", ("/x",), r"\bnova"),))
-    assert column(lambda v: policy.gl_code(v, F.lit("Tata Ltd")), ["capex", "OPEX", "?"]) == ["246010", "667070", ""]
+    policy = coding.Policy(
+        companies=(coding.Company("A", "5", "CA", ("/x",), r"\bnova"),),
+        capex_gl="246010", opex_gl="667040", opex_gl_by_vendor_text={"zorvex": "667070"},
+    )
+    assert column(lambda v: policy.gl_code(v, F.lit("Zorvex Ltd")), ["capex", "OPEX", "?"]) == ["246010", "667070", ""]
     assert column(lambda v: policy.gl_code(v, F.lit("Acme")), ["opex"]) == ["667040"]
+    assert column(coding.Policy().class_of_gl, ["", "246010"]) == [None, None]
     assert column(policy.class_of_gl, ["246010", " 667040 ", "667070", "667040, 246010"]) == ["CAPEX", "OPEX", None, None]
     assert column(policy.company_for_project_name, ["Nova Pad", "renovate", None]) == ["A", None, None]
 
