@@ -6,9 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyweave.functions import patterns as P
-from tallyweave.functions.dates import full_month, named_date, parse_date, period_text
+from tallyweave.functions import readings as R
+from tallyweave.functions.dates import full_month, parse_date, period_text
 from tallyweave.functions.money import clean_number
-from tallyweave.functions.strings import blank_to_null, collapse, extract, first_match, let, strip, text_lines
+from tallyweave.functions.strings import blank_to_null, collapse, extract, let, strip, text_lines
 
 
 def first_of(values: Column) -> Column:
@@ -24,7 +25,7 @@ def hits(text: Column, pattern: str, group: int = 0) -> Column:
 # --- vendor and header --------------------------------------------------------------------------------
 def clean_vendor(name: Column) -> Column:
     """Drop date or month descriptors at the end of a vendor line, however many."""
-    return blank_to_null(strip(F.regexp_replace(F.regexp_replace(strip(name), P.VENDOR_TRAILING_DATE, ""), r"[-–\s]+$", "")))
+    return blank_to_null(strip(F.regexp_replace(F.regexp_replace(strip(name), R.DATES_AT_THE_END, ""), r"[-–\s]+$", "")))
 
 
 def clean_service_vendor(name: Column) -> Column:
@@ -41,25 +42,25 @@ def clean_description(text: Column) -> Column:
 def header_vendor(text: Column, customer_pattern: str | None = None) -> Column:
     """Labelled beneficiary, else the first company line that is not the customer's, else the first real line."""
     def is_vendor(line):
-        named = line.rlike(P.COMPANY_LINE)
+        named = line.rlike(R.any_word(R.COMPANY_WORDS))
         return named & ~line.rlike("(?i)" + customer_pattern) if customer_pattern else named
 
     lines = F.transform(text_lines(text), lambda line: strip(line))
     company = F.get(F.filter(lines, is_vendor), F.lit(0))
     real = F.get(F.filter(lines, lambda s: (s != "") & ~F.lower(s).isin(*P.GENERIC_LINES)), F.lit(0))
-    return clean_vendor(F.coalesce(first_match(text, P.VENDOR), company, real))
+    return clean_vendor(F.coalesce(R.read(text, R.BENEFICIARY), company, real))
 
 
 def header_number(text: Column) -> Column:
-    return first_match(text, P.INVOICE_NUMBER)
+    return R.read(text, R.INVOICE_NUMBER)
 
 
 def header_date(text: Column) -> Column:
-    return parse_date(first_match(text, P.INVOICE_DATE))
+    return parse_date(R.read(text, R.INVOICE_DATE))
 
 
 def header_total(text: Column) -> Column:
-    return clean_number(first_match(text, P.TOTAL))
+    return clean_number(R.read(text, R.INVOICE_TOTAL))
 
 
 # --- periods --------------------------------------------------------------------------------------------
@@ -72,50 +73,56 @@ def _range(text: Column, pattern: str) -> Column:
 
 
 def _any_range(text: Column) -> Column:
-    return F.coalesce(*[_range(text, p) for p in P.PERIOD_RANGES])
+    return F.coalesce(*[_range(text, p) for p in R.PRINTED_SPANS])
 
 
 def labelled_period(text: Column) -> Column:
     """A range on a line that carries a period label; a same-month day range is spelled out."""
     def on_line(line):
-        same_month = let(
-            extract(line, P.SAME_MONTH_RANGE, 0),
-            lambda m: F.concat(
-                extract(m, P.SAME_MONTH_RANGE, 1), F.lit(" "), extract(m, P.SAME_MONTH_RANGE, 2), F.lit(", "),
-                extract(m, P.SAME_MONTH_RANGE, 4), F.lit(" - "), extract(m, P.SAME_MONTH_RANGE, 1), F.lit(" "),
-                extract(m, P.SAME_MONTH_RANGE, 3), F.lit(", "), extract(m, P.SAME_MONTH_RANGE, 4),
-            ),
-        )
-        return F.coalesce(_any_range(line), same_month)
+        return F.coalesce(_any_range(line), days_of_a_month(line))
 
-    labelled = F.filter(text_lines(text), lambda line: line.rlike(P.PERIOD_LABEL))
+    labelled = F.filter(text_lines(text), lambda line: line.rlike(R.PERIOD_WORD))
     return first_of(F.transform(labelled, on_line))
 
 
+def days_of_a_month(text: Column) -> Column:
+    """``June 1-14, 2026`` -> ``June 1, 2026 - June 14, 2026``."""
+    def spelled(match):
+        first = collapse(F.replace(extract(match, R.DAYS_OF_A_MONTH, 1), F.lit("."), F.lit("")))
+        month = F.regexp_replace(first, r"\s*\d+$", "")
+        last, year = extract(match, R.DAYS_OF_A_MONTH, 2), extract(match, R.DAYS_OF_A_MONTH, 3)
+        return F.concat(first, F.lit(", "), year, F.lit(" - "), month, F.lit(" "), last, F.lit(", "), year)
+
+    return let(extract(text, R.DAYS_OF_A_MONTH, 0), spelled)
+
+
+def billed_period(text: Column) -> Column:
+    """The first two dates that stand side by side below the heading of the billed dates."""
+    return let(extract(text, "(?is)" + R.BILLED + "(.*)$"), lambda rest: _range(rest, R.BILLED_SPAN))
+
+
 def timecard_period(text: Column) -> Column:
     """The days really worked on a time card, not the window it was printed for."""
-    worked = F.transform(hits(text, P.TIMECARD_ROW, 1), lambda s: parse_date(s))
-    return F.when(text.rlike(P.TIMECARD_TITLE), period_text(F.array_min(worked), F.array_max(worked)))
+    worked = F.transform(hits(text, R.TIME_CARD_DAY, 1), lambda s: parse_date(s))
+    return F.when(text.rlike(R.TIME_CARD), period_text(F.array_min(worked), F.array_max(worked)))
 
 
 def long_range(text: Column) -> Column:
-    def spelled(m):
-        def part(i):
-            return extract(m, P.LONG_RANGE, i)
+    """Two dates with spelled months, each with its year."""
+    def spelled(match):
+        return period_text(parse_date(extract(match, R.SPELLED_SPAN, 1)), parse_date(extract(match, R.SPELLED_SPAN, 2)))
 
-        return period_text(named_date(part(2), part(1), part(3)), named_date(part(5), part(4), part(6)))
-
-    return let(extract(text, P.LONG_RANGE, 0), spelled)
+    return let(extract(text, R.SPELLED_SPAN, 0), spelled)
 
 
 def shared_year_range(text: Column) -> Column:
-    def spelled(m):
-        def part(i):
-            return extract(m, P.SHARED_YEAR_RANGE, i)
-
-        return period_text(named_date(part(2), part(1), part(5)), named_date(part(4), part(3), part(5)))
+    """Two dates with spelled months, of which only the second carries the year."""
+    def spelled(match):
+        first, second = extract(match, R.SPAN_OF_ONE_YEAR, 1), extract(match, R.SPAN_OF_ONE_YEAR, 2)
+        dated = F.concat_ws(" ", F.replace(first, F.lit("."), F.lit("")), extract(second, r"(\d{4})$"))
+        return period_text(parse_date(dated), parse_date(second))
 
-    return let(extract(text, P.SHARED_YEAR_RANGE, 0), spelled)
+    return let(extract(text, R.SPAN_OF_ONE_YEAR, 0), spelled)
 
 
 def month_named(text: Column, pattern: str) -> Column:
@@ -124,15 +131,15 @@ def month_named(text: Column, pattern: str) -> Column:
 
 
 def header_month(text: Column) -> Column:
-    return month_named(F.array_join(F.slice(text_lines(text), 1, P.HEADER_LINES), "\n"), P.BARE_MONTH)
+    return month_named(F.array_join(F.slice(text_lines(text), 1, P.HEADER_LINES), "\n"), R.BARE_MONTH)
 
 
 def header_period(text: Column) -> Column:
     """``struct<period, labelled>``: precise, labelled sources first, whole months last."""
-    labelled = F.coalesce(labelled_period(text), _range(text, P.BILLED_FROM_TO), timecard_period(text))
+    labelled = F.coalesce(labelled_period(text), billed_period(text), timecard_period(text))
     precise = F.coalesce(long_range(text), shared_year_range(text), _any_range(text))
-    month_of = month_named(text, P.MONTH_OF)
-    loose = F.coalesce(month_named(text, P.MONTH_SERVICE), header_month(text))
+    month_of = month_named(text, R.MONTH_OF)
+    loose = F.coalesce(month_named(text, R.MONTH_OF_SERVICE), header_month(text))
 
     def answer(period, is_labelled):
         return F.when(period.isNotNull(), F.struct(period.alias("period"), F.lit(is_labelled).alias("labelled")))
@@ -188,7 +195,7 @@ def person_name(raw: Column) -> Column:
     first), then anywhere.
     """
     def find(s):
-        fragments = F.split(s, P.ANY_DATE)
+        fragments = F.split(s, R.DATE_IN_TEXT)
         dated = F.when(
             F.size(fragments) > 1,
             F.coalesce(best_name(F.element_at(fragments, -1)), best_name(F.element_at(fragments, 1))),
@@ -252,7 +259,7 @@ def _entity(text: Column) -> Column:
 
 def service_vendor(text: Column, customer_pattern: str | None = None) -> Column:
     """A labelled seller that names a legal entity, else the first letterhead line that does."""
-    lines = F.slice(text_lines(text), 1, P.VENDOR_LINES)
+    lines = text_lines(text)
 
     def labelled(line):
         value = F.regexp_replace(extract(line, P.VENDOR_LABEL), P.BUYER_LABEL + r".*$", "")
@@ -282,7 +289,7 @@ def email_brands(text: Column) -> Column:
         with_capital = F.filter(seen, lambda w: w.rlike(r"\p{Lu}"))
         return F.coalesce(
             F.get(with_capital, F.lit(0)), F.get(seen, F.lit(0)),
-            F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 200)),
+            F.concat(F.upper(F.substring(label, 1, 1)), F.substr(label, F.lit(2))),
         )
 
     return F.transform(labels, cased)

@@ -54,11 +54,6 @@ def groups(match: Column | str, pattern: str, count: int) -> Column:
     return F.split(marked, GROUP_MARK, -1)
 
 
-def first_match(text: Column | str, patterns: list[str], group: int = 1) -> Column:
-    """Ordered cascade: the first pattern that matches wins."""
-    return F.coalesce(*[strip(extract(text, p, group)) for p in patterns])
-
-
 def text_lines(text: Column | str) -> Column:
     """The lines of a document as an array, whatever line ending it uses."""
     return F.split(col(text), r"\r\n|\r|\n")

@@ -129,3 +129,31 @@ def test_vendor_lines(column):
     assert vendor == ["ACME Sp. z o.o", "Acme Data, LLC", None]
     brands = column(documents.email_brands, ["pay ar@cyrix.com or x@pnc.com, y@gmail.com\nThanks, CyRix"])
     assert brands == [["CyRix"]]
+
+
+def test_header_values(column):
+    numbers = {
+        "Invoice No.: QX-20417/3": "QX-20417/3", "Invoice Number\nAB12C": "AB12C", "InvoiceNo:998877": "998877", "see INV 4471": "INV 4471",
+        "ref ABC123456789 end": "ABC123456789", "Invoice 123": "123", "Invoice # 77": None, "Invoice Number Date": None, "nothing": None,
+    }
+    assert column(documents.header_number, list(numbers)) == list(numbers.values())
+    days = {
+        "Invoice Date: 05-Mar-2026": date(2026, 3, 5), "Due 1/9/2026\nInvoiceDate 2/3/2026": date(2026, 2, 3), "on 4/30/2026": date(2026, 4, 30),
+        "paid 7-Apr-2026": date(2026, 4, 7), "April 9, 2026": date(2026, 4, 9), "1/2/26": None, "x": None,
+    }
+    assert column(documents.header_date, list(days)) == list(days.values())
+    totals = {
+        "Total 5.00\nTotal Invoice Value: $1,234.50": 1234.5, "Total to be paid: 90 400,00": 90400.0, "Gross Value 12.30": 12.3,
+        "Total Amount Due: $ 2,000.00 USD": 2000.0, "Amount Due (USD) $77.10": 77.1, "Total $ 950": 950.0, "Total hours 8": None, "Subtotal 8.00": None,
+    }
+    assert column(documents.header_total, list(totals)) == list(totals.values())
+    vendors = {
+        "Beneficiary Name: Quorl Data\nBank": "Quorl Data", "Invoice\nZant Solutions\nx": "Zant Solutions", "Invoice\nPlain Name\nx": "Plain Name",
+        "INVOICE\nNova Inc\nVrel L.L.C.": "Vrel L.L.C.",
+    }
+    assert column(lambda v: documents.header_vendor(v, "nova"), list(vendors)) == list(vendors.values())
+
+
+def test_a_vendor_far_down_is_found(column):
+    text = "\n".join(["line"] * 60 + ["Seller: Acme Data, LLC"])
+    assert column(lambda v: documents.service_vendor(v, "nova"), [text]) == ["Acme Data, LLC"]
