@@ -276,7 +276,7 @@ def full_report(d):
     SELECT 'class' AS chart, expense_class AS bucket, amount AS value FROM class_spend WHERE amount > 0
     UNION ALL SELECT 'company', company, spend FROM company_spend WHERE spend > 0
     UNION ALL SELECT 'cost_center', cost_center, spend FROM center_spend WHERE spend > 0
-    UNION ALL SELECT * FROM (SELECT 'vendor', vendor, spend FROM vendor_top WHERE spend > 0 ORDER BY rank LIMIT 10)
+    UNION ALL SELECT 'vendor', vendor, spend FROM vendor_top WHERE spend > 0
     UNION ALL SELECT 'project', project, spend FROM project_top WHERE spend > 0""")
 def flt_nonzero(d):
     return report.chart_rows(full_report(d))

@@ -157,3 +157,15 @@ def test_header_values(column):
 def test_a_vendor_far_down_is_found(column):
     text = "\n".join(["line"] * 60 + ["Seller: Acme Data, LLC"])
     assert column(lambda v: documents.service_vendor(v, "nova"), [text]) == ["Acme Data, LLC"]
+
+
+def test_a_header_row_far_down_is_found(spark):
+    from tallyweave.operators.grid_text import service_rows, table_rows
+
+    def grid(*rows):
+        return spark.createDataFrame([(1, 0, [["note", "", "", ""]] * 12 + [list(r) for r in rows])], "doc_id long, table_ord int, cells array<array<string>>")
+
+    people = table_rows(grid(("Name", "Hours", "Rate", "Amount"), ("Balran Zarton", "8", "10.00", "80.00"))).collect()
+    assert [(r.contractor_name, r.hours, r.amount) for r in people] == [("Balran Zarton", 8.0, 80.0)]
+    services = service_rows(grid(("Description", "Quantity", "Unit Price", "Amount"), ("Hosting", "2", "5.00", "10.00"))).collect()
+    assert [(r.description, r.amount) for r in services] == [("Hosting", 10.0)]
