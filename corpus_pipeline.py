@@ -18,6 +18,8 @@ from tallyweave.llm.suffix_dedup import remove_repeated_strings
 
 #: Least posterior probability of a language.
 CERTAIN = 0.5
+#: Least Jaccard similarity of near duplicates.
+SIMILAR = 0.8
 
 
 def _columns(docs: DataFrame, *but: str) -> tuple[str, ...]:
@@ -33,8 +35,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return keep_one_of_each_group(docs, width=5, distance=4)
+    """One document of each group of near duplicates: fingerprints within 4 bits, or five-word shingles of similarity SIMILAR."""
+    return keep_one_of_each_group(docs, width=5, distance=4, similarity=SIMILAR)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

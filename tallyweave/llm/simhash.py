@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import common as C
+from tallyweave.llm import minhash
 from tallyweave.llm.components import connected_components
 
 SEED = 42
@@ -52,9 +53,12 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
 
 def fingerprints(texts: list[bytes], width: int) -> np.ndarray:
     """A bit is set if over half of a text's shingle hashes have it; zero for a text without words."""
-    out = np.zeros(len(texts), np.uint64)
-    for i, text in enumerate(texts):
-        hashes = shingle_hashes(text, width)
+    return fingerprints_of([shingle_hashes(text, width) for text in texts])
+
+
+def fingerprints_of(all_hashes: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(all_hashes), np.uint64)
+    for i, hashes in enumerate(all_hashes):
         if len(hashes):
             sums = np.zeros(64, np.int64)
             for a in range(0, len(hashes), 1 << 14):
@@ -74,6 +78,21 @@ def add_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
+def add_sets(docs: DataFrame, width: int) -> DataFrame:
+    """As ``add_fingerprints``, with each text's set of shingles: its hash (null for a text without words), size and band keys."""
+
+    def run(batches):
+        for batch in C.small(batches):
+            hashes = [shingle_hashes(t or b"", width) for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            sets = [np.unique(h) for h in hashes]
+            ids = [np.uint64(minhash.set_hash(s)).astype(np.int64).item() if len(s) else None for s in sets]
+            bands = [minhash.band_keys(s).view(np.int64) if len(s) else [] for s in sets]
+            columns = [pa.array(fingerprints_of(hashes).view(np.int64)), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), *columns], names=["doc_id", "text_hash", "fp", "set_id", "n_shingles", "bands"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long, set_id long, n_shingles long, bands array<long>")
+
+
 def block_masks(n_blocks: int, distance: int) -> list[int]:
     """For each choice of n_blocks - distance blocks, the mask of their bits."""
     edge = [64 * i // n_blocks for i in range(n_blocks + 1)]
@@ -140,31 +159,33 @@ def close_links(prints: DataFrame, distance: int = 4, part: int = PART) -> DataF
     return cells.groupBy("task").applyInArrow(lambda rows: _links(rows, distance), LINKS)
 
 
-def near_duplicate_groups(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, width: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
     """Each document's fingerprint and the group of near duplicates it belongs to.
 
     docs: doc_id, text. Words are runs of characters other than space and \\x09-\\x0D, lower-cased in A-Z; shingles are ``width``
     consecutive words (all words if there are fewer), hashed by XXH64 with seed 42. Documents whose fingerprints differ in at most
     ``distance`` bits are linked; texts that are null or have no words have fingerprint zero and are linked like any other.
+    With ``similarity``, texts whose sets of shingles have at least that Jaccard similarity are linked too (``minhash``).
 
     Returns doc_id, text_hash, fp (long), fingerprint (16 hex digits), root (a fingerprint of the group), component_id (smallest doc_id that can be reached; null if no document
     of the group has an id). Every row has a result of its own, so repeated rows repeat. Further columns are ignored.
     """
-    stored = C.stored(add_fingerprints(docs, width), "simhash")
+    stored = C.stored(add_fingerprints(docs, width) if similarity is None else add_sets(docs, width), "simhash")
     prints = stored.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(close_links(prints.select("fp"), distance))
+    links = close_links(prints.select("fp"), distance)
+    roots = connected_components(links if similarity is None else minhash.similar_links(stored, docs, links, width, similarity))
     member = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     groups = member.join(smallest, "root").select("fp", "root", "component_id")
     return stored.join(groups, "fp").select("doc_id", "text_hash", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "root", "component_id")
 
 
-def keep_one_of_each_group(docs: DataFrame, width: int = 4, distance: int = 4) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, width: int = 4, distance: int = 4, similarity: float | None = None) -> DataFrame:
     """The documents with one of each group of near duplicates: that with the smallest doc_id (without an id only if none has one).
 
     All columns are kept. Nulls and texts without words are as in ``near_duplicate_groups``; of rows equal in id and text one stays.
     """
-    groups = near_duplicate_groups(docs, width, distance)
+    groups = near_duplicate_groups(docs, width, distance, similarity)
     rows = groups.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("s")
     stay = C.stored(rows.groupBy("root").agg(first).select(F.col("s.doc_id").alias("__id"), F.col("s.text_hash").alias("__hash"), F.col("s.n").alias("__n")), "simhash-kept")
