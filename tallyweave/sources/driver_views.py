@@ -41,11 +41,24 @@ def _capital(text: str) -> str:
     return f"upper(substr({text}, 1, 1)) || substr({text}, 2)"
 
 
+def _spelled(table: str, digits: str) -> str:
+    for i in range(10):
+        digits = f"replace({digits}, '{i}', '{_SYLLABLES[table][3 * i : 3 * i + 3]}')"
+    return digits
+
+
+def six_digits(number: str) -> str:
+    """SQL for the last six digits of a number."""
+    return f"right(lpad(CAST({number} AS STRING), CAST(greatest(6, length(CAST({number} AS STRING))) AS INT), '0'), 6)"
+
+
 def two_names(digits: str, number: str) -> tuple[str, str]:
-    """SQL for a first and a last name spelled from a six-digit text."""
+    """SQL for a first and a last name spelled from a number and the text of its last six digits; those before them end the last name."""
+    above = f"substr(CAST({number} AS STRING), 1, CAST(length(CAST({number} AS STRING)) - 6 AS INT))"
     first = f"({_syllable('a', digits, 5)} || {_syllable('b', digits, 6)})"
     tail = f"CASE WHEN {number} >= 10000 THEN {_syllable('e', digits, 1)} || {_syllable('f', digits, 2)} ELSE '' END"
-    last = f"({_syllable('c', digits, 3)} || {_syllable('d', digits, 4)} || {tail})"
+    more = f"CASE WHEN {number} >= 1000000 THEN {_spelled('a', above)} ELSE '' END"
+    last = f"({_syllable('c', digits, 3)} || {_syllable('d', digits, 4)} || {tail} || {more})"
     return _capital(first), _capital(last)
 
 
@@ -62,7 +75,7 @@ VIEWS: dict[str, str] = {
         FROM {events}""",
     "people": f"""
         SELECT user_id, {_FIRST} AS first_name, {_LAST} AS last_name
-        FROM (SELECT user_id, lpad(CAST(user_id AS STRING), 6, '0') AS digits
+        FROM (SELECT user_id, {six_digits('user_id')} AS digits
               FROM (SELECT DISTINCT user_id FROM event_days) u) p""",
     "timesheet_raw": """
         SELECT lpad(CAST(event_id AS STRING), 20, '0') AS row_order,
@@ -106,7 +119,8 @@ VIEWS: dict[str, str] = {
         GROUP BY user_id, week, CASE WHEN user_id % 5 = 0 THEN half ELSE 0 END""",
     "billed_lines": """
         SELECT b.user_id, b.week, b.half, b.user_id % (SELECT count(*) FROM {supplier}) AS slot,
-               CAST((b.week * 2 + CASE WHEN b.user_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) * 10000000
+               CAST((b.week * 2 + CASE WHEN b.user_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT)
+                   * greatest(10000000, (SELECT max(user_id) + 1 FROM {events}), (SELECT count(*) FROM {supplier}))
                    + CASE WHEN b.user_id % 5 = 0 THEN b.user_id ELSE b.user_id % (SELECT count(*) FROM {supplier}) END AS invoice_id,
                CASE (b.user_id + b.week) % 4 WHEN 0 THEN logged WHEN 1 THEN logged + 0.5e0 WHEN 2 THEN logged + 5e0 END
                    AS hours,
@@ -142,7 +156,7 @@ VIEWS: dict[str, str] = {
                CASE WHEN slot % 20 = 19 THEN 'other' ELSE 'contractor' END AS invoice_type,
                CASE WHEN slot % 9 = 8 THEN CAST('2024-03-01 00:00:00' AS TIMESTAMP) END AS archived_at,
                CASE invoice_id % 4 WHEN 0 THEN 'rules' WHEN 1 THEN 'ocr' WHEN 2 THEN 'template' END AS parse_method,
-               week * 100000 + slot AS created_seq
+               week * greatest(100000, (SELECT count(*) FROM {supplier})) + slot AS created_seq
         FROM (SELECT invoice_id, slot, week, sum(amount) AS total FROM (
                   SELECT invoice_id, slot, week, hours * rate AS amount FROM billed_lines) l
               GROUP BY invoice_id, slot, week) i
@@ -183,7 +197,7 @@ VIEWS: dict[str, str] = {
         FROM {orders}""",
     "spend_lines": """
         SELECT CAST(l.l_orderkey AS STRING) || '-' || CAST(l.l_suppkey AS STRING) || '-' || CAST(l.l_partkey AS STRING) AS id,
-               l.l_orderkey AS invoice_id, l.l_suppkey * 100000000 + l.l_partkey AS line_ord,
+               l.l_orderkey AS invoice_id, l.l_suppkey * greatest(100000000, (SELECT max(p_partkey) + 1 FROM {part})) + l.l_partkey AS line_ord,
                CASE WHEN l.l_partkey % 29 > 0 THEN p.first_name || ' ' || p.last_name END AS contractor_name,
                l.hours, CASE WHEN l.l_partkey % 13 > 0 THEN floor(r.p_retailprice) / 4 END AS rate,
                CASE WHEN l.l_partkey % 11 > 0 AND l.l_partkey % 13 > 0 THEN l.amount END AS amount,
@@ -202,7 +216,7 @@ VIEWS: dict[str, str] = {
         SELECT s_suppkey, {_BRAND_FIRST} || ' ' || {_BRAND_LAST} AS brand,
                CASE s_suppkey % 4 WHEN 0 THEN 'Technologies Inc' WHEN 1 THEN 'Solutions LLC' WHEN 2 THEN 'Systems Limited'
                     ELSE 'Consulting Corp' END AS legal
-        FROM (SELECT s_suppkey, lpad(CAST(s_suppkey AS STRING), 6, '0') AS digits FROM {{supplier}}) s""",
+        FROM (SELECT s_suppkey, {six_digits('s_suppkey')} AS digits FROM {{supplier}}) s""",
     "supplier_list": """
         SELECT s_suppkey AS row_idx,
                brand || ' ' || legal || CASE WHEN s_suppkey % 2 = 0 THEN '-' || CAST(300000 + s_suppkey AS STRING) ELSE '' END
