@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import common as C
 from tallyweave.llm.decontaminate import find_benchmark_text
+from tallyweave.llm.filter_audit import audit_filters, text_failures
 from tallyweave.llm.knn_join import top_inner_products
 from tallyweave.llm.language_id import identify_languages
 from tallyweave.llm.lm_scoring import score_documents
@@ -66,6 +67,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")
+    return audit_filters(docs, labels, text_failures(F.col("text")), F.col("lang"), copies="E")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +82,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_interpolated_scores, op2_voronoi_knn, op3_substring_doubling, op4_binary_packing, op5_language_id, op6_bpe_counts, op7_suffix_array_dedup,
-        op8_simhash_groups, op9_decontaminate, op10_toxicity, pipeline,
+        op8_simhash_groups, op9_decontaminate, op10_toxicity, op11_filter_audit, pipeline,
     )
 }
 
@@ -119,4 +125,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op2_voronoi_knn": _KNN, "op3_substring_doubling": _WINDOWS, "op9_decontaminate": _BENCHMARK}
+_AUDIT = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+    100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+judged AS (
+  SELECT part, o, step, o[step] AS i, good, toxic, fails[o[step]] AS now, list_bool_or(list_transform(o[1:step - 1], lambda j: fails[j])) IS TRUE AS before,
+    list_sum(list_transform(fails, lambda x: x::INT)) = 1 AS alone
+  FROM f, steps),
+counted AS (
+  SELECT part, o, step, i, count(*) FILTER (NOT now AND NOT before)::BIGINT AS kept, count(*) FILTER (now AND NOT before)::BIGINT AS removed,
+    count(*) FILTER (now AND before)::BIGINT AS redundant, count(*) FILTER (now AND alone)::BIGINT AS unique_fails,
+    count(*) FILTER (now AND NOT before AND good = 1)::BIGINT AS good_lost, count(*) FILTER (now AND NOT before AND toxic = 1)::BIGINT AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda j: 'ABCDE'[j]), '') AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  sum(removed) OVER (PARTITION BY part, i)::BIGINT AS shapley
+FROM counted
+"""
+
+ORACLES = {"op11_filter_audit": _AUDIT, "op2_voronoi_knn": _KNN, "op3_substring_doubling": _WINDOWS, "op9_decontaminate": _BENCHMARK}
