@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.strings import col
+from tallyweave.session import cut_lineage
 
 NUMBERING_SLICE = 100_000
 
@@ -36,6 +37,23 @@ def running_offset(
     )
 
 
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank", materialise=cut_lineage) -> DataFrame:
+    """Add ``name``: 1, 2, 3… over the whole table in ``order``, without one task that sees all rows.
+
+    The rows are cut into ranges of the order and sorted inside each; a row's number is its place in its range plus the sizes of the
+    ranges before. The sorted rows are materialised, so that numbers and sizes are taken from the same cut. Only rows that are equal in
+    the whole ``order`` must stay in one range, so give it a last column that tells rows apart.
+    """
+    place = F.monotonically_increasing_id()
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    placed = materialise(placed.withColumn("_range", F.shiftright("_place", 33)).withColumn("_place", F.col("_place").bitwiseAND((1 << 33) - 1)))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    # One row a range: as many as the shuffle has partitions, whatever the data.
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_place") + 1).drop("_range", "_place", "_start")
+
+
 def top_and_rest(
     df: DataFrame, label: str, order: list[Column], n: int, sums: list[str], rest_label: str = "Other"
 ) -> DataFrame:
