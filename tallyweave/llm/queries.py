@@ -12,6 +12,7 @@ from tallyweave.llm.knn_join import top_inner_products
 from tallyweave.llm.language_id import identify_languages
 from tallyweave.llm.lm_scoring import score_documents
 from tallyweave.llm.packing import pack_documents
+from tallyweave.llm.resampling import resample
 from tallyweave.llm.simhash import near_duplicate_groups
 from tallyweave.llm.substring_dedup import remove_repeated_windows
 from tallyweave.llm.suffix_dedup import remove_repeated_strings
@@ -72,6 +73,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(docs, labels, text_failures(F.col("text")), F.col("lang"), copies="E")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")
+    return resample(docs, target, percent=10, max_words=1, buckets=10_000, least_words=20, seed=2024)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +88,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_interpolated_scores, op2_voronoi_knn, op3_substring_doubling, op4_binary_packing, op5_language_id, op6_bpe_counts, op7_suffix_array_dedup,
-        op8_simhash_groups, op9_decontaminate, op10_toxicity, op11_filter_audit, pipeline,
+        op8_simhash_groups, op9_decontaminate, op10_toxicity, op11_filter_audit,
+        op13_importance_resampling, pipeline,
     )
 }
 
@@ -151,4 +158,28 @@ SELECT part, array_to_string(list_transform(o, lambda j: 'ABCDE'[j]), '') AS fil
 FROM counted
 """
 
-ORACLES = {"op11_filter_audit": _AUDIT, "op2_voronoi_knn": _KNN, "op3_substring_doubling": _WINDOWS, "op9_decontaminate": _BENCHMARK}
+# The bits of crc32 by its rule: eight shifts for each byte, over the bytes of each distinct word.
+_RESAMPLING = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS w FROM d),
+words AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM b)),
+crc AS (
+  SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, length(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)), lambda c, x:
+    list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)), 4294967295) % 10000 AS k FROM words),
+s AS (SELECT k, count(*) AS s FROM dw JOIN crc USING (w) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM b JOIN crc USING (w) GROUP BY k),
+totals AS (SELECT (SELECT count(*) FROM dw) AS source, (SELECT count(*) FROM b) AS target),
+gain AS (
+  SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (source + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * (target + 10000)::DOUBLE)))::BIGINT AS g
+  FROM s LEFT JOIN t USING (k), totals),
+weights AS (SELECT doc_id, sum(g) AS weight FROM dw JOIN crc USING (w) JOIN gain USING (k) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM ranked
+"""
+
+ORACLES = {"op13_importance_resampling": _RESAMPLING, "op11_filter_audit": _AUDIT, "op2_voronoi_knn": _KNN, "op3_substring_doubling": _WINDOWS, "op9_decontaminate": _BENCHMARK}
