@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     A large-star step links each node's larger neighbours to its smallest neighbour, a small-star step its smaller neighbours and
     itself; both are joins and grouped minima. When nothing changes, every node hangs on its root. Each round is written to the
-    shared folder, which cuts the lineage. Edges of a node to itself are ignored.
+    shared folder, which cuts the lineage, and the one before is deleted. Edges of a node to itself are ignored.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = C.stored(edges, "components")
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("a"), "m").unionByName(low.select(F.col("u").alias("a"), "m"))
-        edges = C.stored(small.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct(), "components")
+        former, edges = edges, C.stored(small.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct(), "components")
+        C.release(former)
         before, state = state, _state(edges)
         if state == before:
             break

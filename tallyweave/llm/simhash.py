@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import common as C
-from tallyweave.llm import minhash
+from tallyweave.llm import bloom, minhash
 from tallyweave.llm.components import connected_components
 
 SEED = 42
@@ -185,11 +185,22 @@ def keep_one_of_each_group(docs: DataFrame, width: int = 4, distance: int = 4, s
 
     All columns are kept. Nulls and texts without words are as in ``near_duplicate_groups``; of rows equal in id and text one stays.
     """
-    groups = near_duplicate_groups(docs, width, distance, similarity)
+    fixed = [f"c{i}" for i in range(len(docs.columns))]
+    given = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, fixed, strict=True)))
+    doc_id, text = (F.col(fixed[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    groups = near_duplicate_groups(docs.select("doc_id", "text"), width, distance, similarity)
     rows = groups.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("s")
-    stay = C.stored(rows.groupBy("root").agg(first).select(F.col("s.doc_id").alias("__id"), F.col("s.text_hash").alias("__hash"), F.col("s.n").alias("__n")), "simhash-kept")
-    kept = docs.withColumn("__text_hash", F.xxhash64("text")).join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
-    if stay.where("__n > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "__text_hash"])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    rows = rows.withColumn("order", order)
+    rows = rows.join(rows.groupBy("root").agg(F.min("order").alias("first")), "root")
+    stays = F.col("order") == F.col("first")
+    # Rows to leave out, and rows to keep once: a small part of all, so only documents that pass a filter of these are shuffled.
+    touched = rows.where(~stays | (F.col("n") > 1)).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), stays.alias("stays"))
+    touched = C.stored(touched, "simhash-touched")
+    bits = bloom.filter_of(touched.select(minhash.text_key(F.col("gone_id"), F.col("gone_hash")).alias("key")), "key")
+    hashed = given.withColumn("text_hash", F.xxhash64(text))
+    maybe, clear = bloom.split(hashed, minhash.text_key(doc_id, F.col("text_hash")), bits)
+    found = maybe.join(touched, doc_id.eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
+    once = found.where("stays").dropDuplicates([fixed[docs.columns.index("doc_id")], "text_hash"])
+    kept = clear.select(*fixed).unionByName(found.where("stays IS NULL").select(*fixed)).unionByName(once.select(*fixed))
+    return kept.select(*(F.col(k).alias(c) for k, c in zip(fixed, docs.columns, strict=True)))

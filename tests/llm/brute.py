@@ -46,8 +46,8 @@ def repeated_bytes(rows, width):
     return out
 
 
-def components(prints, distance):
-    """Smallest id reachable, of {id: fingerprint}."""
+def components(prints, distance, linked=lambda i, j: False):
+    """Smallest id reachable, of {id: fingerprint}; ``linked`` says which ids are linked besides."""
     root = {i: i for i in prints}
 
     def find(i):
@@ -58,7 +58,7 @@ def components(prints, distance):
     ids = sorted(prints)
     for n, i in enumerate(ids):
         for j in ids[n + 1 :]:
-            if (prints[i] ^ prints[j]).bit_count() <= distance:
+            if (prints[i] ^ prints[j]).bit_count() <= distance or linked(i, j):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}

@@ -1,6 +1,7 @@
 import corpus_pipeline
-from brute import components, hits, repeated_bytes
+from brute import components, hits, lower, repeated_bytes
 from test_search_and_groups import fingerprint
+from test_similar import shingles
 
 from tallyweave.llm import common as C
 
@@ -15,7 +16,9 @@ def test_every_stage_against_brute_force(spark, sf_dir):
         assert name == "packing" or kept.columns == columns
     rows = [{r["doc_id"]: r["text"] for r in f.collect()} for f in frames]
     assert set(rows[1]) == {i for i, t in rows[0].items() if any(c.isalpha() for c in t)}
-    groups = components({i: fingerprint(t, 5) for i, t in rows[1].items()}, 4)
+    sets = {i: shingles(lower(t)) for i, t in rows[1].items()}
+    similar = lambda i, j: len(sets[i] & sets[j]) >= corpus_pipeline.SIMILAR * len(sets[i] | sets[j])
+    groups = components({i: fingerprint(t, 5) for i, t in rows[1].items()}, 4, similar)
     assert set(rows[2]) == set(groups.values()) and all(rows[2][i] == rows[1][i] for i in rows[2])
     removed = repeated_bytes(rows[2].items(), 100)
     assert set(rows[3]) <= set(rows[2]) and all(removed[i][1] > 0 for i in set(rows[2]) - set(rows[3]))

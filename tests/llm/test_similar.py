@@ -1,5 +1,6 @@
 import random
 
+from brute import components
 from test_search_and_groups import SPACE_WORD, fingerprint
 
 import corpus_pipeline
@@ -45,6 +46,47 @@ def test_similar_copies_go_and_others_stay(spark):
     assert apart - kept == bits
 
 
+def test_names_of_columns_do_not_clash(spark):
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, words, "a", 5, "x"), (2, words, "b", 6, "y"), (3, "other words", "c", 7, "z"), (3, "other words", "c", 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __text_hash string, __id long, text_hash string")
+    for name in ("root", "c0", "stays", "gone_id", "bloom_places"):
+        docs = docs.withColumn(name, spark.createDataFrame([(1,)], "x int").select("x").scalar())
+    kept = simhash.keep_one_of_each_group(docs, 5, 4, 0.8)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r)[:5] for r in kept.collect()) == [rows[0], rows[2]]
+
+
+def test_without_a_filter_the_result_is_the_same(spark, monkeypatch):
+    """More texts than the filter takes: all rows go to the exact join."""
+    rng = random.Random(8)
+    pairs = [planted(rng, 100, 2) for _ in range(10)]
+    rows = [(i, t) for i, t in enumerate([t for pair in pairs for t in pair] + ["x y z"] * 3 + [None, None])]
+    docs = spark.createDataFrame([*rows, (None, "x y z"), rows[0]], "doc_id long, text string").repartition(3)
+    with_filter = sorted(r["doc_id"] for r in simhash.keep_one_of_each_group(docs, 5, 4, 0.8).collect())
+    monkeypatch.setattr("tallyweave.llm.bloom.filter_of", lambda keys, column: None)
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each_group(docs, 5, 4, 0.8).collect()) == with_filter == [*range(0, 20, 2), 20, 23]
+
+
+def test_one_key_with_a_third_of_all_texts(spark, monkeypatch):
+    """A family of texts that share half their words and hence many keys; some pairs in it are similar."""
+    rng = random.Random(10)
+    common = [f"c{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}x{j}" for j in range(40)]
+        rows.append((2 * i, " ".join(common + own)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(common + own[:-2] + [f"new{rng.randrange(10**6)}", "z"])))
+    rows += [(1000 + i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))) for i in range(250)]
+    sets = {i: shingles(t) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr("tallyweave.llm.minhash.PART_BYTES", 20_000)
+    got = {r["doc_id"] for r in simhash.keep_one_of_each_group(docs, 5, 0, 0.8).collect()}
+    found = components({i: n for n, i in enumerate(sets)}, -1, lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert got == set(found.values())
+
+
 def test_chains_parts_and_equal_sets(spark, monkeypatch):
     """A chain of copies each similar to the one before, in many small parts; texts that repeat one set; texts without words."""
     rng = random.Random(6)
