@@ -7,6 +7,7 @@ blocks send each bucket one packed array of distinct values, which is what is sh
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
@@ -101,6 +102,24 @@ def small(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system, so that a task's arrays don't stay with the process for the next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run):
+    """A function over batches that returns its memory when a partition ends."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 # Documents of a block as flat arrays.
 
 

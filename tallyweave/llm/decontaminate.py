@@ -145,4 +145,4 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, width: int = 10,
         if held:
             yield from judged(pa.Table.from_batches(held)).to_batches()
 
-    return source.mapInArrow(run, result).withColumnsRenamed(dict(zip(carried, keep, strict=True)))
+    return source.mapInArrow(C.giving_back(run), result).withColumnsRenamed(dict(zip(carried, keep, strict=True)))

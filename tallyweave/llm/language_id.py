@@ -2,7 +2,7 @@
 
 Each letter with its two neighbours (other characters count as one blank) is a trigram, hashed to a slot. Tasks count slots by
 language, Spark adds the counts up, and the log-probability matrix, of slots times languages, is broadcast: its size is a
-parameter, whatever the corpus. A batch of texts is scored by gathering rows of the matrix and adding them up per document.
+parameter, whatever the corpus. A batch of texts is scored by gathering a language's values and adding them up per document.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ def train(docs: DataFrame, slots: int = SLOTS) -> dict:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(slot), pa.string()), pa.array(slot, pa.int32()), pa.array(value, pa.int64())], names=["lang", "slot", "n"])
 
     labelled = docs.select("text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sums = labelled.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    sums = labelled.mapInArrow(C.giving_back(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     languages = sorted(r["lang"] for r in sums.where("slot = -1").select("lang").collect())
     if len(languages) * slots > MATRIX_CELLS:
         raise ValueError(f"{len(languages)} languages of {slots} slots exceed a matrix of {MATRIX_CELLS} cells; lower slots")
@@ -80,7 +80,7 @@ def train(docs: DataFrame, slots: int = SLOTS) -> dict:
     smooth = 0.1
     logs = np.log((counts + smooth) / (counts.sum(axis=1, keepdims=True) + smooth * slots))
     prior = np.log((documents + 1) / (documents.sum() + len(languages))) if languages else documents
-    return {"languages": languages, "matrix": np.ascontiguousarray(logs.T), "prior": prior, "slots": slots}
+    return {"languages": languages, "matrix": logs, "prior": prior, "slots": slots}
 
 
 def predict(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
@@ -99,7 +99,9 @@ def predict(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
             slot, sizes = trigrams(texts, m["slots"])
             has = np.flatnonzero(sizes)
             if m["languages"] and len(has):
-                logs = np.add.reduceat(m["matrix"][slot], (np.cumsum(sizes) - sizes)[has], axis=0) + m["prior"]
+                starts = (np.cumsum(sizes) - sizes)[has]
+                # One language at a time: a text's letters times all languages would not stay small.
+                logs = np.stack([np.add.reduceat(of[slot], starts) for of in m["matrix"]], axis=1) + m["prior"]
                 share = np.exp(logs - logs.max(axis=1, keepdims=True))
                 share /= share.sum(axis=1, keepdims=True)
                 top = logs.argmax(axis=1)
@@ -108,7 +110,7 @@ def predict(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
             kept = [n for n in batch.schema.names if n != "__text"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(C.giving_back(run), out)
 
 
 def identify_languages(docs: DataFrame, training: Column, *keep: str | Column, slots: int = SLOTS) -> DataFrame:

@@ -112,18 +112,22 @@ def _cells(rows: pa.Table, bound: float) -> pa.Table:
 
 
 def shingle_sets(docs: DataFrame, width: int, bits: np.ndarray | None) -> DataFrame:
-    """(set_id, shingles): the sorted distinct shingle hashes as bytes, of the texts (doc_id, text) that pass the filter of their ``text_key``."""
+    """(set_id, shingles): the sorted distinct shingle hashes as bytes, of the texts (doc_id, text) whose ``text_key`` passes the filter, of all if there is none."""
     from tallyweave.llm.simhash import shingle_hashes
 
+    places = bloom.places(text_key(F.col("doc_id"), F.xxhash64("text")))
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches):
         for batch in C.small(batches):
+            if sent.value is not None:
+                batch = batch.filter(pa.array(bloom.passes(sent.value, batch.column("places"))))
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             sets = [s for s in (np.unique(shingle_hashes(t or b"", width)) for t in texts) if len(s)]
             ids = np.array([set_hash(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["set_id", "shingles"])
 
-    texts = docs.select("text", text_key(F.col("doc_id"), F.xxhash64("text")).alias("key"))
-    return bloom.split(texts, F.col("key"), bits)[0].select("text").mapInArrow(run, "set_id long, shingles binary")
+    return docs.select("text", places.alias("places")).mapInArrow(C.giving_back(run), "set_id long, shingles binary")
 
 
 def text_key(doc_id: Column, text_hash: Column) -> Column:

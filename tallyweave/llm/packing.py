@@ -23,10 +23,10 @@ from tallyweave.llm.token_counts import byte_symbols
 CUT = "doc_id long, doc_tokens long, pieces array<struct<start:long,length:long,ids_crc32:long>>"
 PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 CUT_ARROW = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("pieces", pa.list_(PIECE))])
-#: Words whose ids a worker keeps, and the longest of them in bytes.
-CACHED, CACHED_BYTES = 700_000, 64
+#: Words whose ids a worker keeps (twice, see ``_ids``), and the longest of them in bytes.
+CACHED, CACHED_BYTES = 150_000, 64
 #: Bytes of text whose new words are looked up together.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 #: Documents that one task numbers.
 NUMBERED = 100_000
 #: Punctuation that the tokenizer parts from a letter before it.
@@ -36,12 +36,12 @@ _TOKENIZERS: dict[str, tuple] = {}
 
 
 def _tokenizer(name: str) -> tuple:
-    """A worker's tokenizer and the ids of words it has seen, as little-endian 32-bit."""
+    """A worker's tokenizer and the ids of words it has seen, as little-endian 32-bit: those of late, and those of before."""
     if name not in _TOKENIZERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[name] = (Tokenizer.from_file(public_tokenizers.path(name)), {})
+        _TOKENIZERS[name] = (Tokenizer.from_file(public_tokenizers.path(name)), {}, {})
     return _TOKENIZERS[name]
 
 
@@ -67,17 +67,20 @@ def _word_ids(word: bytes, tokenizer, cache: dict[bytes, bytes]) -> bytes:
 
 
 def _ids(texts: list[bytes], name: str) -> list[bytes]:
-    tokenizer, cache = _tokenizer(name)
+    tokenizer, cache, former = _tokenizer(name)
     if len(cache) > CACHED:
-        cache.clear()
+        # Words of late become those of before; a word in use comes back from there, others are forgotten at the next turn.
+        cache, former = {}, cache
+        _TOKENIZERS[name] = tokenizer, cache, former
     split = [_words(t) for t in texts]
-    missing = list({w for words in split for w in words if w not in cache})
     more = {}
-    for word in missing:
-        if len(word) <= CACHED_BYTES:
-            cache[word] = _word_ids(word, tokenizer, cache)
-        else:
+    for word in {w for words in split for w in words if w not in cache}:
+        if len(word) > CACHED_BYTES:
             more[word] = _word_ids(word, tokenizer, {})
+        elif word in former:
+            cache[word] = former[word]
+        else:
+            cache[word] = _word_ids(word, tokenizer, cache)
     if more:
         both = lambda w: cache[w] if w in cache else more[w]
         return [b"".join(map(both, words)) for words in split]
@@ -109,7 +112,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, longest: int, end_id: int) ->
                 rows.append({"doc_id": doc_id, "doc_tokens": len(view) // 4, "pieces": pieces})
             yield from pa.Table.from_pylist(rows, schema=CUT_ARROW).to_batches()
 
-    return C.plain(docs, "doc_id", "text").mapInArrow(cut, CUT)
+    return C.plain(docs, "doc_id", "text").mapInArrow(C.giving_back(cut), CUT)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", max_tokens: int = 2048, end_id: int = 1) -> DataFrame:

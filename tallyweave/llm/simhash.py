@@ -75,7 +75,7 @@ def add_fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             prints = fingerprints([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()], width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(prints.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(C.giving_back(run), "doc_id long, text_hash long, fp long")
 
 
 def add_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -90,7 +90,7 @@ def add_sets(docs: DataFrame, width: int) -> DataFrame:
             columns = [pa.array(fingerprints_of(hashes).view(np.int64)), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), *columns], names=["doc_id", "text_hash", "fp", "set_id", "n_shingles", "bands"])
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, fp long, set_id long, n_shingles long, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(C.giving_back(run), "doc_id long, text_hash long, fp long, set_id long, n_shingles long, bands array<long>")
 
 
 def block_masks(n_blocks: int, distance: int) -> list[int]:

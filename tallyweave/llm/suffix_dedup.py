@@ -251,7 +251,10 @@ def _solve(shard: pa.Table, window: int, n_buckets: int) -> pa.Table:
                 windows[k].append(c[k][pick][own_string])
             windows["at"].append(shared + at[own_string])
     blocks, starts, stops = (np.concatenate(x) for x in (blocks, starts, stops))
-    return _found([*out, *_by_block(blocks, starts, stops)], windows, n_buckets)
+    found = _found([*out, *_by_block(blocks, starts, stops)], windows, n_buckets)
+    del text, column, c, rows, shard, blocks, starts, stops, windows, out
+    C.give_back()
+    return found
 
 
 def _flat_binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
