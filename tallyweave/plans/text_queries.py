@@ -9,6 +9,7 @@ from tallyweave.operators import extraction, grid_text, line_text, service_text,
 from tallyweave.operators.suppliers import supplier_index, supplier_numbers
 from tallyweave.plans.oracle_views import ORACLE_VIEWS, day_text, exact_cents
 from tallyweave.plans.registry import query
+from tallyweave.session import cut_lineage
 from tallyweave.sources import rendered as R
 from tallyweave.sources.documents import read_document_table
 
@@ -515,12 +516,10 @@ LINE_PATTERN = r"^(?P<hours>\d+) (?P<name>[A-Za-z ]+) \$(?P<rate>[\d.,]+) \$(?P<
 
 
 def template_table(d):
-    """A template per vendor group of the invoices, from the distinct vendors of the spend invoices."""
+    """A template for each vendor of the spend invoices: even ones read lines by a pattern, odd ones by the headings of a grid."""
     java, groups = templates.translate_pattern(LINE_PATTERN)
-    vendors = d.spend_invoices().filter("vendor_name is not null").select("vendor_name").distinct().select(
-        F.regexp_extract("vendor_name", r"(\d+)$", 1).cast("long").alias("number")
-    )
-    keys = vendors.select((F.col("number") % 40).alias("id")).distinct()
+    keys = d.spend_invoices().filter("vendor_name is not null").select(F.regexp_extract("vendor_name", r"(\d+)$", 1).cast("long").alias("id")).distinct()
+    by_pattern = F.col("id") % 2 == 0
 
     def spec(strategy, value=None, pattern=None):
         def text(v):
@@ -538,43 +537,55 @@ def template_table(d):
         F.lit("total_invoice_cost"), spec("regex", pattern=r"Pay \$(\S+)"),
         F.lit("payment_period"), spec("absent"),
     )
+    columns = F.create_map(*[F.lit(v) for pair in (("name", "consultant"), ("hours", "hrs"), ("rate", "rate"), ("amount", "amount")) for v in pair])
     return keys.select(
-        "id", F.concat(F.lit("group "), "id").alias("vendor_key"), F.concat(F.lit(r"account g"), "id", F.lit(r"\b")).alias("fingerprint_regex"),
-        (F.col("id") % 9 > 0).alias("validated"), header.alias("header"), F.lit(java).alias("line_pattern"),
+        "id", F.concat(F.lit("group "), "id").alias("vendor_key"), F.concat(F.lit(r"account\s+g"), "id", F.lit(r"\b")).alias("fingerprint_regex"),
+        (F.col("id") % 9 > 0).alias("validated"), header.alias("header"), F.when(by_pattern, java).alias("line_pattern"),
         F.create_map(*[F.lit(v) for pair in groups.items() for v in pair]).alias("line_groups"),
-        F.lit("^0 ").alias("skip_row_regex"), F.lit(None).cast("map<string,string>").alias("columns"),
+        F.lit("^0 ").alias("skip_row_regex"), F.when(~by_pattern, columns).alias("columns"),
     )
 
 
 def template_docs(d):
-    body = R.render(billing(d), F.concat(F.col("hours").cast("int").cast("string"), F.lit(" "), "contractor_name", F.lit(" $"), R.money(F.col("rate")), F.lit(" $"), R.money(F.col("amount"))), "lines\n", "\n0 Nobody $1.00 $1.00")
-    invoices = d.spend_invoices().select(F.col("id").alias("doc_id"), "invoice_number", "date_received", "total_invoice_cost")
+    """Documents with their lines printed where the vendor's template reads lines by a pattern, and the grids of the others."""
+    vendor = F.regexp_extract("vendor_name", r"(\d+)$", 1)
+    invoices = d.spend_invoices().select(F.col("id").alias("doc_id"), "invoice_number", "date_received", "total_invoice_cost", vendor.alias("vendor"))
+    in_grid = F.coalesce(F.col("vendor").cast("long") % 2 == 1, F.lit(False))
+    line = F.concat(F.col("hours").cast("int").cast("string"), F.lit(" "), "contractor_name", F.lit(" $"), R.money(F.col("rate")), F.lit(" $"), R.money(F.col("amount")))
+    body = R.render(billing(d), line, "lines\n", "\n0 Nobody $1.00 $1.00")
     header = F.concat(
-        F.lit("Account G"), F.col("doc_id") % 40, F.lit("\nNumber "), "invoice_number",
+        F.lit("Account G"), "vendor", F.lit("\nNumber "), "invoice_number",
         F.coalesce(F.concat(F.lit("\nDated "), F.date_format("date_received", "M/d/yyyy")), F.lit("")),
         F.coalesce(F.concat(F.lit("\nPay $"), R.money(F.col("total_invoice_cost"))), F.lit("")), F.lit("\n"),
     )
-    return body.join(invoices, "doc_id").select("doc_id", F.concat(header, "text").alias("text"))
+    docs = body.join(invoices, "doc_id").select("doc_id", F.concat(header, F.when(in_grid, "see table").otherwise(F.col("text"))).alias("text"))
+    row = _texts(F.col("contractor_name"), F.col("hours").cast("int").cast("string"), R.money(F.col("rate")), R.money(F.col("amount")))
+    grids = _grid(d, _texts("Consultant", "Hrs", "Rate", "Amount"), row, _texts("Total", "", "", "9.00"))
+    return docs, grids.join(invoices.filter(in_grid).select("doc_id"), "doc_id", "left_semi")
 
 
-HAS_TEMPLATE = "invoice_id % 40 IN (SELECT DISTINCT CAST(regexp_extract(vendor_name, '(\\d+)$', 1) AS BIGINT) % 40 FROM spend_invoices WHERE vendor_name IS NOT NULL) AND invoice_id % 40 % 9 > 0"
+VENDOR_NUMBER = "CAST(regexp_extract(i.vendor_name, '(\\d+)$', 1) AS BIGINT)"
 
 
-@query("join_template_fingerprint", f"SELECT DISTINCT invoice_id AS doc_id, invoice_id % 40 AS template_id FROM billing WHERE {HAS_TEMPLATE}")
+@query("join_template_fingerprint", f"""
+    SELECT DISTINCT i.id AS doc_id, {VENDOR_NUMBER} AS template_id FROM billing b JOIN spend_invoices i ON i.id = b.invoice_id
+    WHERE i.vendor_name IS NOT NULL AND {VENDOR_NUMBER} % 9 > 0""")
 def join_template_fingerprint(d):
-    return templates.find_templates(template_docs(d), template_table(d))
+    return templates.find_templates(template_docs(d)[0], template_table(d))
 
 
 @query("txt_template_apply", f"""
-    SELECT b.invoice_id AS doc_id, 'Group ' || CAST(b.invoice_id % 40 AS VARCHAR) AS vendor_name, i.invoice_number, {day_text('i.date_received')} AS date_received,
-           {_CENTS.format('i.total_invoice_cost')} AS total_invoice_cost, contractor_name, hours, {_CENTS.format('rate')} AS rate, {_CENTS.format('amount')} AS amount
-    FROM (SELECT * FROM billing WHERE {HAS_TEMPLATE}) b JOIN spend_invoices i ON i.id = b.invoice_id""")
+    SELECT b.invoice_id AS doc_id, 'Group ' || CAST({VENDOR_NUMBER} AS VARCHAR) AS vendor_name, i.invoice_number, {day_text('i.date_received')} AS date_received,
+           {_CENTS.format("coalesce(i.total_invoice_cost, sum(CAST(amount AS DECIMAL(18, 2))) OVER (PARTITION BY b.invoice_id))")} AS total_invoice_cost,
+           contractor_name, hours, {_CENTS.format('rate')} AS rate, {_CENTS.format('amount')} AS amount
+    FROM billing b JOIN spend_invoices i ON i.id = b.invoice_id WHERE i.vendor_name IS NOT NULL AND {VENDOR_NUMBER} % 9 > 0""")
 def txt_template_apply(d):
-    docs, stored = template_docs(d), template_table(d)
-    found = templates.find_templates(docs, stored)
-    headers = templates.template_headers(docs, found, stored).select("doc_id", "vendor_name", "invoice_number", "date_received", "total_invoice_cost")
-    lines = templates.template_lines(docs, found, stored).select("doc_id", "contractor_name", "hours", "rate", "amount")
-    return headers.join(lines, "doc_id")
+    """Lines of both strategies; a total that is not printed is the sum of the lines."""
+    (docs, grids), stored = template_docs(d), template_table(d)
+    found = cut_lineage(templates.find_templates(docs, stored))
+    headers, lines = templates.template_results(docs, grids, found, stored)
+    headers = headers.select("doc_id", "vendor_name", "invoice_number", "date_received", "total_invoice_cost")
+    return headers.join(lines.select("doc_id", "contractor_name", "hours", "rate", "amount"), "doc_id")
 
 
 @query("txt_template_validate", """
