@@ -1,108 +1,228 @@
 """Exact similarity search between two sets of texts, without a cross join.
 
-The comparison space is laid out as a grid: queries are hashed into row blocks, candidates into column
-blocks, and every grid cell is one bounded task that scores its queries against its candidates with
-vectorised bounds and emits only the winners. Block sizes are fixed, their number follows from the row
-counts (as scalar subqueries), so neither a hot key nor a large side ends up in one task and no candidate is
-ever dropped. Both sides must be distinct: callers pass distinct names, not the rows that carry them.
+*Sorted tokens* (``token_sort``). Texts meet by keys. The score is a share of common characters, so two texts that reach the cutoff have
+a known number of characters in common; with characters in one global order, the rarest first, they share two among the first few of
+each. A text is sent once per pair of these first characters, however many texts the other side has. Very short and very long texts
+use single characters, which are few for the former and telling for the latter. A key that many texts have is cut into rows and columns.
+
+*Names* (``name_similarity``). The partial measure lets a short name match anywhere in a long one, which leaves no key that both must
+share. The comparison space is a grid: queries are hashed into row blocks, candidates into column blocks, and every cell is one bounded
+task that compares its block with vectorised bounds and emits only the winners.
+
+Block sizes are fixed and their number follows from row counts (as scalar subqueries), so no candidate is ever dropped. Both sides must be
+distinct: callers pass distinct names, not the rows that carry them.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.functions import similarity
 from tallyweave.operators.scale import row_count
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# A cell holds at most this many queries and candidates; fewer queries than the minimum are not spread further.
+# A cell holds at most this many queries and candidates, and about so many pairs; a task of keyed texts holds about so many rows.
 QUERY_BLOCK = 4_000
-QUERY_BLOCK_MINIMUM = 64
 CANDIDATE_BLOCK = 50_000
+CELL_PAIRS = 1 << 24
+TASK_ROWS = 50_000
+#: Texts of this length and more use keys of single characters.
+LONG = 64
+#: Pairs that are scored at a time.
+SCORED = 1 << 17
 
 
 def _blocks(rows: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(rows / size)).cast("int")
 
 
-def _spread(queries: DataFrame) -> Column:
-    """Row blocks for all queries: enough for every core where that pays, and never more than a block each."""
-    rows = row_count(queries)
-    cores = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return F.greatest(F.least(F.lit(cores), _blocks(rows, QUERY_BLOCK_MINIMUM)), _blocks(rows, QUERY_BLOCK))
-
-
-def _layout(queries: DataFrame, candidates: DataFrame, within: str | None) -> tuple[DataFrame, DataFrame]:
-    """Add the cell coordinates ``_bucket, _row, _column`` to both sides."""
-    if within is None:
-        rows = _spread(queries)
-        columns = _blocks(row_count(candidates), CANDIDATE_BLOCK)
-        queries = queries.withColumn("_rows", rows).withColumn("_columns", columns).withColumn("_bucket", F.lit(0))
-        candidates = candidates.withColumn("_rows", rows).withColumn("_columns", columns).withColumn("_bucket", F.lit(0))
-    else:
-        # Keys share buckets; a key too large for one block is cut into its own rows and columns.
-        asked = queries.groupBy(within).agg(F.count(F.lit(1)).alias("_asked"))
-        offered = candidates.groupBy(within).agg(F.count(F.lit(1)).alias("_offered"))
-        sizes = asked.join(offered, within).select(
-            within,
-            _blocks(F.col("_asked"), QUERY_BLOCK).alias("_rows"),
-            _blocks(F.col("_offered"), CANDIDATE_BLOCK).alias("_columns"),
-        )
-        buckets = _spread(queries)
-        queries = queries.join(sizes, within).withColumn("_bucket", F.pmod(F.xxhash64(within), buckets))
-        candidates = candidates.join(sizes, within).withColumn("_bucket", F.pmod(F.xxhash64(within), buckets))
-    def block_of(text, blocks):
-        return F.pmod(F.xxhash64(text), F.col(blocks)).cast("int")
-
-    def every(blocks):
-        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-
-    queries = queries.withColumn("_row", block_of("query", "_rows")).withColumn("_column", every("_columns"))
-    candidates = candidates.withColumn("_column", block_of("candidate", "_columns")).withColumn("_row", every("_rows"))
-    return queries, candidates
+def _every(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
+def _block_of(text: str, blocks: str) -> Column:
+    return F.pmod(F.xxhash64(text), F.col(blocks)).cast("int")
+
+
+# --- sorted tokens: keys -----------------------------------------------------------------------------------------
+def common_characters(size: int, cutoff: float) -> int:
+    """Characters that a text of ``size`` has in common at least with any text it reaches the cutoff with."""
+    shortest = math.ceil(cutoff * size / (200.0 - cutoff) - 1e-9)
+    return max(1, math.ceil(cutoff * (size + shortest) / 200.0 - 1e-9))
+
+
+def _mixed(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = first * np.uint64(0x9E3779B97F4A7C15) ^ second * np.uint64(0xC2B2AE3D27D4EB4F)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def text_keys(text: str, cutoff: float, rarity: dict[str, float]) -> np.ndarray:
+    """Keys of a text; texts whose ``ratio`` reaches the cutoff share one, in whatever order their characters are.
+
+    ``rarity``: the logarithm of a character's share of texts; a second occurrence counts as rarer than the first.
+    """
+    if not text:
+        return np.zeros(1, np.int64)
+    seen: dict[str, int] = {}
+    tokens = []
+    for ch in text:
+        seen[ch] = nth = seen.get(ch, 0) + 1
+        tokens.append((nth * rarity.get(ch, -99.0), ch, nth))
+    tokens.sort()
+    ids = np.array([ord(ch) << 32 | nth for _, ch, nth in tokens], np.uint64)
+    size, spare = len(text), len(text) - common_characters(len(text), cutoff)
+    shortest = next(n for n in range(1, 1 << 20) if common_characters(n, cutoff) >= 2)
+    found = []
+    if shortest <= size < LONG:
+        first = ids[: spare + 2]
+        i, j = np.triu_indices(len(first), 1)
+        found.append(_mixed(first[i], first[j]))
+    # Pairs with a text too short for two characters, or too long for pairs of them.
+    if math.ceil(cutoff * size / (200.0 - cutoff) - 1e-9) < shortest or size * (200.0 - cutoff) / cutoff >= LONG:
+        found.append(_mixed(ids[: spare + 1], np.zeros(min(size, spare + 1), np.uint64)))
+    return np.unique(np.concatenate(found))
+
+
+def _keyed(texts: DataFrame, name: str, cutoff: float, rarity: dict[str, float]) -> DataFrame:
+    def keys(values: pd.Series) -> pd.Series:
+        return pd.Series([text_keys(" ".join(v.split()), cutoff, rarity) for v in values])
+
+    keys.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return texts.withColumn("_prefix", F.explode(F.pandas_udf(keys, T.ArrayType(T.LongType()))(name)))
+
+
+def _rarity(texts: DataFrame) -> dict[str, float]:
+    """Logarithm of the share of texts that have a character: one row per character of the alphabet."""
+    per = texts.select(F.explode(F.array_distinct(F.split("candidate", ""))).alias("ch")).groupBy("ch").agg(F.count(F.lit(1)).alias("n"))
+    counts = {row["ch"]: row["n"] for row in per.collect()}
+    most = max(counts.values(), default=1) + 1
+    return {ch: math.log(n / most) for ch, n in counts.items()}
+
+
+def _keyed_search(cutoff: float, keep_all: bool):
+    def search(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
+        columns = ["_key", "query", "candidate", "score", "candidate_order"]
+        if not len(asked) or not len(offered):
+            return pd.DataFrame([], columns=columns).astype({"score": float})
+        texts = [" ".join(sorted(t.split())) for t in offered["candidate"]]
+        asked = asked.assign(_text=[" ".join(sorted(t.split())) for t in asked["query"]]).sort_values(["query", "_key"], kind="stable")
+        where, codes = np.unique(pd.concat([offered["_prefix"], asked["_prefix"]]).to_numpy(), return_inverse=True)
+        code, mine = codes[: len(offered)], codes[len(offered) :]
+        by_code = np.argsort(code, kind="stable")
+        low = np.searchsorted(code[by_code], mine)
+        high = np.searchsorted(code[by_code], mine, "right")
+        owner = pd.factorize(pd.MultiIndex.from_arrays([asked["_key"], asked["query"]]))[0]
+        candidate = pd.factorize(pd.MultiIndex.from_arrays([offered["_key"], offered["candidate"]]))[0]
+        keys_a, keys_o = asked["_key"].to_numpy(), offered["_key"].to_numpy()
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        own = np.fromiter(map(len, asked["_text"]), np.int64, len(asked))
+        asked_text, queries = asked["_text"].to_numpy(), asked["query"].to_numpy()
+        order, names = offered["candidate_order"].to_numpy(), offered["candidate"].to_numpy()
+        ends = np.append(np.flatnonzero(np.diff(owner)) + 1, len(owner))
+        found, start = [], 0
+        reach = np.cumsum(high - low)
+        while start < len(owner):
+            # Whole queries, as many as have about SCORED meetings.
+            base = reach[start - 1] if start else 0
+            stop = int(ends[max(np.searchsorted(ends, start, "right"), np.searchsorted(reach[ends - 1], base + SCORED, "right") - 1)])
+            count = (high - low)[start:stop]
+            left = np.repeat(np.arange(start, stop), count)
+            right = by_code[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[start:stop], count)]
+            near = (200.0 * np.minimum(own[left], sizes[right]) >= (cutoff - 1e-9) * (own[left] + sizes[right])) & (keys_a[left] == keys_o[right])
+            left, right = left[near], right[near]
+            _, once = np.unique(owner[left].astype(np.int64) * (int(candidate.max()) + 1) + candidate[right], return_index=True)
+            left, right = left[once], right[once]
+            score = similarity.ratio_pairs(asked_text[left].tolist(), [texts[i] for i in right]) if len(left) else np.zeros(0)
+            hit = score >= cutoff
+            rows = pd.DataFrame({"_owner": owner[left[hit]], "_key": keys_a[left[hit]], "query": queries[left[hit]], "candidate": names[right[hit]], "score": score[hit], "candidate_order": order[right[hit]]})
+            if not keep_all:
+                rows = rows.sort_values(["score", "candidate_order"], ascending=[False, True], kind="stable").drop_duplicates("_owner")
+            found.append(rows[columns])
+            start = stop
+        return pd.concat(found, ignore_index=True)
+
+    return search
+
+
+def _by_keys(queries: DataFrame, candidates: DataFrame, cutoff: float, within: str | None, keep_all: bool) -> DataFrame:
+    rarity = _rarity(candidates)
+    group = F.col(within).cast("string") if within else F.lit("")
+    queries = _keyed(queries.select("query", group.alias("_key")), "query", cutoff, rarity)
+    candidates = _keyed(candidates.select("candidate", "candidate_order", group.alias("_key")), "candidate", cutoff, rarity)
+    shared = ["_key", "_prefix"]
+    sizes = queries.groupBy(*shared).agg(F.count(F.lit(1)).alias("_asked")).join(
+        candidates.groupBy(*shared).agg(F.count(F.lit(1)).alias("_offered")), shared
+    ).withColumns({"_rows": _blocks(F.col("_asked"), QUERY_BLOCK), "_columns": _blocks(F.col("_offered"), CANDIDATE_BLOCK)})
+    sent = sizes.agg(F.sum(F.col("_asked") * F.col("_columns") + F.col("_offered") * F.col("_rows"))).scalar()
+    tasks = _blocks(F.coalesce(sent, F.lit(0)), TASK_ROWS)
+    sizes = sizes.select(*shared, "_rows", "_columns")
+    asked = queries.join(sizes, shared).withColumn("_row", _block_of("query", "_rows")).withColumn("_column", _every("_columns"))
+    offered = candidates.join(sizes, shared).withColumn("_column", _block_of("candidate", "_columns")).withColumn("_row", _every("_rows"))
+    task = F.pmod(F.xxhash64(*shared, "_row", "_column"), tasks).alias("_task")
+    # The cell becomes part of the key, so that a task pairs what is in the same cell only.
+    cell = F.xxhash64("_prefix", "_row", "_column").alias("_prefix")
+    found = (
+        asked.select(task, "_key", cell, "query").groupBy("_task")
+        .cogroup(offered.select(task, "_key", cell, "candidate", "candidate_order").groupBy("_task"))
+        .applyInPandas(_keyed_search(cutoff, keep_all), "_key string, query string, candidate string, score double, candidate_order string")
+    )
+    return found.withColumnRenamed("_key", within) if within else found.drop("_key")
 
 
+# --- names: a grid -----------------------------------------------------------------------------------------------
 def _cell_search(scorer: str, cutoff: float, keep_all: bool):
     block_type = similarity.BLOCKS[scorer]
 
     def search(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         found = []
-        groups = {key: part for key, part in offered.groupby("_key", sort=False)} if len(offered) else {}
-        for key, part in asked.groupby("_key", sort=False):
-            options = groups.get(key)
-            if options is None:
-                continue
-            texts, order = options["candidate"].tolist(), options["candidate_order"].tolist()
+        if len(asked) and len(offered):
+            texts, order = offered["candidate"].tolist(), offered["candidate_order"].tolist()
             block = block_type(texts)
-            for query in part["query"]:
+            for query in asked["query"]:
                 if keep_all:
-                    found += [(key, query, texts[i], score, order[i]) for i, score in block.all(query, cutoff)]
+                    found += [(query, texts[i], score, order[i]) for i, score in block.all(query, cutoff)]
                     continue
                 best = block.best(query, cutoff, order)
                 if best:
-                    found.append((key, query, texts[best[0]], best[1], order[best[0]]))
-        return pd.DataFrame(found, columns=["_key", "query", "candidate", "score", "candidate_order"])
+                    found.append((query, texts[best[0]], best[1], order[best[0]]))
+        return pd.DataFrame(found, columns=["query", "candidate", "score", "candidate_order"])
 
     return search
 
 
-def _search(queries, candidates, scorer, cutoff, within, keep_all):
-    queries, candidates = _layout(queries, candidates, within)
-    key = F.col(within).cast("string") if within else F.lit("")
-    cell = ["_bucket", "_row", "_column"]
-    asked = queries.select(*cell, key.alias("_key"), "query").groupBy(*cell)
-    offered = candidates.select(*cell, key.alias("_key"), "candidate", "candidate_order").groupBy(*cell)
-    found = asked.cogroup(offered).applyInPandas(
-        _cell_search(scorer, cutoff, keep_all),
-        "_key string, query string, candidate string, score double, candidate_order string",
+def _by_grid(queries: DataFrame, candidates: DataFrame, scorer: str, cutoff: float, keep_all: bool) -> DataFrame:
+    asked, offered = row_count(queries), row_count(candidates)
+    columns = _blocks(offered, CANDIDATE_BLOCK)
+    pairs = asked * F.least(offered, F.lit(CANDIDATE_BLOCK))
+    rows = F.greatest(_blocks(asked, QUERY_BLOCK), F.least(_blocks(pairs, CELL_PAIRS), F.greatest(F.lit(1), asked.cast("int"))))
+    queries, candidates = (side.withColumn("_rows", rows).withColumn("_columns", columns) for side in (queries, candidates))
+    queries = queries.withColumn("_row", _block_of("query", "_rows")).withColumn("_column", _every("_columns"))
+    candidates = candidates.withColumn("_column", _block_of("candidate", "_columns")).withColumn("_row", _every("_rows"))
+    cell = ["_row", "_column"]
+    return (
+        queries.select(*cell, "query").groupBy(*cell)
+        .cogroup(candidates.select(*cell, "candidate", "candidate_order").groupBy(*cell))
+        .applyInPandas(_cell_search(scorer, cutoff, keep_all), "query string, candidate string, score double, candidate_order string")
     )
-    return found.withColumnRenamed("_key", within) if within else found.drop("_key")
+
+
+def _search(queries, candidates, scorer, cutoff, within, keep_all):
+    if scorer == "token_sort":
+        return _by_keys(queries, candidates, cutoff, within, keep_all)
+    if within is not None:
+        raise ValueError("only the sorted-token measure is searched within keys")
+    return _by_grid(queries, candidates, scorer, cutoff, keep_all)
 
 
 def best_match(
@@ -121,4 +241,6 @@ def best_match(
 
 def all_matches(queries: DataFrame, candidates: DataFrame, scorer: str, cutoff: float) -> DataFrame:
     """Every (query, candidate) at or above ``cutoff``: the matches themselves, not the compared pairs."""
-    return _search(queries, candidates, scorer, cutoff, None, keep_all=True).drop("candidate_order")
+    found = _search(queries, candidates, scorer, cutoff, None, keep_all=True).drop("candidate_order")
+    # Two texts may share several keys, hence meet in several tasks.
+    return found.distinct()

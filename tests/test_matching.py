@@ -115,6 +115,68 @@ def test_grid_search_equals_brute_force(spark, monkeypatch):
     assert pairs == {(q, c) for q in queries for c in candidates if similarity.token_sort(q, c) >= 70}
 
 
+def test_pairs_and_blocks_equal_the_plain_measures():
+    """Texts of up to several words of bits, empty ones, repeated and shared tokens."""
+    rng = random.Random(1)
+
+    def text(n, letters="abcde "):
+        return " ".join("".join(rng.choice(letters) for _ in range(n)).split())
+
+    pairs = [(text(rng.choice([0, 1, 8, 20, 63, 64, 65, 129, 200])), text(rng.choice([0, 1, 8, 20, 64, 65, 200]))) for _ in range(400)]
+    pairs += [(a, " ".join(rng.sample(a.split(), len(a.split()))[1:] + ["x"])) for a, _ in pairs if a] + [("aa aa", "aa"), ("é ü", "ü é"), ("john smith", "john doe")]
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    assert similarity.lcs_pairs(left, right).tolist() == [similarity.lcs_length(a, b) for a, b in pairs]
+    for name in ("ratio", "token_sort", "token_set"):
+        assert getattr(similarity, f"{name}_pairs")(left, right).tolist() == [getattr(similarity, name)(a, b) for a, b in pairs]
+    short = [(a, b) for a, b in pairs if len(a) + len(b) < 90]
+    for name in ("partial", "name_similarity"):
+        assert getattr(similarity, f"{name}_pairs")(*map(list, zip(*short))).tolist() == [getattr(similarity, name)(a, b) for a, b in short]
+    candidates = sorted({b for _, b in short} | {"aa aa bb", "aa bb", "john x"})
+    block = similarity.NameBlock(candidates)
+    for query in [a for a, _ in short[::9]] + ["aa aa bb bb", "john smith"]:
+        scores = [similarity.name_similarity(query, c) for c in candidates]
+        assert (block.bounds(query) >= scores).all()
+        best = max(scores)
+        assert block.best(query, 65.0, list(range(len(candidates)))) == ((scores.index(best), best) if best >= 65 else None)
+
+
+@pytest.mark.parametrize("cutoff", [60.0, 80.0, 88.0])
+def test_keyed_search_equals_brute_force(spark, monkeypatch, cutoff):
+    """Very short texts, texts of over 128 characters, a third of all with one hot token, cut keys."""
+    monkeypatch.setattr(bm, "QUERY_BLOCK", 6)
+    monkeypatch.setattr(bm, "CANDIDATE_BLOCK", 5)
+    monkeypatch.setattr(bm, "TASK_ROWS", 500)
+    rng = random.Random(int(cutoff))
+
+    def word(n):
+        return "".join(rng.choice("abcdeé") for _ in range(n))
+
+    def changed(t):
+        letters = list(t)
+        for _ in range(rng.randrange(1, 2 + len(t) // 8)):
+            letters[rng.randrange(len(letters))] = rng.choice("abcde ")
+        return " ".join("".join(letters).split()) or "a"
+
+    candidates = {f"kumar {word(6)}" for _ in range(40)} | {" ".join(word(rng.randrange(1, 9)) for _ in range(rng.randrange(1, 5))) for _ in range(50)}
+    candidates |= {" ".join(word(9) for _ in range(15)) for _ in range(6)} | {"a", "b", "ab", "abc", " ".join(["ab"] * 60)}
+    queries = sorted({changed(c) for c in candidates} | {changed(c) for c in candidates} | {"a", "zz", "c a b"})
+    candidates = sorted(candidates)
+    asked = spark.createDataFrame([(q,) for q in queries], "query string")
+    offered = spark.createDataFrame([(c, f"{i:04}") for i, c in enumerate(candidates)], "candidate string, candidate_order string")
+    scores = {q: [similarity.token_sort(q, c) for c in candidates] for q in queries}
+    got = {r.query: (r.candidate, r.score) for r in bm.best_match(asked, offered, "token_sort", cutoff).collect()}
+    assert got == {q: (candidates[s.index(max(s))], max(s)) for q, s in scores.items() if max(s) >= cutoff}
+    rows = [(r.query, r.candidate) for r in bm.all_matches(asked, offered, "token_sort", cutoff).collect()]
+    assert sorted(rows) == sorted((q, c) for q, s in scores.items() for c, x in zip(candidates, s, strict=True) if x >= cutoff)
+    assert bm.best_match(asked.limit(0), offered, "token_sort", cutoff).count() == bm.best_match(asked, offered.limit(0), "token_sort", cutoff).count() == 0
+
+
+def test_a_text_is_sent_as_often_whatever_the_other_side_holds():
+    rarity = {ch: -0.1 * i for i, ch in enumerate("abcdefghijklmnopqrstuvwxyz ")}
+    for cutoff, size, most in ((88.0, 20, 15), (88.0, 40, 45), (80.0, 20, 28)):
+        assert len(bm.text_keys("abcdefghijklmnopqrst"[:size] + "uvwxyz abcdefghijklmn"[: max(0, size - 20)], cutoff, rarity)) <= most
+
+
 def test_grid_search_within_keys(spark, monkeypatch):
     monkeypatch.setattr(bm, "QUERY_BLOCK", 5)
     monkeypatch.setattr(bm, "CANDIDATE_BLOCK", 5)
