@@ -111,6 +111,8 @@ def _rarity(texts: DataFrame) -> dict[str, float]:
 
 
 def _keyed_search(cutoff: float, keep_all: bool):
+    scorer = similarity.ratio_pairs
+
     def search(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         columns = ["_key", "query", "candidate", "score", "candidate_order"]
         if not len(asked) or not len(offered):
@@ -143,7 +145,7 @@ def _keyed_search(cutoff: float, keep_all: bool):
             left, right = left[near], right[near]
             _, once = np.unique(owner[left].astype(np.int64) * (int(candidate.max()) + 1) + candidate[right], return_index=True)
             left, right = left[once], right[once]
-            score = similarity.ratio_pairs(asked_text[left].tolist(), [texts[i] for i in right]) if len(left) else np.zeros(0)
+            score = scorer(asked_text[left].tolist(), [texts[i] for i in right]) if len(left) else np.zeros(0)
             hit = score >= cutoff
             rows = pd.DataFrame({"_owner": owner[left[hit]], "_key": keys_a[left[hit]], "query": queries[left[hit]], "candidate": names[right[hit]], "score": score[hit], "candidate_order": order[right[hit]]})
             if not keep_all:
