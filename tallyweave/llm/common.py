@@ -209,13 +209,13 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int)
         return mixed((sums[ends] - sums[starts]) * _powers(which, n, True)[starts])
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """64-bit hash of each word; done in slices, so that wide arrays stay small."""
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SLICE, "right")))
         base = starts[i]
-        out[i:j] = _spans(_BYTES[data[base : ends[j - 1]]], starts[i:j] - base, ends[i:j] - base, 0)
+        out[i:j] = _spans(_BYTES[data[base : ends[j - 1]]], starts[i:j] - base, ends[i:j] - base, which)
         i = j
     return out
 

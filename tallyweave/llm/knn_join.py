@@ -4,6 +4,9 @@ Vectors are turned into points whose distance orders like the inner product: dat
 largest squared length, a query q becomes (q, 0). Both are grouped by their nearest pivot. A summary of each group (how many
 points, the smallest and largest distance to the pivot, the k smallest) gives an upper bound of any query's k-th distance in a
 query group, and by the triangle inequality which data points can be within it; only those are replicated to the query group.
+Histograms of the distances tell beforehand how many that are. Query groups whose bounds rule out less than half of the data would
+each draw most of it, so they are dealt to a few groups that take all data once each: where nothing can be ruled out, as among vectors
+without clusters, a vector has few copies, and where it can, many small groups have few vectors each.
 Groups of queries and of data are cut into cells of bounded size, solved by integer matrix products, and the cells' best merged.
 """
 
@@ -18,8 +21,12 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm import common as C
 
-#: Most and fewest pivots, and queries that make up for one.
-PIVOTS, LEAST_PIVOTS, GROUP_QUERIES = 32, 4, 256
+#: Most pivots, and vectors that make up for one.
+PIVOTS, PIVOT_ROWS = 256, 512
+#: Groups that take all data, and queries in one of them.
+WHOLE, WHOLE_QUERIES = 4, 4096
+#: Steps of the histograms of distances to a pivot.
+STEPS = 64
 #: Data points and queries in one cell.
 CELL_ROWS, CELL_QUERIES = 16_384, 1024
 #: Largest absolute component whose products doubles add up exactly, for up to 2^13 components.
@@ -65,7 +72,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
     vectors: vec_id, embedding (array of numbers). A component x counts as floor(scale * x). Queries are the rows for which
     ``is_query`` holds; candidates are all rows with another vec_id. Ties go to the smaller vec_id. Vectors that are null, have a
     null or non-finite component, or have no vec_id take no part; shorter vectors are filled with zeros. Of rows that share a
-    vec_id each is a candidate of its own; equal query rows are answered once. Scores must fit a 64-bit integer. Further columns are ignored.
+    vec_id each is a candidate of its own; equal query rows are answered once. Scores must fit a 64-bit integer; a vector so long that
+    they might not is refused with an error. Further columns are ignored.
 
     Returns query_id, rank (from 1), vec_id, score; fewer than ``k`` rows for a query if there are fewer candidates.
     """
@@ -78,8 +86,9 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
     if not shape["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     size, largest = int(shape["size"]), float(shape["largest"])
-    # Each query group may draw all data to it, so there are no more groups than queries can fill.
-    pivots = min(pivots, max(LEAST_PIVOTS, math.ceil(shape["queries"] / GROUP_QUERIES)))
+    if largest >= 2.0**62:
+        raise ValueError("inner products of these vectors do not fit 64 bits: scale them down")
+    pivots = min(pivots, max(1, math.ceil(shape["n"] / PIVOT_ROWS)))
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).select("components").collect()
     points = _lifted(_matrix(pa.array([r["components"] for r in chosen], pa.list_(pa.int64())), size).astype(np.float64), largest)
     # Distances are rounded; bounds are widened by far more than that.
@@ -96,8 +105,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
 
     assigned = C.stored(rows.mapInArrow(assign, ASSIGNED), "knn")
     queries = assigned.where("is_query").dropDuplicates(["vec_id", "components"]).withColumn("query", F.xxhash64("components"))
-    # Summaries: the k + 1 nearest vec_ids of each data group, as one of them may be the query itself. Tasks send their own nearest.
-    need = k + 1
+    # Summaries: the nearest vec_ids of each data group, one more than k as one of them may be the query itself, and one more for each
+    # further group that rows of one vec_id lie in. Tasks send their own nearest.
+    groups_of_id = assigned.groupBy("vec_id").agg(F.count_distinct("data_pivot").alias("n")).agg(F.max("n")).first()[0]
+    need = k + int(groups_of_id)
 
     def summarise(batches):
         kept: dict[int, dict[int, float]] = {}
@@ -116,17 +127,43 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
     nearest = Window.partitionBy("data_pivot").orderBy("data_distance", "vec_id")
     small = sent.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= need).groupBy("data_pivot").agg(F.collect_list("data_distance").alias("d")).collect()
     groups = {r["query_pivot"]: (r["far"], r["n"]) for r in queries.groupBy("query_pivot").agg(F.max("query_distance").alias("far"), F.count("*").alias("n")).collect()}
-    sizes = {r["data_pivot"]: r["n"] for r in assigned.groupBy("data_pivot").agg(F.count("*").alias("n")).collect()}
+    # At most STEPS rows a pivot: how many points lie how far from it.
+    width = max(1e-9, 2.0 * math.sqrt(largest) + slack) / STEPS
+    step = F.floor(F.col("data_distance") / width).cast("int").alias("step")
+    counts = np.zeros((pivots, STEPS + 2))
+    for r in assigned.groupBy("data_pivot", step).agg(F.count("*").alias("n")).collect():
+        counts[r["data_pivot"], min(r["step"], STEPS + 1)] += r["n"]
+    sizes = {int(p): int(n) for p, n in enumerate(counts.sum(axis=1)) if n}
     between = _distances(points, points)
-    wanted = []
+    spared, whole = [], []
     for group, (far, n_queries) in groups.items():
         upper = np.sort(np.concatenate([far + between[group, r["data_pivot"]] + np.array(r["d"]) for r in small]))
         bound = upper[need - 1] if len(upper) >= need else math.inf
+        mine, drawn = [], 0.0
         for pivot, n_data in sizes.items():
             # A point of this group nearer to its pivot than the first, or further than the second, can't be within the bound.
             gap = between[group, pivot] - far - bound - slack
             reach = between[group, pivot] + far + bound + slack
-            wanted.append((int(group), int(pivot), float(gap), float(reach), math.ceil(n_data / CELL_ROWS), math.ceil(n_queries / CELL_QUERIES)))
+            low, high = (int(np.clip(math.floor(x / width), 0, STEPS + 1)) if math.isfinite(x) else (0 if x < 0 else STEPS + 1) for x in (gap, reach))
+            inside = counts[pivot, low : high + 1].sum() if reach >= 0 else 0
+            if inside:
+                drawn += inside
+                mine.append((int(group), int(pivot), float(gap), float(reach), math.ceil(n_data / CELL_ROWS), math.ceil(n_queries / CELL_QUERIES)))
+        if drawn <= shape["n"] / 2:
+            spared += mine
+        else:
+            whole.append((int(group), n_queries))
+    # Groups that would draw most of the data share it: -1, -2, … take all of it.
+    n_whole = sum(n for _, n in whole)
+    parts = min(WHOLE, max(1, math.ceil(n_whole / WHOLE_QUERIES)))
+    of_group = {group: -1 - i % parts for i, (group, _) in enumerate(sorted(whole))}
+    wanted = spared + [
+        (-1 - i, pivot, -math.inf, math.inf, math.ceil(n_data / CELL_ROWS), math.ceil(max(1, n_whole) / parts / CELL_QUERIES))
+        for i in range(parts if whole else 0) for pivot, n_data in sizes.items()
+    ]
+    moved = F.create_map(*(F.lit(x) for pair in of_group.items() for x in pair)) if of_group else None
+    if moved is not None:
+        queries = queries.withColumn("query_pivot", F.coalesce(F.try_element_at(moved, F.col("query_pivot")), F.col("query_pivot")))
     plan = F.broadcast(spark.createDataFrame(wanted, "query_pivot int, data_pivot int, gap double, reach double, data_parts int, query_parts int"))
     data = assigned.select("vec_id", "components", "data_pivot", "data_distance").join(plan, "data_pivot").where("data_distance >= gap AND data_distance <= reach")
     part = F.pmod(F.xxhash64("vec_id"), F.col("data_parts")).cast("int")

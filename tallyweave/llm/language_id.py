@@ -67,6 +67,7 @@ def train(docs: DataFrame, slots: int = SLOTS) -> dict:
 
     labelled = docs.select("text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sums = labelled.mapInArrow(C.giving_back(count), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    sums = C.stored(sums, "language-counts")
     languages = sorted(r["lang"] for r in sums.where("slot = -1").select("lang").collect())
     if len(languages) * slots > MATRIX_CELLS:
         raise ValueError(f"{len(languages)} languages of {slots} slots exceed a matrix of {MATRIX_CELLS} cells; lower slots")
@@ -87,15 +88,17 @@ def predict(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
     """The kept columns with lang_pred and score (posterior probability of lang_pred; 0 for ``und``)."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col("text").alias("__text"))
-    out = source.drop("__text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    names = docs.select(*keep).columns
+    fixed = [f"keep_{i}" for i in range(len(names))]
+    source = docs.select(*keep, "text").toDF(*fixed, "text")
+    out = source.drop("text").withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
         m = shared.value
-        names = np.array([*m["languages"], UNDETERMINED], dtype=object)
-        for batch in C.small(batches, "__text"):
-            texts = [t or "" for t in batch.column("__text").to_pylist()]
-            best, score = np.full(len(texts), len(names) - 1), np.zeros(len(texts))
+        labels = np.array([*m["languages"], UNDETERMINED], dtype=object)
+        for batch in C.small(batches):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            best, score = np.full(len(texts), len(labels) - 1), np.zeros(len(texts))
             slot, sizes = trigrams(texts, m["slots"])
             has = np.flatnonzero(sizes)
             if m["languages"] and len(has):
@@ -106,11 +109,9 @@ def predict(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
                 share /= share.sum(axis=1, keepdims=True)
                 top = logs.argmax(axis=1)
                 best[has], score[has] = top, share[np.arange(len(has)), top]
-            arrays = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]
-            kept = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(names[best], pa.string()), pa.array(score)], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in fixed), pa.array(labels[best], pa.string()), pa.array(score)], names=[*fixed, "lang_pred", "score"])
 
-    return source.mapInArrow(C.giving_back(run), out)
+    return source.mapInArrow(C.giving_back(run), out).toDF(*names, "lang_pred", "score")
 
 
 def identify_languages(docs: DataFrame, training: Column, *keep: str | Column, slots: int = SLOTS) -> DataFrame:

@@ -4,7 +4,8 @@ A window of ``window`` words can only be repeated if both of its halves are. So
 (20 words: 5, then 10, then 20); only those that are repeated alone are extended to twice the length, until the asked length is
 reached or no candidates survive. At each length a block of documents sends the distinct hashes of its candidates to buckets of
 hash values; a bucket answers with one bit for each. Short lengths send shortened hashes, which can only let too many through;
-the last length sends 128 bits and the first document that has the window.
+the last length sends 128 bits and the first document that has the window. Its two hashes are made from the bytes of the words with
+different bases, and both decide within a block as well as between blocks.
 """
 
 from __future__ import annotations
@@ -46,26 +47,43 @@ class _Words:
         self.starts, self.ends, self.first = C.space_words(self.data, offsets)
         self.hashes = C.mixed(C.hash_words(self.data, self.starts, self.ends))
         self.document = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.second: np.ndarray | None = None
 
     def fitting(self, length: int) -> np.ndarray:
         """Whether ``length`` words from each word on lie in one document."""
         return np.arange(len(self.hashes)) + length <= self.first[1:][self.document]
 
 
-def _distinct(words: _Words, candidates: np.ndarray, length: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of the candidates, the number of each, which one a candidate has, and its first candidate."""
+def _distinct(words: _Words, candidates: np.ndarray, length: int, bits: int, last: bool) -> tuple[np.ndarray, ...]:
+    """Sorted distinct hashes of the candidates, the number of each, which one a candidate has, its first candidate, and its second hash."""
     at = np.flatnonzero(candidates)
     hashes = C.shorten(C.hash_windows(words.hashes, at, length), bits)
-    values, first, which, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    return values, counts, which, first
+    if not last:
+        return *(x for x in _unique(hashes, at, None)), None
+    words.second = C.mixed(C.hash_words(words.data, words.starts, words.ends, 2)) if words.second is None else words.second
+    second = C.hash_windows(words.second, at, length, 2)
+    values, counts, which, first = _unique(hashes, at, second)
+    return values, counts, which, first, second[first]
+
+
+def _unique(hashes: np.ndarray, at: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in order (pairs, if there is a second hash), their counts, which one each position has, and the first position of each."""
+    order = np.argsort(hashes, kind="stable") if second is None else np.lexsort((at, second, hashes))
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order][1:] != hashes[order][:-1]
+    if second is not None:
+        new[1:] |= second[order][1:] != second[order][:-1]
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    return hashes[first], np.diff(np.append(np.flatnonzero(new), len(order))), which, first
 
 
 def _ask(words: _Words, block: int, candidates: np.ndarray, length: int, bits: int, n_buckets: int, last: bool) -> pa.Table:
-    values, counts, which, first = _distinct(words, candidates, length, bits)
-    second = document = tie = None
+    values, counts, which, first, second = _distinct(words, candidates, length, bits, last)
+    document = tie = None
     if last:
         at = np.flatnonzero(candidates)[first]
-        second = C.hash_windows(words.hashes, at, length, 2)
         document = C.order_ids(words.block)[words.document[at]]
         tie = np.where(document == C.NO_ID, block, 0)
     rows = []
@@ -101,7 +119,7 @@ def _answer(messages: pa.Table) -> pa.Table:
     return pa.Table.from_pylist(rows, schema=ARROW)
 
 
-def _answered(words: _Words, messages: pa.Table, length: int, bits: int, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _answered(words: _Words, messages: pa.Table, length: int, bits: int, n_buckets: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of the candidates of ``length``; of each, the answer to its window, and whether it is the window's first here."""
     mine, answers = np.zeros(len(words.hashes), bool), {}
     for r in messages.to_pylist():
@@ -109,7 +127,7 @@ def _answered(words: _Words, messages: pa.Table, length: int, bits: int, n_bucke
             mine = C.unpack_bits(r["payload"], len(words.hashes))
         else:
             answers[r["bucket"]] = r["payload"]
-    values, _, which, first = _distinct(words, mine, length, bits)
+    values, _, which, first, _ = _distinct(words, mine, length, bits, last)
     said = np.zeros(len(values), bool)
     for bucket, a, b in C.bucket_slices(values, bits, n_buckets):
         said[a:b] = C.unpack_bits(answers[bucket], b - a)
@@ -172,7 +190,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, shortest: int = S
     def extend(k: int):
         def run(block: pa.Table, messages: pa.Table) -> pa.Table:
             words = _Words(block)
-            at, repeated, _ = _answered(words, messages, lengths[k - 1], widths[k - 1], n_buckets)
+            at, repeated, _ = _answered(words, messages, lengths[k - 1], widths[k - 1], n_buckets, False)
             candidates = _extended(words, at, repeated, lengths[k - 1], lengths[k])
             return _ask(words, block.column("block")[0].as_py(), candidates, lengths[k], widths[k], n_buckets, k == len(lengths) - 1)
 
@@ -180,7 +198,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, shortest: int = S
 
     def finish(block: pa.Table, messages: pa.Table) -> pa.Table:
         words = _Words(block)
-        at, elsewhere, first = _answered(words, messages, lengths[-1], widths[-1], n_buckets)
+        at, elsewhere, first = _answered(words, messages, lengths[-1], widths[-1], n_buckets, True)
         return _results(words, _covered(len(words.hashes), at[elsewhere | ~first], lengths[-1]))
 
     asked = blocks.groupBy("block").applyInArrow(begin, MESSAGE)

@@ -9,7 +9,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -19,6 +21,8 @@ from tallyweave.llm import common as C
 
 COUNT = "doc_id long, n_bytes long, n_tokens long"
 CACHED, CACHED_CHARS = 300_000, 64
+#: Bytes from which a pre-token's symbols are kept in arrays.
+LONG = 4096
 #: A space inside white space, where white space may belong to one pre-token across the space.
 _WIDE = re.compile(r"\s (?:\s|$)")
 _COUNTERS: dict[str, Counter] = {}
@@ -47,6 +51,7 @@ class Counter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_pattern = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.pair_of: dict[int, tuple[int, int, int]] | None = None
         self.starts: dict[str, int] = {}
         self.spaced: dict[str, int] = {}
 
@@ -55,6 +60,8 @@ class Counter:
         n = len(token)
         if n < 2:
             return n
+        if n > LONG:
+            return self._merged_long(token)
         first, ranks = self.first, self.ranks
         symbol = [first[b] for b in token]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -86,6 +93,54 @@ class Counter:
                     heapq.heappush(heap, (found[0], h, symbol[h], new, found[1]))
         return n - merges
 
+    def _merged_long(self, token: bytes) -> int:
+        """The same merges in the same order, for a pre-token of any length: symbols and links are arrays of 32 bits, and the heap
+        holds ranks, each with its positions: an array in order for the first pairs, a heap for those that merges make."""
+        n, ranks = len(token), self.ranks
+        symbol = np.array(self.first, np.int32)[np.frombuffer(token, np.uint8)]
+        pairs, which = np.unique(symbol[:-1].astype(np.int64) << 32 | symbol[1:], return_inverse=True)
+        found = [ranks.get((int(p) >> 32, int(p) & 0xFFFFFFFF)) for p in pairs.tolist()]
+        order = np.argsort(which, kind="stable").astype(np.int32)
+        edges = np.searchsorted(which[order], np.arange(len(pairs) + 1))
+        first = {f[0]: array("i", order[a:b].tobytes()) for f, a, b in zip(found, edges[:-1].tolist(), edges[1:].tolist(), strict=True) if f is not None}
+        del which, order
+        pair_of = {f[0]: (left, right, f[1]) for (left, right), f in ranks.items()} if self.pair_of is None else self.pair_of
+        self.pair_of = pair_of
+        symbols, after, before = array("i", symbol.tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        at, more, heap, merges = dict.fromkeys(first, 0), {}, list(first), 0
+        heapq.heapify(heap)
+        while heap:
+            rank = heap[0]
+            ready, made, k = first.get(rank, ()), more.get(rank, ()), at.get(rank, 0)
+            if k < len(ready) and (not made or ready[k] <= made[0]):
+                i = ready[k]
+                at[rank] = k + 1
+            elif made:
+                i = heapq.heappop(made)
+            else:
+                heapq.heappop(heap)
+                first.pop(rank, None)
+                more.pop(rank, None)
+                continue
+            left, right, new = pair_of[rank]
+            j = after[i]
+            if symbols[i] != left or j >= n or symbols[j] != right:
+                continue
+            merges += 1
+            symbols[i], symbols[j] = new, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+            for a, b in ((i, k), (before[i], i)):
+                pair = ranks.get((symbols[a], symbols[b])) if a >= 0 and b < n else None
+                if pair is not None:
+                    if pair[0] not in more:
+                        more[pair[0]] = []
+                        if pair[0] not in first:
+                            heapq.heappush(heap, pair[0])
+                    heapq.heappush(more[pair[0]], a)
+        return n - merges
+
     def _chunk(self, text: str) -> int:
         return sum(self.merged(p.encode()) for p in self.pattern.findall(text))
 

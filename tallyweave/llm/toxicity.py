@@ -189,24 +189,24 @@ def score(docs: DataFrame, model: dict, *keep: str | Column) -> DataFrame:
     """The kept columns with score: the probability of the toxic class."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    source = docs.select(*keep, F.col("text").alias("__text"))
-    out = source.drop("__text").withColumn("score", F.lit(0.0)).schema
+    names = docs.select(*keep).columns
+    fixed = [f"keep_{i}" for i in range(len(names))]
+    source = docs.select(*keep, "text").toDF(*fixed, "text")
+    out = source.drop("text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
         m = shared.value
         weight = np.zeros(1 << SLOT_BITS)
         weight[m["slots"]] = m["weights"]
-        for batch in C.small(batches, "__text"):
-            data, offsets = C.flat_text(pa.chunked_array([batch.column("__text")]))
+        for batch in C.small(batches):
+            data, offsets = C.flat_text(pa.chunked_array([batch.column("text")]))
             slot, document = _slots(data, offsets)
             use = weight[slot] != 0
             pair = np.unique(document[use] << SLOT_BITS | slot[use])
             total = np.bincount(pair >> SLOT_BITS, weight[pair & ((1 << SLOT_BITS) - 1)], batch.num_rows) + m["bias"]
-            arrays = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "__text"]
-            kept = [n for n in batch.schema.names if n != "__text"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in fixed), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=[*fixed, "score"])
 
-    return source.mapInArrow(run, out)
+    return source.mapInArrow(C.giving_back(run), out).toDF(*names, "score")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, *keep: str | Column, sample: int = SAMPLE) -> DataFrame:

@@ -23,6 +23,7 @@ def nearest(vectors, k, is_query):
 
 @pytest.mark.parametrize(("pivots", "cell"), [(1, 16_384), (5, 7), (32, 3)])
 def test_knn(spark, monkeypatch, pivots, cell):
+    monkeypatch.setattr(knn_join, "PIVOT_ROWS", 5)
     monkeypatch.setattr(knn_join, "CELL_ROWS", cell)
     monkeypatch.setattr(knn_join, "CELL_QUERIES", 2)
     rng = random.Random(3)
@@ -37,6 +38,72 @@ def test_knn(spark, monkeypatch, pivots, cell):
     assert {tuple(r) for r in got} == nearest(exact, 10, lambda i: i % 10 == 0)
 
 
+def clusters(rng, n, spread):
+    """Unit vectors around sixteen centres."""
+    centres, out = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(16)], []
+    for i in range(n):
+        v = [x + rng.gauss(0, spread) for x in centres[i % 16]]
+        out.append((i, [x / sum(y * y for y in v) ** 0.5 for x in v]))
+    return out
+
+
+def copies_sent(monkeypatch, frame, is_query, **options):
+    """The answer, and how many copies of vectors the plan sends to query groups."""
+    sent = []
+    make = frame.sparkSession.createDataFrame
+
+    def watch(rows, schema=None, **more):
+        if schema and str(schema).startswith("query_pivot"):
+            sent.append(list(rows))
+        return make(rows, schema, **more)
+
+    monkeypatch.setattr(type(frame.sparkSession), "createDataFrame", lambda self, *a, **kw: watch(*a, **kw))
+    return knn_join.top_inner_products(frame, is_query, **options).collect(), sent[0]
+
+
+def test_knn_rules_out_most_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "PIVOT_ROWS", 50)
+    vectors = clusters(random.Random(6), 1600, 0.01)
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    got, plan = copies_sent(monkeypatch, frame, F.col("vec_id") % 10 == 0)
+    assert {tuple(r) for r in got} == nearest(vectors, 10, lambda i: i % 10 == 0)
+    groups, pivots = {r[0] for r in plan}, {r[1] for r in plan}
+    # Less than half of what all groups together would draw; a group whose cluster has no pivot may still take everything.
+    assert len(groups) > 8 and len(plan) < len(groups) * len(pivots) / 2
+
+
+def test_knn_sends_few_copies_where_nothing_can_be_ruled_out(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "PIVOT_ROWS", 10)
+    rng = random.Random(7)
+    vectors = [(i, [rng.gauss(0, 1) for _ in range(24)]) for i in range(600)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    got, plan = copies_sent(monkeypatch, frame, F.col("vec_id") % 10 == 0)
+    assert {tuple(r) for r in got} == nearest(vectors, 10, lambda i: i % 10 == 0)
+    assert len({r[0] for r in plan}) <= knn_join.WHOLE
+
+
+def test_knn_with_repeated_ids(spark, monkeypatch):
+    """Rows of one vec_id with different vectors, queries among them, are candidates of their own; equal query rows are answered once."""
+    monkeypatch.setattr(knn_join, "PIVOT_ROWS", 4)
+    rng = random.Random(9)
+    rows = [(i % 25, [round(rng.uniform(-1, 1), 2) for _ in range(3)]) for i in range(150)]
+    rows += rows[:3]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in knn_join.top_inner_products(frame, F.col("vec_id") < 2, 4).collect())
+    whole = [(i, [int((1024 * x) // 1) for x in v]) for i, v in rows]
+    expected = []
+    for q, v in {(i, tuple(v)) for i, v in whole if i < 2}:
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in whole if i != q)
+        expected += [(q, n + 1, i, -x) for n, (x, i) in enumerate(scored[:4])]
+    assert got == sorted(expected)
+
+
+def test_knn_refuses_scores_beyond_64_bits(spark):
+    frame = spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        knn_join.top_inner_products(frame, F.lit(True))
+
+
 def test_knn_without_candidates_or_rows(spark):
     one = spark.createDataFrame([(0, [0.5])], "vec_id long, embedding array<float>")
     assert knn_join.top_inner_products(one, F.lit(True)).collect() == []
@@ -86,7 +153,9 @@ def test_links_connect_what_is_close(spark, part):
         chain ^= sum(1 << b for b in rng.sample(range(64), 4))
     prints = sorted({p - (1 << 64) if p >> 63 else p for p in prints})
     links = simhash.close_links(spark.createDataFrame([(p,) for p in prints], "fp long"), 4, part)
-    assert all(((r["u"] ^ r["v"]) & (1 << 64) - 1).bit_count() <= 64 for r in links.collect())
+    # A link connects members of one family: any chain of steps of four bits at most.
+    family_of = components({p: p & (1 << 64) - 1 for p in prints}, 4)
+    assert all(r["u"] != r["v"] and family_of[r["u"]] == family_of[r["v"]] for r in links.collect())
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
     expected = components({p: p & (1 << 64) - 1 for p in prints}, 4)
     groups = {}

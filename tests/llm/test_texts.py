@@ -89,6 +89,34 @@ def test_language_edges(frame):
     assert language_id.identify_languages(made.limit(0), F.lit(True), "doc_id").collect() == []
 
 
+def test_language_ties_go_to_the_first_name(frame):
+    rows = [(1, "abc abc", "x"), (2, "abc abc", "b"), (3, "abc", None), (4, "qqq", None)]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_languages(frame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 3, "doc_id").collect()}
+    assert got[3][0] == got[4][0] == "b" and got[3][1] == pytest.approx(0.5)
+
+
+def test_names_of_kept_columns(frame):
+    rows = [(1, "abc abc", "x"), (2, "ddd", "y")]
+    made = frame(rows, "doc_id long, text string, lang string").selectExpr("*", "'a' as __text", "'b' as keep_0")
+    got = language_id.identify_languages(made, F.lit(True), "__text", "keep_0", "doc_id")
+    assert got.columns == ["__text", "keep_0", "doc_id", "lang_pred", "score"] and sorted(r["lang_pred"] for r in got.collect()) == ["x", "y"]
+
+
+def test_long_pre_tokens_merge_in_the_same_order():
+    counter, rng = token_counts.counter("byte_bpe_50k.json"), random.Random(1)
+    tokens = [b"ab" * 300, b"a" * 1000, b"the" * 200, "é漢".encode() * 300, b"=-" * 400] + [bytes(rng.choice(b"abcdenrtsio") for _ in range(rng.randrange(2, 400))) for _ in range(200)]
+    for token in tokens:
+        assert counter._merged_long(token) == counter.merged(token)
+    # A million bytes without a break.
+    assert counter.merged(b"ab" * 500_000) == 500_000
+
+
+def test_benchmark_words_of_repeated_rows(frame):
+    rows, items = [(1, "x a b c y"), (1, "x a b c y"), (None, "a b c"), (2, "")], [(5, "a b c"), (5, "a b c"), (None, "b c")]
+    got = decontaminate.find_benchmark_text(frame(rows), frame(items, "item_id long, text string"), 10).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"]) for r in got) == [(0, 3, 3), (1, 5, 3), (1, 5, 3), (2, 0, 0)]
+
+
 def test_toxicity(spark):
     sf_dir = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
