@@ -59,6 +59,14 @@ def header_date(text: Column) -> Column:
     return parse_date(R.read(text, R.INVOICE_DATE))
 
 
+def dotted_date(text: Column) -> Column:
+    """A date printed as month.day.year, which no other form of a date is."""
+    return let(
+        extract(text, R.DOTTED_DATE, 0),
+        lambda found: parse_date(F.concat_ws("/", *[extract(found, R.DOTTED_DATE, i) for i in (1, 2, 3)])),
+    )
+
+
 def header_total(text: Column) -> Column:
     return clean_number(R.read(text, R.INVOICE_TOTAL))
 
@@ -131,7 +139,12 @@ def month_named(text: Column, pattern: str) -> Column:
 
 
 def header_month(text: Column) -> Column:
-    return month_named(F.array_join(F.slice(text_lines(text), 1, P.HEADER_LINES), "\n"), R.BARE_MONTH)
+    """A month named above the first line that holds an amount, however long the letterhead is."""
+    def above(lines):
+        first = F.array_position(F.transform(lines, lambda s: s.rlike(P.MONEY) | s.rlike(P.RATE_LINE)), F.lit(True))
+        return F.when(first > 0, F.slice(lines, F.lit(1), (first - 1).cast("int"))).otherwise(lines)
+
+    return month_named(F.array_join(let(text_lines(text), above), "\n"), R.BARE_MONTH)
 
 
 def header_period(text: Column) -> Column:

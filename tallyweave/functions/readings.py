@@ -92,6 +92,7 @@ INVOICE_NUMBER = (
 DATED = Kind(rf"{SLASH_DATE}|{HYPHEN_DATE}|\d{{1,2}}-\d{{1,2}}-\d{{2,4}}|\d{{1,2}}/{MONTH}/\d{{2,4}}")
 SLASHED = Kind(SLASH_DATE + r"(?!\d)", r"/\d{4}$")
 HYPHENED = Kind(HYPHEN_DATE + r"(?!\d)", r"-\d{4}$")
+DOTTED_DATE = r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b"
 SPELLED = Kind(rf"{MONTH}\.?\s+\d{{1,2}},?\s+\d{{4}}(?!\d)")
 INVOICE_DATE = (
     Reading("invoice date", DATED),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions import coding, dates, documents, money
-from tallyweave.operators import extraction, grid_text, line_text, service_text, templates
+from tallyweave.operators import extraction, grid_text, line_text, parse_jobs, service_text, templates
 from tallyweave.operators.suppliers import supplier_index, supplier_numbers
 from tallyweave.plans.oracle_views import ORACLE_VIEWS, day_text, exact_cents
 from tallyweave.plans.registry import query
@@ -314,6 +314,82 @@ def txt_repair_names(d):
     return extraction.repair_names(damaged, clean)
 
 
+# --- the parse jobs -----------------------------------------------------------------------------------------
+MIXED = ("rate_list", "billable", "qty_item", "desc_qty", "unit_rows", "period_blocks", "tables")
+_WHICH = f"invoice_id % {len(MIXED)}"
+_ROUNDED = f"CAST(round(CAST(hours * {_CENTS.format('rate')} AS DECIMAL(28, 6)), 2) AS DOUBLE)"
+
+
+def mixed_documents(d):
+    """Every invoice in one of the layouts below a common letterhead, and the grids of those whose lines stand in a table."""
+    which = F.col("invoice_id") % len(MIXED)
+    bodies = None
+    for i, layout in enumerate(MIXED[:-1]):
+        body = R.rendered(billing(d).filter(which == i), layout)
+        bodies = body if bodies is None else bodies.unionByName(body)
+    in_grid = billing(d).filter(which == len(MIXED) - 1).select(F.col("invoice_id").alias("doc_id")).distinct()
+    bodies = bodies.unionByName(in_grid.withColumn("text", F.lit("see annexure")))
+    invoices = d.spend_invoices().select(F.col("id").alias("doc_id"), "invoice_number", "date_received", "total_invoice_cost")
+    day, total = F.coalesce("date_received", F.to_date(F.lit("2024-01-15"))), F.coalesce("total_invoice_cost", F.lit(100.0))
+    # Blocks and unit rows are too loose for any vendor, so theirs are named.
+    vendor = F.concat(F.lit("Vendor "), F.col("doc_id") % 50, F.when(F.col("doc_id") % len(MIXED) == 4, " Unitek").when(F.col("doc_id") % len(MIXED) == 5, " Blockwise").otherwise(""), F.lit(" LLC"))
+    head = F.concat(vendor, F.lit("\nInvoice No: "), "invoice_number", F.lit("\nInvoice Date: "), R.us(day, "MM/dd/yyyy"), F.lit("\n"))
+    docs = bodies.join(invoices, "doc_id").select("doc_id", F.concat(head, "text", F.lit("\nTotal Amount Due: $"), R.money(total)).alias("text"))
+    return docs, person_grid(d).join(in_grid, "doc_id", "left_semi")
+
+
+def _by_layout(default, **cases):
+    whens = " ".join(f"WHEN {MIXED.index(k)} THEN {v}" for k, v in cases.items())
+    return f"CASE {_WHICH} {whens} ELSE {default} END"
+
+
+@query("txt_parse_contractor", f"""
+    SELECT invoice_id AS doc_id, 'Vendor ' || CAST(invoice_id % 50 AS VARCHAR) || CASE {_WHICH} WHEN 4 THEN ' Unitek' WHEN 5 THEN ' Blockwise' ELSE '' END || ' LLC' AS vendor_name,
+           i.invoice_number, strftime(coalesce(i.date_received, DATE '2024-01-15'), '%Y-%m-%d') AS date_received,
+           {_CENTS.format('coalesce(i.total_invoice_cost, 100)')} AS total_invoice_cost, 'x' || CAST({_WHICH} AS VARCHAR) AS layout, count(*) OVER (PARTITION BY invoice_id) AS line_count,
+           {_by_layout('contractor_name', billable=_FLIPPED, unit_rows=_FLIPPED)} AS contractor_name, hours,
+           {_by_layout(_CENTS.format('rate'), rate_list=WHOLE_RATE, period_blocks=WHOLE_RATE)} AS rate,
+           {_by_layout(_CENTS.format('amount'), billable=_ROUNDED, tables=_ROUNDED)} AS amount,
+           CASE WHEN {_WHICH} IN (3, 5, 6) THEN {day_text('period_start')} END AS period_start, CASE WHEN {_WHICH} IN (3, 5, 6) THEN {day_text('period_end')} END AS period_end
+    FROM billing b JOIN spend_invoices i ON i.id = b.invoice_id""")
+def txt_parse_contractor(d):
+    """One table of all layouts: header, chosen layout and lines of every document."""
+    docs, grids = mixed_documents(d)
+    known = parse_jobs.Vendors(only={"unit_rows": "unitek", "period_blocks": "blockwise"})
+    parsed, lines = parse_jobs.parse_contractor(docs, grids, known)
+    layouts = F.create_map(*[F.lit(x) for i, name in enumerate(MIXED) for x in (name, f"x{i}")])
+    heads = parsed.select("doc_id", "vendor_name", "invoice_number", "date_received", "total_invoice_cost", "line_count")
+    return heads.join(lines.withColumn("layout", F.element_at(layouts, F.col("layout"))).drop("ord"), "doc_id")
+
+
+@query("txt_parse_service", f"""
+    SELECT invoice_id AS doc_id, 'Seller ' || CAST(invoice_id % 50 AS VARCHAR) || ' LLC' AS vendor_name, 'SV' || CAST(100000 + invoice_id AS VARCHAR) AS invoice_number,
+           strftime(coalesce(i.date_received, DATE '2024-01-15'), '%Y-%m-%d') AS date_received,
+           CAST(sum(CAST(amount AS DECIMAL(18, 2))) OVER (PARTITION BY invoice_id) AS DOUBLE) AS total_invoice_cost,
+           CASE invoice_id % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'text' ELSE 'words' END AS method, count(*) OVER (PARTITION BY invoice_id) AS line_count,
+           CASE invoice_id % 3 WHEN 0 THEN 'Plan - ' || contractor_name || ' seat' WHEN 1 THEN contractor_name || ' service' ELSE contractor_name || ' seat wrapped' END AS description,
+           hours AS quantity, {_CENTS.format('rate')} AS unit_price, {_CENTS.format('amount')} AS amount
+    FROM billing b JOIN spend_invoices i ON i.id = b.invoice_id""")
+def txt_parse_service(d):
+    """Lines in a table, in the text or as positioned words, dotted dates, and numbers that only the file's name has."""
+    which = F.col("invoice_id") % 3
+    text = R.rendered(billing(d).filter(which == 1), "service").select("doc_id", F.regexp_replace("text", r"(?s)^.*?\n|\nSubtotal.*$", "").alias("body"))
+    invoices = d.spend_invoices().select(F.col("id").alias("doc_id"), F.coalesce("date_received", F.to_date(F.lit("2024-01-15"))).alias("day"))
+    sums = billing(d).groupBy(F.col("invoice_id").alias("doc_id")).agg(F.sum(F.col("amount").cast("decimal(18,2)")).alias("total"))
+    number = F.concat(F.lit("SV"), F.col("doc_id") + 100000)
+    in_name = F.col("doc_id") % 2 == 0
+    head = F.concat(F.lit("Seller: Seller "), F.col("doc_id") % 50, F.lit(" LLC\n"), F.when(in_name, "").otherwise(F.concat(F.lit("Invoice No: "), number, F.lit("\n"))), F.lit("issued "), R.us(F.col("day"), "MM.dd.yyyy"), F.lit("\n"))
+    rows = F.when(F.col("body").isNotNull(), F.concat(F.col("body"), F.lit("\n"))).otherwise("")
+    docs = invoices.join(sums, "doc_id").join(text, "doc_id", "left").select(
+        "doc_id", F.concat(head, rows, F.lit("Invoice Total: $"), R.money(F.col("total"))).alias("text"), F.when(in_name, F.concat(number, F.lit(" final"))).alias("file_name")
+    )
+    grids = service_grid(d).filter(F.col("doc_id") % 3 == 0)
+    words = word_table(d).filter(F.col("doc_id") % 3 == 2)
+    parsed, lines = parse_jobs.parse_service(docs, grids, words, lambda names: names)
+    heads = parsed.select("doc_id", "vendor_name", "invoice_number", "date_received", "total_invoice_cost", "method", "line_count")
+    return heads.join(lines.drop("ord"), "doc_id")
+
+
 # --- grids --------------------------------------------------------------------------------------------------
 def _grid(d, header, row, footer):
     """One grid per invoice: a title row, the header, the rows in order, a footer."""
