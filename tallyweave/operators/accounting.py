@@ -10,6 +10,7 @@ from tallyweave.functions.money import cents, exact, line_weight
 from tallyweave.functions.strings import blank_to_null, strip
 from tallyweave.operators.hours import PERSON, SPAN, billable, bound_spans, days_in_spans, same_span, spans_of
 from tallyweave.operators.scale import last_by
+from tallyweave.operators.spans import with_span_aggregates
 
 SHARE = "decimal(38,10)"
 UNRESOLVED_PROJECT = "Unresolved"
@@ -190,25 +191,27 @@ def invoice_project_spend(linked: DataFrame, splits: DataFrame) -> DataFrame:
 
 
 def project_detail(
-    invoices: DataFrame, invoice_rows: DataFrame, spend: DataFrame, projects: DataFrame, companies: DataFrame,
+    invoices: DataFrame, invoice_people: DataFrame, entries: DataFrame, spend: DataFrame, projects: DataFrame, companies: DataFrame,
     lines_of_business: DataFrame, departments: DataFrame, policy: Policy,
 ) -> DataFrame:
     """Per invoice and project of its matched entries: class, cost center, spend, line of business, vendor.
 
+    ``invoice_people(invoice_id, resolved, span_start, span_end)`` are the people of an invoice with its period, ``entries`` what they logged.
+
     CAPEX shows the company center, OPEX the distinct department codes of the people who worked on it.
     """
     kind = expense_class_of("capex_opex")
     codes = departments.filter(F.coalesce("cost_center", F.lit("")) != "").select(
         F.col("contractor_name_normalized").alias("resolved"), F.col("cost_center").alias("department_code")
     )
+    votes = {}
+    for k in (CAPEX, OPEX):
+        name = k.lower()
+        votes[f"{name}_hours"] = F.sum(F.when(F.col("kind") == k, exact("hours"))), F.sum(f"{name}_hours")
+        votes[f"{name}_first"] = F.min(F.when(F.col("kind") == k, F.col("entry_order"))), F.min(f"{name}_first")
+    worked = entries.filter(F.coalesce("project_id", F.lit("")) != "").withColumn("kind", kind)
     grouped = (
-        invoice_rows.filter(F.coalesce("project_id", F.lit("")) != "")
-        .withColumn("kind", kind)
-        .groupBy("invoice_id", "project_id", "resolved")
-        .agg(
-            *[F.sum(F.when(F.col("kind") == k, exact("hours"))).alias(f"{k.lower()}_hours") for k in (CAPEX, OPEX)],
-            *[F.min(F.when(F.col("kind") == k, F.col("entry_order"))).alias(f"{k.lower()}_first") for k in (CAPEX, OPEX)],
-        )
+        with_span_aggregates(invoice_people, worked, votes, ["project_id"])
         .join(codes, "resolved", "left")
         .groupBy("invoice_id", "project_id")
         .agg(

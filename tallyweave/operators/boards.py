@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tallyweave.functions.labels import ALL_DATA_FOUND, CONTRACTOR, FAILED, FLAGGED, MATCHED, MISSING_DATA, NEEDS_REVIEW, OTHER
 from tallyweave.functions.money import cents, exact, exact_sum
 from tallyweave.functions.strings import any_of, col
-from tallyweave.operators.hours import PERSON, billable, days_in_spans, in_window, is_counted, same_span, spans_of
+from tallyweave.operators.hours import PERSON, billable, bound_spans, days_in_spans, is_counted, same_span, spans_of
+from tallyweave.operators.spans import with_span_aggregates
 
 def contractor_board(invoices: DataFrame) -> DataFrame:
     """Active contractor invoices with the column of the board they stand in."""
@@ -151,24 +152,26 @@ def entries_of_matched(timesheets: DataFrame, linked_people: DataFrame) -> DataF
     return timesheets.join(linked_people.select(F.col("person").alias(PERSON)).distinct(), PERSON, "left_semi")
 
 
-def invoice_entries(invoices: DataFrame, lines: DataFrame, timesheets: DataFrame) -> DataFrame:
-    """Billable entries of an invoice's matched people within the invoice period."""
+def invoice_people(invoices: DataFrame, lines: DataFrame, timesheets: DataFrame) -> DataFrame:
+    """``(invoice_id, resolved, span_start, span_end)``: an invoice's matched people with its period."""
     period = invoices.select(F.col("id").alias("invoice_id"), "payment_period_start", "payment_period_end")
-    spans = matched_people(lines, timesheets).join(period, "invoice_id").withColumnRenamed("person", "resolved")
-    entries = billable(timesheets).withColumn("resolved", F.col(PERSON))
-    return spans.join(entries, "resolved").filter(
-        in_window(F.col("date_worked"), F.col("payment_period_start"), F.col("payment_period_end"))
-    )
+    people = matched_people(lines, timesheets).join(period, "invoice_id").withColumnRenamed("person", "resolved")
+    return bound_spans(people, F.col("payment_period_start"), F.col("payment_period_end")).drop("payment_period_start", "payment_period_end")
 
 
-def person_detail(invoice_rows: DataFrame) -> DataFrame:
-    """Per invoice and person: rounded hours and the attributes of the first entry."""
-    first = F.min_by(
-        F.struct("contractor_name", "project_id", "investment_name", "investment_manager", "resource_manager"), "entry_order"
-    )
-    return invoice_rows.groupBy("invoice_id", F.col("resolved").alias("person")).agg(
-        cents(F.sum(exact("hours"))).alias("hours"), first.alias("first")
-    ).select("invoice_id", "person", "hours", "first.*")
+def billable_of_people(timesheets: DataFrame) -> DataFrame:
+    return billable(timesheets).filter(F.col(PERSON).isNotNull()).withColumn("resolved", F.col(PERSON))
+
+
+def person_detail(invoices: DataFrame, lines: DataFrame, timesheets: DataFrame) -> DataFrame:
+    """Per invoice and matched person: billable hours within the invoice period, and the attributes of the first entry in it."""
+    attributes = ["contractor_name", "project_id", "investment_name", "investment_manager", "resource_manager"]
+    aggregates = {
+        "hours": (F.sum(exact("hours")), F.sum("hours")),
+        "first": (F.min_by(F.struct("entry_order", *attributes), "entry_order"), F.min_by("first", "first.entry_order")),
+    }
+    found = with_span_aggregates(invoice_people(invoices, lines, timesheets), billable_of_people(timesheets), aggregates)
+    return found.select("invoice_id", F.col("resolved").alias("person"), cents(F.col("hours")).alias("hours"), *[f"first.{c}" for c in attributes])
 
 
 def detail_totals(lines: DataFrame) -> DataFrame:

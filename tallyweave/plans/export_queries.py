@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import money
 from tallyweave.functions.coding import safe_name_part
+from tallyweave.functions.labels import route_label
 from tallyweave.operators import accounting, boards, export, merges
 from tallyweave.plans.matching_queries import matched
 from tallyweave.plans.oracle_views import ORACLE_VIEWS, day_text, exact_cents
@@ -77,7 +78,7 @@ def flt_matched_lines(d):
     return coded(d, matched_only=True).groupBy("id", "invoice_id").agg(F.count(F.lit(1)).alias("export_rows"))
 
 
-@query("snk_purchase_rows", f"""
+_CODED_CELLS = f"""
     SELECT i.id AS invoice_id, 2 AS record, 0 AS line_number,
            'Invoice,' || i.invoice_number || ',' || coalesce(vendor_name, '') || ',' || coalesce({SUPPLIER_SQL}, '') || ',,'
                || coalesce(strftime(date_received, '%m/%d/%Y'), '') || ',No,,,,no,,,,,,,,,' || coalesce({csv_sql(APPROVER_SQL)}, '')
@@ -88,10 +89,23 @@ def flt_matched_lines(d):
            'Invoice Line,' || i.invoice_number || ',' || coalesce(i.vendor_name, '') || ',' || coalesce({SUPPLIER_SQL}, '') || ','
                || CAST(line_number AS VARCHAR) || ',' || description || ',,,' || coalesce(CAST(CAST(rate AS DECIMAL(28, 2)) AS VARCHAR), '') || ','
                || {number_sql('quantity')} || ',,,,,,EA,,,,,,,,,' || seg1 || ',' || seg2 || ',' || seg3 || repeat(',', 46)
-    FROM coded c JOIN spend_invoices i ON i.id = c.invoice_id""")
+    FROM coded c JOIN spend_invoices i ON i.id = c.invoice_id"""
+
+
+def _quoted(columns):
+    return (export.BYTE_ORDER_MARK if columns is export.HEADER_COLUMNS else "") + ",".join(columns).replace("'", "''")
+
+
+# Two schema rows before each invoice: the header's columns and the lines' columns.
+PURCHASE_SQL = f"""
+    SELECT id AS invoice_id, 0 AS record, 0 AS line_number, '{_quoted(export.HEADER_COLUMNS)}' AS text FROM spend_invoices
+    UNION ALL SELECT id, 1, 0, '{_quoted(export.LINE_COLUMNS)}' FROM spend_invoices
+    UNION ALL {_CODED_CELLS}"""
+
+
+@query("snk_purchase_rows", PURCHASE_SQL)
 def snk_purchase_rows(d):
-    rows = export.purchase_rows(routed_invoices(d), coded(d))
-    return rows.filter(F.col("record") >= export.HEADER_ROW)
+    return export.purchase_rows(routed_invoices(d), coded(d))
 
 
 @query("snk_export_name", """
@@ -145,74 +159,139 @@ def _reconciled(d):
     return invoices, lines
 
 
+ORACLE_VIEWS["bulk_rows"] = f"""
+    SELECT CASE WHEN i.vendor_name IS NULL THEN '' ELSE i.vendor_name || '_' END || i.invoice_number || '.csv' AS file_name, r.record, r.line_number, r.text
+    FROM ({PURCHASE_SQL}) r JOIN spend_invoices i ON i.id = r.invoice_id
+    WHERE i.status = 'matched' AND i.invoice_type = 'contractor' AND i.archived_at IS NULL"""
+
+
 @query("snk_bulk_export", """
-    SELECT vendor_name || '_' || invoice_number || '.csv' AS file_name, count(*) > 0 AS has_lines
-    FROM invoice_outcomes WHERE new_status = 'matched' AND archived_at IS NULL GROUP BY ALL""")
+    SELECT file_name, count(*) AS rows, md5(string_agg(text || chr(13) || chr(10), '' ORDER BY record, line_number)) AS digest
+    FROM bulk_rows GROUP BY 1""")
 def snk_bulk_export(d):
-    invoices, lines = reconciled(d)
-    joined = accounting.linked_lines(invoices, lines, d.timesheets(), d.projects())
-    project_splits = accounting.span_projects(accounting.spans_of(joined), d.timesheets(), companies(d), POLICY)
-    rows = export.purchase_rows(
-        invoices, export.coded_lines(joined, project_splits, companies(d), d.kept("departments"), POLICY)
-    )
+    """The files of all active matched invoices, read back: each file's whole text, parts and lines in the order in which they stand."""
+    invoices = routed_invoices(d)
     folder = fresh_folder(d)
-    export.write_bulk_export(rows, export.export_names(export.active_matched(invoices)), folder)
-    written = d.spark.read.option("lineSep", "\r\n").text(folder)
-    return written.groupBy("file_name").agg((F.count_if(F.startswith("value", F.lit("Invoice Line,I"))) > 0).alias("has_lines"))
+    export.write_bulk_export(export.purchase_rows(invoices, coded(d)), export.export_names(export.active_matched(invoices)), folder)
+    # Bytes as they were written; a file of the given tables holds few lines, so its text can be put together.
+    parts = d.spark.read.format("binaryFile").load(folder).select("file_name", F.struct("part", "path", F.decode("content", "utf-8").alias("text")).alias("piece"))
+    whole = parts.groupBy("file_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda x: x["text"]), "").alias("text"))
+    return whole.select("file_name", (F.size(F.split("text", "\r\n")) - 1).cast("long").alias("rows"), F.md5("text").alias("digest"))
 
 
 @query("archive_exported", f"""
-    SELECT id, CASE WHEN new_status = 'matched' AND archived_at IS NULL THEN '2024-06-01' ELSE {day_text('archived_at')} END AS archived_on
-    FROM invoice_outcomes""")
+    SELECT id, CASE WHEN status = 'matched' AND invoice_type = 'contractor' AND archived_at IS NULL AND id % 3 > 0 THEN '2024-06-01' ELSE {day_text('archived_at')} END AS archived_on
+    FROM spend_invoices""")
 def archive_exported(d):
-    invoices, _ = reconciled(d)
-    at = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
-    done = export.archive(invoices, export.active_matched(invoices), at)
+    """Only invoices whose file was written are stamped: a third of the names never reached the folder."""
+    invoices = d.spend_invoices().withColumn("generated_at", F.lit(None).cast("timestamp"))
+    names = export.export_names(export.active_matched(invoices))
+    folder = fresh_folder(d)
+    rows = names.select(F.col("id").alias("invoice_id"), F.lit(2).alias("record"), F.lit(0).cast("long").alias("line_number"), F.col("invoice_number").alias("text"))
+    export.write_bulk_export(rows, names.filter("id % 3 > 0"), folder)
+    done = export.archive(invoices, export.exported_invoices(d.spark, names, folder), F.to_timestamp(F.lit("2024-06-01 00:00:00")))
     return done.select("id", F.date_format("archived_at", "yyyy-MM-dd").alias("archived_on"))
 
 
+_CELL = "coalesce(CAST({} AS VARCHAR), '')"
+_PEOPLE = ("hours", "project_id", "investment_manager")
+_PROJECTS = ("project_name", "capex_opex", "cost_code", "cost_center", "vendor", "lob", "spend")
+
+
+def _sql_cells(columns):
+    return " || '|' || ".join(_CELL.format(c) for c in columns)
+
+
+def _detail_sql(name):
+    from tallyweave.plans.registry import BODIES
+
+    return BODIES[name]
+
+
 @query("snk_review_tables", f"""
-    SELECT 'summary' AS sheet, i.id AS invoice_id, k.key, CASE k.key WHEN 'Vendor' THEN vendor_name WHEN 'Status' THEN i.status
+    SELECT 'summary' AS sheet, i.id AS invoice_id, k.key, CASE k.key WHEN 'Vendor' THEN vendor_name WHEN 'Invoice #' THEN invoice_number
+               WHEN 'Date received' THEN coalesce(CAST(CAST(date_received AS DATE) AS VARCHAR), '')
+               WHEN 'Period' THEN coalesce(CAST(CAST(payment_period_start AS DATE) AS VARCHAR), '') || ' - ' || coalesce(CAST(CAST(payment_period_end AS DATE) AS VARCHAR), '')
+               WHEN 'Total invoice cost' THEN CAST(CAST(total_invoice_cost AS DECIMAL(28, 2)) AS VARCHAR) WHEN 'Status' THEN i.status
+               WHEN 'Routed to' THEN CASE WHEN i.status = 'matched' THEN 'matched' ELSE 'flagged' END
                WHEN 'Lines matched' THEN CAST(m AS VARCHAR) || '/' || CAST(n AS VARCHAR) END AS value
     FROM spend_invoices i
     JOIN (SELECT i.id, count(l.id) AS n, count(l.id) FILTER (WHERE l.line_status = 'matched') AS m
           FROM spend_invoices i LEFT JOIN spend_lines l ON l.invoice_id = i.id GROUP BY i.id) c ON c.id = i.id
-    CROSS JOIN (VALUES ('Vendor'), ('Status'), ('Lines matched')) k(key)
+    CROSS JOIN (VALUES ('Vendor'), ('Invoice #'), ('Date received'), ('Period'), ('Total invoice cost'), ('Status'), ('Routed to'), ('Lines matched')) k(key)
     UNION ALL
-    SELECT 'people', invoice_id, resolved, CAST({exact_cents('sum(hours)')} AS VARCHAR) FROM detail_rows GROUP BY ALL""")
+    SELECT 'comparison', invoice_id, CAST(id AS VARCHAR), contractor_name || '|' || {_sql_cells(['hours', 'rate', 'amount'])} || '|'
+        || {_CELL.format('CASE WHEN resolved IS NOT NULL THEN linked_name END')} || '|' || {_CELL.format(f"CASE WHEN resolved IS NOT NULL THEN {exact_cents('counted')} END")} || '|'
+        || {_CELL.format(f"CASE WHEN resolved IS NOT NULL AND billed IS NOT NULL THEN {exact_cents('billed - counted')} END")} || '|'
+        || CASE WHEN single_person THEN first_method ELSE method END || '|' || CASE WHEN ok THEN 'matched' ELSE 'flagged' END FROM compared
+    UNION ALL SELECT 'people', invoice_id, person, {_sql_cells(_PEOPLE)} FROM ({_detail_sql('agg_person_detail')}) p
+    UNION ALL SELECT 'projects', invoice_id, project_id, {_sql_cells(_PROJECTS)} FROM ({_detail_sql('agg_project_detail')}) q""")
 def snk_review_tables(d):
-    invoices = routed_invoices(d)
-    cards = boards.invoice_cards(invoices, d.spend_lines())
-    rows = boards.invoice_entries(invoices, d.spend_lines(), d.timesheets())
+    """All four tables of the review workbook, written and read back: summaries, lines side by side, people and projects."""
+    from tallyweave.plans import report_queries
+
+    cards = boards.invoice_cards(routed_invoices(d).withColumn("routed_to", route_label("status")), d.spend_lines())
     folder = fresh_folder(d)
-    export.write_review_tables(
-        {"summary": export.summary_table(cards), "people": boards.person_detail(rows)}, folder
-    )
-    summary = d.spark.read.parquet(f"{folder}/summary").filter(F.col("key").isin("Vendor", "Status", "Lines matched"))
-    people = d.spark.read.parquet(f"{folder}/people")
-    return summary.select(F.lit("summary").alias("sheet"), "invoice_id", "key", "value").unionByName(
-        people.select(F.lit("people").alias("sheet"), "invoice_id", F.col("person").alias("key"), F.col("hours").cast("string").alias("value"))
+    sheets = {
+        "summary": export.summary_table(cards), "comparison": export.comparison_table(reconciled(d)[1]),
+        "people": boards.person_detail(d.spend_invoices(), d.spend_lines(), d.timesheets()), "projects": report_queries.agg_project_detail(d),
+    }
+    export.write_review_tables(sheets, folder)
+
+    def read(name, key, *columns):
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+        value = F.concat_ws("|", *cells) if cells else F.col("value")
+        return d.spark.read.parquet(f"{folder}/{name}").select(F.lit(name).alias("sheet"), "invoice_id", F.col(key).cast("string").alias("key"), value.alias("value"))
+
+    return merges.union_all(
+        read("summary", "key"),
+        read("comparison", "id", "contractor_name", "hours", "rate", "amount", "matched_name", "timesheet_hours", "hours_delta", "match", "line_status"),
+        read("people", "person", *_PEOPLE), read("projects", "project_id", *_PROJECTS),
     )
 
 
-@query("snk_audit_events", """
-    SELECT event, count(*) AS events, count(DISTINCT invoice_id) AS invoices FROM (
-        SELECT 'matched' AS event, id AS invoice_id FROM invoice_outcomes WHERE status <> 'processing_failed'
-        UNION ALL SELECT 'routed', id FROM invoice_outcomes
-        UNION ALL SELECT 'bulk_exported', id FROM invoice_outcomes WHERE new_status = 'matched' AND archived_at IS NULL
-        UNION ALL SELECT 'report_generated', NULL) e GROUP BY 1""")
+@query("snk_audit_events", f"""
+    SELECT event, invoice_id, detail, count(*) AS events FROM (
+        SELECT 'parsed' AS event, id AS invoice_id, concat('{{"method":"', parse_method, '",' , '"line_items":', lines, ',"status":"', status, '"}}') AS detail
+        FROM (SELECT o.id, coalesce(parse_method, 'none') AS parse_method, (SELECT count(*) FROM invoice_lines l WHERE l.invoice_id = o.id) AS lines, status FROM invoices o WHERE o.invoice_type = 'contractor') p
+        UNION ALL SELECT 'matched', id, concat('{{"status":"', new_status, '",', CASE WHEN single_person THEN '"mode":"single_contractor_total",' ELSE '' END, '"lines":', lines, ',"matched_lines":', matched_lines, '}}')
+        FROM invoice_outcomes WHERE status <> 'processing_failed'
+        UNION ALL SELECT 'routed', id, concat('{{"to":"', CASE WHEN new_status = 'matched' THEN 'matched' ELSE 'flagged' END, '","status":"', new_status, '"}}') FROM invoice_outcomes
+        UNION ALL SELECT 'csv_generated', invoice_id, concat('{{"bytes":', sum(strlen(text) + 2), '}}') FROM ({PURCHASE_SQL}) r JOIN spend_invoices i ON i.id = r.invoice_id WHERE i.status = 'matched' GROUP BY ALL
+        UNION ALL SELECT 'draft_csv_generated', invoice_id, concat('{{"matched_lines":', count(*), '}}') FROM spend_lines WHERE line_status = 'matched' GROUP BY ALL
+        UNION ALL SELECT 'bulk_exported', id, concat('{{"file":"', vendor_name, '_', invoice_number, '.csv"}}') FROM invoice_outcomes WHERE new_status = 'matched' AND archived_at IS NULL
+        UNION ALL SELECT 'template_learned', NULL, concat('{{"vendor_key":"', lower(brand), ' ', lower(legal), '","validated":true}}') FROM brands
+        UNION ALL SELECT 'template_applied', id, concat('{{"template_id":', CAST(regexp_extract(vendor_name, '(\\d+)$', 1) AS BIGINT), '}}') FROM spend_invoices WHERE vendor_name IS NOT NULL
+        UNION ALL SELECT 'parsed_other', i.id, concat('{{"method":"', method, '","supplier_number":"S-', i.id % 17, '","line_items":', (SELECT count(*) FROM spend_lines l WHERE l.invoice_id = i.id), ',"status":"', status, '"}}')
+        FROM spend_invoices i WHERE invoice_type = 'other'
+        UNION ALL SELECT 'report_generated', NULL, concat('{{"invoices":', count(*), '}}') FROM spend_invoices) e GROUP BY ALL""")
 def snk_audit_events(d):
+    """Every kind of event with its detail, appended in two loads and read back."""
     invoices, _ = reconciled(d)
+    spend = d.spend_invoices()
+    counted = d.invoice_lines().groupBy(F.col("invoice_id").alias("id")).agg(F.count(F.lit(1)).alias("line_items"))
+    contractor = d.invoices().filter("invoice_type = 'contractor'").join(counted, "id", "left").withColumn("line_items", F.coalesce("line_items", F.lit(0)))
+    parsed = export.audit_event(contractor, "parsed", F.coalesce("parse_method", F.lit("none")).alias("method"), F.col("line_items"), F.col("status"))
     routed = export.audit_event(invoices, "routed", F.col("routed_to").alias("to"), F.col("status"))
     names = export.export_names(export.active_matched(invoices))
     exported = export.audit_event(names, "bulk_exported", F.col("file_name").alias("file"))
-    reported = export.audit_event(invoices.agg(F.count(F.lit(1)).alias("invoices")), "report_generated", F.col("invoices"), invoice=None)
-    folder = fresh_folder(d)
-    export.write_events(merges.union_all(matched(d).events, routed), folder)
-    export.write_events(merges.union_all(exported, reported), folder)
-    return d.spark.read.parquet(folder).groupBy("event").agg(
-        F.count(F.lit(1)).alias("events"), F.countDistinct("invoice_id").alias("invoices")
+    generated = export.generated_events(export.purchase_rows(routed_invoices(d), coded(d)), export.exportable(spend, d.spend_lines()))
+    drafted = export.draft_events(d.spend_lines())
+    learned = export.audit_event(
+        d.kept("brands").select(F.lower(F.concat_ws(" ", "brand", "legal")).alias("vendor_key")), "template_learned", F.col("vendor_key"), F.lit(True).alias("validated"), invoice=None
+    )
+    found = spend.filter("vendor_name is not null").withColumn("template_id", F.regexp_extract("vendor_name", r"(\d+)$", 1).cast("long"))
+    applied = export.audit_event(found, "template_applied", F.col("template_id"))
+    per_invoice = d.spend_lines().groupBy(F.col("invoice_id").alias("id")).agg(F.count(F.lit(1)).alias("line_items"))
+    other = spend.filter("invoice_type = 'other'").join(per_invoice, "id", "left").withColumn("line_items", F.coalesce("line_items", F.lit(0)))
+    parsed_other = export.audit_event(
+        other, "parsed_other", F.col("raw_extraction.method").alias("method"), F.concat(F.lit("S-"), F.col("id") % 17).alias("supplier_number"), F.col("line_items"), F.col("status")
     )
+    reported = export.audit_event(spend.agg(F.count(F.lit(1)).alias("invoices")), "report_generated", F.col("invoices"), invoice=None)
+    folder = fresh_folder(d)
+    export.write_events(merges.union_all(parsed, matched(d).events, routed, learned, applied, parsed_other), folder)
+    export.write_events(merges.union_all(generated, drafted, exported, reported), folder)
+    return d.spark.read.parquet(folder).groupBy("event", "invoice_id", "detail").agg(F.count(F.lit(1)).alias("events"))
 
 
 def invoice_tables(d):

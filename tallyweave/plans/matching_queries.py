@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions import labels, names, similarity
-from tallyweave.operators import hours, merges, people, reconcile
+from tallyweave.operators import hours, merges, people, reconcile, spans
 from tallyweave.plans.oracle_views import COUNTED, day_text, exact_cents, hours_text, normalized, sorted_tokens
 from tallyweave.plans.registry import query
 from tallyweave.sources.driver_views import DriverTables
@@ -140,12 +140,10 @@ def flt_pending(d):
     WHERE s0 IS NULL OR s1 IS NULL OR coalesce(t.date_worked BETWEEN s0 AND s1, false) GROUP BY m.id""")
 def flt_window(d):
     header = d.invoices().select(F.col("id").alias("invoice_id"), "payment_period_start", "payment_period_end")
-    lines = d.invoice_lines().join(header, "invoice_id")
-    days = d.timesheets().groupBy(F.col("contractor_name_normalized").alias("made_from"), "date_worked").agg(
-        F.count(F.lit(1)).alias("entries")
-    )
-    inside = hours.in_window(F.col("date_worked"), F.col("payment_period_start"), F.col("payment_period_end"))
-    return lines.join(days, "made_from").filter(inside).groupBy("id").agg(F.sum("entries").alias("entries"))
+    lines = d.invoice_lines().join(header, "invoice_id").withColumn("resolved", F.col("made_from")).filter("resolved is not null")
+    spanned = hours.bound_spans(lines, F.col("payment_period_start"), F.col("payment_period_end"))
+    entries = d.timesheets().withColumn("resolved", F.col("contractor_name_normalized"))
+    return spans.with_span_aggregates(spanned, entries, {"entries": (F.count(F.lit(1)), F.sum("entries"))}).select("id", "entries")
 
 
 @query("flt_skip_failed", """

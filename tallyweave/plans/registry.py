@@ -15,6 +15,8 @@ from tallyweave.sources.driver_views import VIEWS, DriverTables, with_views
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 MODULES: dict[str, str] = {}
+#: Check statements as written, for statements that build on others.
+BODIES: dict[str, str] = {}
 
 
 def present(df: DataFrame) -> DataFrame:
@@ -52,7 +54,7 @@ def query(name: str, sql: str | None = None):
         QUERIES[name] = run
         MODULES[name] = function.__module__.rpartition(".")[2]
         if sql is not None:
-            ORACLES[name] = oracle_text(sql)
+            BODIES[name], ORACLES[name] = sql, oracle_text(sql)
         return function
 
     return register

@@ -525,8 +525,8 @@ def join_semi_matched(d):
            arg_min(struct_pack(v := investment_manager), entry_order).v AS investment_manager
     FROM detail_rows GROUP BY ALL""")
 def agg_person_detail(d):
-    rows = boards.invoice_entries(d.spend_invoices(), d.spend_lines(), d.timesheets())
-    return boards.person_detail(rows).select("invoice_id", "person", "hours", "project_id", "investment_manager")
+    found = boards.person_detail(d.spend_invoices(), d.spend_lines(), d.timesheets())
+    return found.select("invoice_id", "person", "hours", "project_id", "investment_manager")
 
 
 @query("agg_project_detail", f"""
@@ -545,8 +545,8 @@ def agg_person_detail(d):
     FROM shown s JOIN spend_invoices i ON i.id = s.invoice_id LEFT JOIN lob_map m ON m.project_id = s.project_id
     LEFT JOIN invoice_spend x ON x.invoice_id = s.invoice_id AND x.project_id = s.project_id""")
 def agg_project_detail(d):
-    rows = boards.invoice_entries(d.spend_invoices(), d.spend_lines(), d.timesheets())
+    people = boards.invoice_people(d.spend_invoices(), d.spend_lines(), d.timesheets())
     return accounting.project_detail(
-        d.spend_invoices(), rows, accounting.invoice_project_spend(linked(d), splits(d)), d.projects(), companies(d),
+        d.spend_invoices(), people, boards.billable_of_people(d.timesheets()), accounting.invoice_project_spend(linked(d), splits(d)), d.projects(), companies(d),
         accounting.project_lines_of_business(d.kept("lob_rows")), d.kept("departments"), POLICY,
     )
