@@ -9,6 +9,7 @@ from tallyweave.functions.labels import ALL_DATA_FOUND, CONTRACTOR, FAILED, FLAG
 from tallyweave.functions.money import cents, exact, exact_sum
 from tallyweave.functions.strings import any_of, col
 from tallyweave.operators.hours import PERSON, billable, bound_spans, days_in_spans, is_counted, same_span, spans_of
+from tallyweave.operators.scale import global_rank
 from tallyweave.operators.spans import with_span_aggregates
 
 def contractor_board(invoices: DataFrame) -> DataFrame:
@@ -55,18 +56,30 @@ def _page(rows: DataFrame, limit: int | None) -> DataFrame:
     return rows if limit is None else rows.limit(limit)
 
 
-def sort_board(cards: DataFrame, key: str) -> DataFrame:
-    """``default``, ``price_asc|desc`` or ``date_asc|desc``; a missing price or date counts as zero."""
+def board_orders() -> dict[str, list[Column]]:
+    """The orders of a board; a missing price or date counts as zero."""
     price = F.coalesce("total_invoice_cost", F.lit(0.0))
     day = F.coalesce("date_received", F.to_date(F.lit("1970-01-01")))
-    orders = {
-        "default": [F.desc("created_at"), F.desc("id")],
-        "price_desc": [price.desc(), F.desc("created_at"), F.desc("id")],
-        "price_asc": [price.asc(), F.desc("created_at"), F.desc("id")],
-        "date_desc": [day.desc(), F.desc("created_at"), F.desc("id")],
-        "date_asc": [day.asc(), F.desc("created_at"), F.desc("id")],
+    newest = [F.desc("created_at"), F.desc("id")]
+    return {
+        "default": newest, "price_desc": [price.desc(), *newest], "price_asc": [price.asc(), *newest],
+        "date_desc": [day.desc(), *newest], "date_asc": [day.asc(), *newest],
     }
-    return cards.orderBy(*orders[key])
+
+
+def sort_board(cards: DataFrame, key: str) -> DataFrame:
+    """``default``, ``price_asc|desc`` or ``date_asc|desc``."""
+    return cards.orderBy(*board_orders()[key])
+
+
+def ranked_board(cards: DataFrame, key: str) -> DataFrame:
+    """The cards with their place in the order as ``rank``, for pages of a board of any size."""
+    return global_rank(cards, board_orders()[key])
+
+
+def ranked_history(invoices: DataFrame, invoice_type: str) -> DataFrame:
+    """``history`` with the place in its order as ``rank``."""
+    return global_rank(invoices.filter(F.col("invoice_type") == invoice_type), board_orders()["default"])
 
 
 def invoice_cards(invoices: DataFrame, lines: DataFrame) -> DataFrame:
@@ -131,12 +144,15 @@ def line_entries(lines: DataFrame, timesheets: DataFrame) -> DataFrame:
     )
 
 
-def entry_counts(entries: DataFrame) -> DataFrame:
-    """``n counted of m`` per line, with the counted hours."""
-    return entries.groupBy("id").agg(
-        F.count_if("included").alias("counted_entries"), F.count(F.lit(1)).alias("entries"),
-        cents(exact_sum(F.when(F.col("included"), F.col("hours")))).alias("counted_hours"),
-    )
+def entry_totals(lines: DataFrame, timesheets: DataFrame) -> DataFrame:
+    """``n counted of m`` entries per resolved line, with the counted hours; lines without entries are left out."""
+    entries = timesheets.filter(F.col(PERSON).isNotNull()).withColumn("resolved", F.col(PERSON))
+    aggregates = {
+        "counted_entries": (F.count_if(is_counted()), F.sum("counted_entries")), "entries": (F.count(F.lit(1)), F.sum("entries")),
+        "counted_hours": (exact_sum(F.when(is_counted(), F.col("hours"))), F.sum("counted_hours")),
+    }
+    found = with_span_aggregates(lines.select("id", "resolved", "span_start", "span_end"), entries, aggregates)
+    return found.select("id", "counted_entries", "entries", cents(F.col("counted_hours")).alias("counted_hours"))
 
 
 def matched_people(lines: DataFrame, timesheets: DataFrame) -> DataFrame:

@@ -8,32 +8,28 @@ from pyspark.sql import functions as F
 from tallyweave.functions.strings import col
 from tallyweave.session import cut_lineage
 
-NUMBERING_SLICE = 100_000
-
 
 def row_count(df: DataFrame) -> Column:
     """The number of rows as a scalar subquery: it stays in the plan, the driver never asks for it."""
     return df.agg(F.count(F.lit(1))).scalar()
 
 
-def running_offset(
-    df: DataFrame, group: list[str], position: str, size: str, name: str, slice_size: int = NUMBERING_SLICE
-) -> DataFrame:
-    """Add ``name``: the sum of ``size`` over earlier integer ``position`` values in the group.
+def running_offset(df: DataFrame, group: list[str], position: str, size: str, name: str, materialise=cut_lineage) -> DataFrame:
+    """Add ``name``: the sum of ``size`` over earlier ``position`` values in the group.
 
-    Positions (unique per group) are cut into fixed slices; each slice is summed in its own task and only
-    the per-slice totals are scanned per group, so a group of any size is spread over many tasks.
+    Rows are cut into ranges of (group, position) of about equal numbers, whatever the positions are, so a group of any size is spread
+    over many tasks; each range is summed by itself, and only the ranges' totals are scanned per group. The rows are materialised, so
+    that sums and totals are taken from the same cut. Positions are unique per group.
     """
-    piece = F.floor(F.col(position) / slice_size).alias("_slice")
-    sliced = df.withColumn("_slice", piece)
-    totals = sliced.groupBy(*group, "_slice").agg(F.sum(size).alias("_slice_size"))
-    before = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*group, "_slice", F.coalesce(F.sum("_slice_size").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(*group, "_slice").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    placed = materialise(df.repartitionByRange(*group, position).withColumn("_range", F.spark_partition_id()))
+    totals = placed.groupBy(*group, "_range").agg(F.sum(size).alias("_range_size"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*group, "_range", F.coalesce(F.sum("_range_size").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(*group, "_range").orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        sliced.join(starts, [*group, "_slice"])
+        placed.join(starts, [*group, "_range"])
         .withColumn(name, F.col("_start") + F.coalesce(F.sum(size).over(within), F.lit(0)))
-        .drop("_slice", "_start")
+        .drop("_range", "_start")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tallyweave.functions import money
 from tallyweave.functions.coding import Company, Policy
 from tallyweave.operators import accounting, boards, report
 from tallyweave.operators.scale import top_and_rest
@@ -320,12 +321,14 @@ def flt_board_other(d):
     return boards.other_board(d.spend_invoices()).select("id", "board_column")
 
 
-@query("flt_history", """
-    SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, invoice_type FROM spend_invoices""")
+@query("flt_history", f"""
+    SELECT id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, invoice_type,
+           row_number() OVER (PARTITION BY invoice_type ORDER BY {_BOARD_ORDER}) AS rank FROM spend_invoices""")
 def flt_history(d):
+    """Every invoice with its place in the history of its type."""
     invoices = d.spend_invoices()
-    both = boards.history(invoices, "contractor").unionByName(boards.history(invoices, "other"))
-    return both.select("id", "created_at", "invoice_type")
+    both = boards.ranked_history(invoices, "contractor").unionByName(boards.ranked_history(invoices, "other"))
+    return both.select("id", "created_at", "invoice_type", "rank")
 
 
 @query("flt_search", """
@@ -352,21 +355,23 @@ def rank_limit(d):
     return boards.list_projects(d.projects()).select("project_id", "project_name", "capex_opex")
 
 
+_SORTS = {
+    "default": "", "price_desc": "price DESC, ", "price_asc": "price ASC, ", "date_desc": "received DESC, ", "date_asc": "received ASC, ",
+}
+
+
 @query("rank_board_sort", f"""
-    WITH cards AS (SELECT *, coalesce(total_invoice_cost, 0) AS price FROM spend_invoices WHERE invoice_type = 'contractor' AND archived_at IS NULL)
-    SELECT 'price_desc' AS sort_key, id, price, NULL AS received FROM cards
-    UNION ALL SELECT 'date_asc', id, NULL, coalesce({day_text('date_received')}, '1970-01-01') FROM cards""")
+    WITH cards AS (SELECT *, coalesce(total_invoice_cost, 0) AS price, coalesce(date_received, DATE '1970-01-01') AS received
+                   FROM spend_invoices WHERE invoice_type = 'contractor' AND archived_at IS NULL)
+    {' UNION ALL '.join(f"SELECT '{key}' AS sort_key, id, row_number() OVER (ORDER BY {order}{_BOARD_ORDER}) AS rank FROM cards" for key, order in _SORTS.items())}""")
 def rank_board_sort(d):
+    """The place of every card in each of the five orders."""
     cards = boards.contractor_board(d.spend_invoices())
-    day = F.coalesce(F.date_format("date_received", "yyyy-MM-dd"), F.lit("1970-01-01"))
-    by_price = boards.sort_board(cards, "price_desc").select(
-        F.lit("price_desc").alias("sort_key"), "id", F.coalesce("total_invoice_cost", F.lit(0.0)).alias("price"),
-        F.lit(None).cast("string").alias("received"),
-    )
-    by_date = boards.sort_board(cards, "date_asc").select(
-        F.lit("date_asc").alias("sort_key"), "id", F.lit(None).cast("double").alias("price"), day.alias("received")
-    )
-    return by_price.unionByName(by_date)
+    ranked = None
+    for key in _SORTS:
+        places = boards.ranked_board(cards, key).select(F.lit(key).alias("sort_key"), "id", "rank")
+        ranked = places if ranked is None else ranked.unionByName(places)
+    return ranked
 
 
 @query("agg_invoice_card", """
@@ -436,10 +441,23 @@ def agg_vendor_suggest_numbers(d):
 
 
 @query("agg_detail_totals", f"""
-    SELECT invoice_id, {exact_cents("sum(coalesce(CAST(hours AS DECIMAL(28, 6)), 0))")} AS hours,
-           {exact_cents("sum(coalesce(CAST(amount AS DECIMAL(28, 6)), 0))")} AS amount FROM spend_lines GROUP BY 1""")
+    SELECT t.*, coalesce(c.counted_entries, 0) AS counted_entries, coalesce(c.entries, 0) AS entries, coalesce(c.counted_hours, 0) AS counted_hours FROM (
+        SELECT invoice_id, {exact_cents("sum(coalesce(CAST(hours AS DECIMAL(28, 6)), 0))")} AS hours,
+               {exact_cents("sum(coalesce(CAST(amount AS DECIMAL(28, 6)), 0))")} AS amount FROM spend_lines GROUP BY 1) t
+    LEFT JOIN (
+        SELECT m.invoice_id, count(*) FILTER (WHERE {COUNTED} AND NOT t.is_time_off) AS counted_entries, count(*) AS entries,
+               {exact_cents(f"coalesce(sum(CAST(t.hours AS DECIMAL(28, 6))) FILTER (WHERE {COUNTED} AND NOT t.is_time_off), 0)")} AS counted_hours
+        FROM linked m JOIN timesheets t ON t.contractor_name_normalized = m.resolved
+        WHERE m.s0 IS NULL OR m.s1 IS NULL OR t.date_worked BETWEEN m.s0 AND m.s1 GROUP BY 1) c ON c.invoice_id = t.invoice_id""")
 def agg_detail_totals(d):
-    return boards.detail_totals(d.spend_lines())
+    """Footers of an invoice's lines, and of the entries behind them: n counted of m, with the counted hours."""
+    spanned = linked(d).filter("resolved is not null")
+    counted = boards.entry_totals(spanned, d.timesheets())
+    per_invoice = spanned.select("id", "invoice_id").join(counted, "id").groupBy("invoice_id").agg(
+        *[F.sum(c).alias(c) for c in ("counted_entries", "entries")], money.cents(money.exact_sum("counted_hours")).alias("counted_hours")
+    )
+    totals = boards.detail_totals(d.spend_lines()).join(per_invoice, "invoice_id", "left")
+    return totals.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("counted_entries", "entries", "counted_hours")})
 
 
 @query("flt_file_type", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import coding, dates, documents, money
 from tallyweave.operators import extraction, grid_text, line_text, parse_jobs, service_text, templates
+from tallyweave.operators.scale import row_count
 from tallyweave.operators.suppliers import supplier_index, supplier_numbers
 from tallyweave.plans.oracle_views import ORACLE_VIEWS, day_text, exact_cents
 from tallyweave.plans.registry import query
@@ -559,9 +560,12 @@ def supplier_of(d):
 
 @query("txt_vendor", """
     SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 2 THEN replace(b.brand, ' ', '') || split_part(b.legal, ' ', 1) ELSE b.brand || ' ' || b.legal END AS vendor
-    FROM (SELECT c_custkey, CASE WHEN c_custkey % 95 % 17 = 16 THEN 1 ELSE c_custkey % 95 END AS slot FROM {customer}) c JOIN brands b ON b.s_suppkey = c.slot""")
+    FROM (SELECT c_custkey, CASE WHEN s % 17 = 16 THEN 1 ELSE s END AS slot
+          FROM (SELECT c_custkey, c_custkey % (SELECT count(*) FROM {supplier}) AS s FROM {customer}) x) c JOIN brands b ON b.s_suppkey = c.slot""")
 def txt_vendor(d):
-    slot = F.when(F.col("c_custkey") % 95 % 17 == 16, F.lit(1)).otherwise(F.col("c_custkey") % 95)
+    """A document per customer, of one of all suppliers."""
+    supplier = F.col("c_custkey") % row_count(d.table("supplier"))
+    slot = F.when(supplier % 17 == 16, F.lit(1)).otherwise(supplier)
     docs = d.table("customer").select(F.col("c_custkey").alias("doc_id"), slot.alias("s_suppkey")).join(d.kept("brands"), "s_suppkey")
     key, plain = F.col("doc_id") % 3, F.concat(F.replace("brand", F.lit(" "), F.lit("")), F.split("legal", " ")[0])
     text = (

@@ -297,13 +297,22 @@ def src_timesheet_csv(d):
     return files.read_timesheet_folder(d.spark, exported_folder(d) + "/*").drop("row_order")
 
 
-@query("src_newest_file", "SELECT 'iso-8859-1' AS folder, 'csv' AS kind")
+@query("src_newest_file", """
+    SELECT time_sheet_status AS folder, 'csv' AS kind, count(*) AS entries, count(DISTINCT resource_name) AS people FROM timesheet_raw
+    WHERE time_sheet_status = (SELECT time_sheet_status FROM timesheet_raw GROUP BY 1 ORDER BY max(row_order) DESC LIMIT 1) GROUP BY 1""")
 def src_newest_file(d):
-    newest = files.newest_file(d.spark, exported_folder(d) + "/*")
-    return newest.select(
-        F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("folder"),
-        F.regexp_extract("path", r"\.(\w+)$", 1).alias("kind"),
-    )
+    """An export per status, written in the order of their last entries: the one with the newest entry is the newest file, and is read."""
+    folder, raw = fresh_folder(d), d.raw()
+    # One row per status.
+    last = raw.groupBy("time_sheet_status").agg(F.max("row_order").alias("last")).orderBy("last")
+    for row in last.collect():
+        rows = export_headers(raw.filter(F.col("time_sheet_status") == row["time_sheet_status"]))
+        rows.repartition(1).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{folder}/{row['time_sheet_status'].strip()}-")
+        (d.spark.range(1).selectExpr("'notes, not an export' AS value").write.text(f"{folder}/{row['time_sheet_status'].strip()}-notes"))
+    newest = files.newest_file(d.spark, folder + "/*")
+    read = files.read_timesheet_folder(d.spark, newest.first()["path"])
+    status = F.first("time_sheet_status").alias("folder")
+    return read.agg(status, F.lit("csv").alias("kind"), F.count(F.lit(1)).alias("entries"), F.countDistinct("resource_name").alias("people"))
 
 
 @query("src_required_columns", """

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.coding import Company, Policy
 from tallyweave.operators import accounting, export, merges, report, scale, suppliers
+from tallyweave.session import cut_lineage
 
 POLICY = Policy(
     companies=(Company("A", "5", "CA", ("/group/a",), r"\balpha"), Company("B", "67", "CB", ("/group/b",), r"\bbeta")),
@@ -88,13 +89,36 @@ def test_purchase_rows(spark, seed):
     assert {r.id for r in export.exportable(invoices, lines, draft=True).collect()} == {1}
 
 
-def test_running_offset_is_exact_over_slices(spark):
-    rows = spark.range(1000).selectExpr("id % 2 AS g", "id AS position", "id % 3 AS n")
-    got = {r.position: r.before for r in scale.running_offset(rows, ["g"], "position", "n", "before", slice_size=64).collect()}
-    sums = [0, 0]
-    for i in range(1000):
-        assert got[i] == sums[i % 2]
-        sums[i % 2] += i % 3
+def test_running_offset_is_exact_over_ranges(spark):
+    """Sparse positions, and a group with most of all rows, which several ranges share."""
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 7 = 0 THEN id % 3 ELSE 9 END AS g", "id * 100000007 % 1000000000039 AS position", "id % 3 AS n")
+    seen = []
+
+    def watch(df):
+        kept = cut_lineage(df)
+        seen.append(kept)
+        return kept
+
+    # As on a cluster with much data: ranges stay apart.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.position): r.before for r in scale.running_offset(rows, ["g"], "position", "n", "before", watch).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sums = {}
+    for r in sorted(rows.collect(), key=lambda r: (r.g, r.position)):
+        assert got[r.g, r.position] == sums.get(r.g, 0)
+        sums[r.g] = sums.get(r.g, 0) + r.n
+    assert seen[0].filter("g = 9").select("_range").distinct().count() > 1
+
+
+def test_global_rank(spark):
+    """Ranks without gaps over several ranges, descending, ties broken by the last column."""
+    rows = spark.range(2000).selectExpr("id", "id % 10 AS price", "'x' AS rank_of").repartition(5)
+    got = {r.id: r["rank"] for r in scale.global_rank(rows, [F.desc("price"), F.asc("id")]).collect()}
+    expected = sorted(range(2000), key=lambda i: (-(i % 10), i))
+    assert got == {i: n + 1 for n, i in enumerate(expected)}
+    assert scale.global_rank(rows.limit(0), [F.desc("price")]).collect() == []
 
 
 def test_top_and_rest(spark):
