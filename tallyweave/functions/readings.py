@@ -146,6 +146,15 @@ TIME_CARD_DAY = rf"(?m)^({SLASH_DATE})\s+(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)\s"
 MONTH_OF = "(?i)" + label_pattern("for the month of") + rf"\s*({MONTH})\.?,?\s*(\d{{4}})"
 MONTH_OF_SERVICE = rf"(?i)\b({MONTH})\s+(\d{{4}})\s+service"
 BARE_MONTH = rf"(?i)\b({MONTH})\.?\s+(\d{{4}})\b"
-DATES_AT_THE_END = rf"(?i)(?:[\s–-]*(?:{MONTH_YEAR}|{HYPHEN_DATE}|{SLASH_DATE}))+[\s–-]*$"
+PRINTED_YEAR = r"\b\d{4}\b"
+GAP = rf"(?:\s|{DASH})*"
+
+
+def any_token(*tokens: str) -> str:
+    return "(?:" + "|".join(tokens) + ")"
+
+
+#: Months and dates that close a line, however many.
+DATES_AT_THE_END = rf"(?i)(?:{GAP}{any_token(MONTH_YEAR, HYPHEN_DATE, SLASH_DATE)})+{GAP}$"
 #: Where a description is cut when a person's name is sought beside its dates.
-DATE_IN_TEXT = rf"(?i){SLASH_DATE}|\d{{1,2}}\s*[-/]\s*{MONTH}(?:\s*[-/]\s*\d{{2,4}})?|\b{MONTH}\.?\s*\d{{4}}|\b\d{{4}}\b"
+DATE_IN_TEXT = "(?i)" + any_token(DAY_MONTH_YEAR, MONTH_DAY_YEAR, HYPHEN_DATE, SLASH_DATE, MONTH_YEAR, DAY_MONTH, PRINTED_YEAR)

@@ -105,12 +105,13 @@ def test_periods(column):
     texts = [
         "Period: June 1-14, 2026", "Account Billed From Date Billed To Date\nName: X 02-Mar-2026 31-Mar-2026",
         "work 05 April 2026to25 April 2026", "01-Apr to 30-Apr 2026", "Invoice for the month of April2026", "May 2026 Services",
-        "My App Timesheet - February 2026\nName", "Invoice 123\nDate Day\n1-Apr-26 8", "\n".join(["line"] * 10 + ["Worked in May 2026"]),
+        "My App Timesheet - February 2026\nName", "Invoice 123\nDate Day\n1-Apr-26 8", "\n".join(["line"] * 10 + ["Widgets $5.00", "Worked in May 2026"]),
+        "\n".join(["a long letterhead"] * 10 + ["May 2026", "Widgets $5.00"]),
         "Time Card by company invoice\n06/01/2026 - 06/30/2026\n06/02/2026 Tue Work 8.00\n06/19/2026 Fri Work 8.00",
     ]
     assert column(period, texts) == [
         "June 1, 2026 - June 14, 2026", "02-Mar-2026 - 31-Mar-2026", "4/5/2026 - 4/25/2026", "4/1/2026 - 4/30/2026",
-        "4/1/2026 - 4/30/2026", "5/1/2026 - 5/31/2026", "2/1/2026 - 2/28/2026", None, None, "6/2/2026 - 6/19/2026",
+        "4/1/2026 - 4/30/2026", "5/1/2026 - 5/31/2026", "2/1/2026 - 2/28/2026", None, None, "5/1/2026 - 5/31/2026", "6/2/2026 - 6/19/2026",
     ]
 
 
