@@ -1,10 +1,14 @@
 """Toxicity by weak supervision: many weak voters, a generative label model over their votes, and a linear classifier.
 
-Voters are lexicon words and word beginnings (found by how they split a bounded sample of labelled texts), patterns of the text,
-and the given label itself, none of which is trusted. The label model treats the true class as hidden: each voter fires with its own
-rate in either class, and votes of one text that are correlated within the classes share their weight. Expectation-maximisation
-estimates rates and correlations together. A logistic regression over hashed words and word beginnings is then
-trained on the posterior of the hidden class and scores every document.
+Voters are lexicon words and word beginnings (found by how they split all labelled texts), patterns of the text, and the given label
+itself, none of which is trusted. The label model treats the true class as hidden: each voter fires with its own rate in either class, and
+votes of one text that are correlated within the classes share their weight. Expectation-maximisation estimates rates and correlations
+together. A logistic regression over hashed words and word beginnings is then trained on the posterior of the hidden class and scores
+every document.
+
+Texts of all labelled training documents count, copies and near copies once: slots by label are summed by Spark, and so are, in each round
+of the estimate, votes and pairs of votes over the table of all their votes, and over the votes of all unlabelled documents in the last
+rounds. What reaches the driver is bounded by the number of slots and of pairs of voters. Only the classifier is fitted on a sample.
 """
 
 from __future__ import annotations
@@ -14,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm import bloom
 from tallyweave.llm import common as C
 
-#: Labelled texts that are learned from: those with the smallest hashes of their ids.
+#: Labelled texts that the classifier is fitted on, copies left out before.
 SAMPLE = 12_000
+#: Rounds of the estimate over labelled texts and then over all; groups in which the sums of tasks meet.
+ROUNDS, LAST_ROUNDS, MERGES = 20, 2, 8
 SLOT_BITS = 20
 #: Features of the classifier, lexicon voters, and in how many texts a feature must occur.
 FEATURES, LEXICON, SUPPORT = 4096, 150, 3
@@ -72,39 +79,71 @@ def _features(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return document_of, slot_of, patterns
 
 
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, toxic_voters: int, rounds: int = 30, trust: float = 0.8) -> dict:
-    """Class balance, firing rates and correlations of binary voters, with the posterior of the hidden class.
+class LabelModel:
+    """Class balance, firing rates and correlations of binary voters; the posterior of the hidden class follows from a text's votes.
 
     A voter that doesn't fire abstains: a lexicon word that is absent says nothing, as texts have their own languages and words. The
-    given labels and the toxic voters start the estimate, the labels give the class balance; a given label is one voter if toxic and another if not, and is taken
-    to be right in at least ``trust`` of either class. The first ``toxic_voters`` voters never speak for the clean class. Without
-    these bounds the hidden class could drift to any other that the voters tell apart.
+    given labels and the toxic voters start the estimate, the labels give the class balance; a given label is one voter if toxic and
+    another if not, and is taken to be right in at least ``trust`` of either class. The first ``toxic_voters`` voters never speak for the
+    clean class. Without these bounds the hidden class could drift to any other that the voters tell apart.
     """
-    votes = np.concatenate([votes, labels[:, None], 1 - labels[:, None]], axis=1).astype(np.float64)
-    q = 0.1 + 0.4 * labels + 0.4 * votes[:, :toxic_voters].any(axis=1)
-    balance = (labels.sum() + 1) / (len(q) + 2)
-    for step in range(rounds):
-        rate = np.stack([((1 - q) @ votes + 1) / ((1 - q).sum() + 2), (q @ votes + 1) / (q.sum() + 2)])
-        rate[1, -2:] = np.clip(rate[1, -2:], (trust, 0), (1, 1 - trust))
-        rate[0, -2:] = np.clip(rate[0, -2:], (0, trust), (1 - trust, 1))
-        rate[1, :toxic_voters] = np.maximum(rate[1], rate[0])[:toxic_voters]
-        # Correlation of what is left of the votes within each likelier class, where few mistakes of the class blur it least.
-        likely = (q > 0.5).astype(np.float64)
-        means = np.stack([(1 - likely) @ votes / max(1, (1 - likely).sum()), likely @ votes / max(1, likely.sum())])
-        left = votes - means[0] - likely[:, None] * (means[1] - means[0])
-        spread = np.sqrt((left**2).sum(axis=0) + 1e-9)
-        together = np.clip(left.T @ left / np.outer(spread, spread), 0, 1) if step else np.zeros((votes.shape[1], votes.shape[1]))
-        together[together < 0.05] = 0
-        np.fill_diagonal(together, 1)
+
+    def __init__(self, n_voters: int, toxic_voters: int, balance: float, trust: float = 0.8) -> None:
+        self.n, self.toxic, self.trust = n_voters + 2, toxic_voters, trust
+        self.balance, self.rate, self.together = balance, None, np.eye(n_voters + 2)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """votes: one column a voter, then "labelled toxic" and "labelled clean" (neither: no label)."""
+        if self.rate is None:
+            return 0.1 + 0.4 * votes[:, -2] + 0.4 * votes[:, : self.toxic].any(axis=1)
         # A vote shares its weight with the correlated votes that the same text has.
-        shared = np.maximum(1, votes @ together)
-        odds = np.log(balance / (1 - balance)) + (votes / shared) @ np.log(rate[1] / rate[0])
-        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        if np.abs(new - q).max() < 1e-6:
-            q = new
+        shared = np.maximum(1, votes @ self.together)
+        odds = np.log(self.balance / (1 - self.balance)) + (votes / shared) @ np.log(self.rate[1] / self.rate[0])
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+    def sums(self, votes: np.ndarray) -> np.ndarray:
+        """What a round needs of some texts, to be added up: rows, share of the class, votes and pairs of votes by class."""
+        q = self.posterior(votes)
+        # Correlations within each likelier class, where few mistakes of the class blur them least.
+        likely = q > 0.5
+        pairs = [votes[of].T @ votes[of] for of in (~likely, likely)]
+        return np.concatenate([[len(q), q.sum()], votes.T @ (1 - q), votes.T @ q, [(~likely).sum(), likely.sum()], *(p.ravel() for p in pairs)])
+
+    def size(self) -> int:
+        return 4 + 2 * self.n + 2 * self.n * self.n
+
+    def update(self, sums: np.ndarray) -> float:
+        """Take over what all texts add up to; the largest change of a rate."""
+        n, v = sums[0], self.n
+        q = sums[1]
+        rate = np.stack([(sums[2 : 2 + v] + 1) / (n - q + 2), (sums[2 + v : 2 + 2 * v] + 1) / (q + 2)])
+        rate[1, -2:] = np.clip(rate[1, -2:], (self.trust, 0), (1, 1 - self.trust))
+        rate[0, -2:] = np.clip(rate[0, -2:], (0, self.trust), (1 - self.trust, 1))
+        rate = np.clip(rate, 1e-6, 1)
+        rate[1, : self.toxic] = np.maximum(rate[1], rate[0])[: self.toxic]
+        change = 1.0 if self.rate is None else float(np.abs(rate - self.rate).max())
+        if self.rate is not None:
+            counts = sums[2 + 2 * v : 4 + 2 * v]
+            pairs = sums[4 + 2 * v :].reshape(2, v, v)
+            # What is left of pairs of votes when each class's means are taken out.
+            left = sum(p - np.outer(np.diag(p), np.diag(p)) / max(1, c) for p, c in zip(pairs, counts, strict=True))
+            spread = np.sqrt(np.maximum(np.diag(left), 0) + 1e-9)
+            together = np.clip(left / np.outer(spread, spread), 0, 1)
+            together[together < 0.05] = 0
+            np.fill_diagonal(together, 1)
+            self.together = together
+        self.rate = rate
+        return change
+
+
+def fit_label_model(votes: np.ndarray, labels: np.ndarray, toxic_voters: int, rounds: int = 30, trust: float = 0.8) -> dict:
+    """The label model of votes in memory, with the posterior of every row."""
+    votes = np.concatenate([votes, labels[:, None], 1 - labels[:, None]], axis=1).astype(np.float64)
+    model = LabelModel(votes.shape[1] - 2, toxic_voters, (labels.sum() + 1) / (len(labels) + 2), trust)
+    for _ in range(rounds):
+        if model.update(model.sums(votes)) < 1e-6:
             break
-        q = new
-    return {"balance": balance, "rates": rate, "correlations": together, "posterior": q}
+    return {"balance": model.balance, "rates": model.rate, "correlations": model.together, "posterior": model.posterior(votes)}
 
 
 def fit_classifier(document: np.ndarray, feature: np.ndarray, n_features: int, target: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -122,44 +161,150 @@ def fit_classifier(document: np.ndarray, feature: np.ndarray, n_features: int, t
     return w, b
 
 
-def _first_of_copies(rows) -> np.ndarray:
-    """Near copies are one example: of the texts with a label and the same three minimal hashes of their words, the first."""
-    seen, first = set(), []
-    for label, slots in zip(rows["toxic"], rows["slots"], strict=True):
-        x = np.frombuffer(slots, np.int32).astype(np.uint64)
-        key = (label, *(int(C.mixed(x + np.uint64(k << 32)).min()) if len(x) else -1 for k in (1, 2, 3)))
-        first.append(key not in seen)
-        seen.add(key)
-    return np.array(first)
+def _copy_key(slots: np.ndarray) -> int:
+    """Near copies have the same three minimal hashes of their words."""
+    x = slots.astype(np.uint64)
+    key = np.zeros(1, np.uint64)
+    for k in (1, 2, 3):
+        least = C.mixed(x + np.uint64(k << 32)).min() if len(x) else np.uint64(0)
+        key = C.mixed(C.mixed(key) ^ least)
+    return int(key.view(np.int64)[0])
 
 
-def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE) -> dict:
-    """A model from at most ``sample`` labelled training documents; without any, every score is 0."""
-    marked = labels.where(training & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("__toxic"))
-    # At most ``sample`` rows of two numbers: small enough for every executor.
-    chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["text", "__toxic"])
+def _examples(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
+    """(toxic, key, slots, patterns) of every labelled training text, of copies and near copies with one label the first."""
+    marked = labels.where(training & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    given = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
+    # Only texts that may have a label are shuffled.
+    bits = bloom.filter_of(marked.select("doc_id"), "doc_id")
+    texts = bloom.split(given, F.col("doc_id"), bits)[0].join(marked, "doc_id").select("toxic", "text")
 
     def extract(batches):
         for batch in C.small(batches):
             document, slot, patterns = _features(pa.chunked_array([batch.column("text")]))
             cuts = np.searchsorted(document, np.arange(batch.num_rows + 1))
-            rows = [slot[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("__toxic"), pa.array(rows, pa.binary()), pa.array([np.packbits(p).tobytes() for p in patterns], pa.binary())], names=["toxic", "slots", "patterns"])
-
-    rows = texts.select("__toxic", "text").mapInArrow(extract, "toxic int, slots binary, patterns binary").toPandas()
-    # The order in which rows arrive must not matter.
-    rows = rows.sort_values(["toxic", "slots", "patterns"], ignore_index=True)
-    empty = {"slots": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -30.0}
-    if not len(rows) or rows["toxic"].nunique() < 2:
-        return empty
-    rows = rows[_first_of_copies(rows)]
-    label = rows["toxic"].to_numpy(np.int64)
-    lists = [np.frombuffer(x, np.int32) for x in rows["slots"]]
-    document, slot = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64)
-    total = np.bincount(slot, minlength=1 << SLOT_BITS).astype(np.float64)
-    hit = np.bincount(slot, label[document], 1 << SLOT_BITS)
-    base = label.mean()
+            rows = [slot[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            keys = pa.array([_copy_key(r) for r in rows], pa.int64())
+            votes = pa.array([np.packbits(p).tobytes() for p in patterns], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), keys, pa.array([r.tobytes() for r in rows], pa.binary()), votes], names=["toxic", "key", "slots", "patterns"])
+
+    found = C.stored(texts.mapInArrow(C.giving_back(extract), "toxic int, key long, slots binary, patterns binary"), "toxicity-texts")
+    # The least of near copies, so that the order in which rows arrive does not matter; the rows that stay are told by hash.
+    first = found.groupBy("toxic", "key").agg(F.min(F.xxhash64("slots", "patterns")).alias("least"))
+    kept = found.join(first, ["toxic", "key"]).where(F.xxhash64("slots", "patterns") == F.col("least"))
+    return C.stored(kept.dropDuplicates(["toxic", "key"]).select("toxic", "key", "slots", "patterns"), "toxicity-examples")
+
+
+def _slot_counts(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """In how many texts each slot occurs, and in how many toxic ones: two numbers a slot, summed in tasks and then across them."""
+
+    def count(batches):
+        total, hit = np.zeros((2, 1 << SLOT_BITS), np.int64)
+        for batch in batches:
+            for toxic, slots in zip(batch.column("toxic").to_pylist(), batch.column("slots").to_pylist(), strict=True):
+                of = np.frombuffer(slots, np.int32)
+                total[of] += 1
+                if toxic:
+                    hit[of] += 1
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used]), pa.array(hit[used])], names=["slot", "total", "hit"])
+
+    sums = examples.select("toxic", "slots").mapInArrow(C.giving_back(count), "slot int, total long, hit long").groupBy("slot").agg(F.sum("total").alias("total"), F.sum("hit").alias("hit"))
+    # Slots of one or two texts can be no feature.
+    rows = sums.where(F.col("total") >= SUPPORT).toPandas()
+    total, hit = np.zeros((2, 1 << SLOT_BITS))
+    total[rows["slot"]], hit[rows["slot"]] = rows["total"], rows["hit"]
+    return total, hit
+
+
+class _Voters:
+    """Votes of texts: the lexicon, the patterns, and whether no lexicon word is there."""
+
+    def __init__(self, raised: np.ndarray) -> None:
+        self.raised = np.sort(raised)
+
+    def __len__(self) -> int:
+        return len(self.raised) + len(PATTERNS) + 1
+
+    def votes(self, document: np.ndarray, slot: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(patterns), len(self)), bool)
+        if len(self.raised):
+            place = np.minimum(np.searchsorted(self.raised, slot), len(self.raised) - 1)
+            fires = self.raised[place] == slot
+            out[document[fires], place[fires]] = True
+        out[:, len(self.raised) : -1] = patterns
+        out[:, -1] = ~out[:, : len(self.raised)].any(axis=1)
+        return out
+
+
+def _labelled_votes(examples: DataFrame, voters: _Voters) -> DataFrame:
+    """(votes) of the labelled texts, with their labels as the last two."""
+
+    def run(batches):
+        for batch in batches:
+            lists = [np.frombuffer(x, np.int32) for x in batch.column("slots").to_pylist()]
+            document = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            slot = np.concatenate(lists).astype(np.int64) if lists else np.zeros(0, np.int64)
+            patterns = np.array([np.unpackbits(np.frombuffer(x, np.uint8), count=len(PATTERNS)) for x in batch.column("patterns").to_pylist()], bool).reshape(-1, len(PATTERNS))
+            toxic = batch.column("toxic").to_numpy() == 1
+            votes = np.concatenate([voters.votes(document, slot, patterns), toxic[:, None], ~toxic[:, None]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(v).tobytes() for v in votes], pa.binary())], names=["votes"])
+
+    return examples.mapInArrow(run, "votes binary").groupBy("votes").agg(F.count("*").alias("n"))
+
+
+def _all_votes(docs: DataFrame, voters: _Voters) -> DataFrame:
+    """(votes, n) of all documents, without labels; texts with the same votes are one row with their number."""
+
+    def run(batches):
+        for batch in C.small(batches):
+            document, slot, patterns = _features(pa.chunked_array([batch.column("text")]))
+            votes = np.concatenate([voters.votes(document, slot, patterns), np.zeros((batch.num_rows, 2), bool)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(v).tobytes() for v in votes], pa.binary())], names=["votes"])
+
+    return docs.select("text").where("text IS NOT NULL").mapInArrow(C.giving_back(run), "votes binary").groupBy("votes").agg(F.count("*").alias("n"))
+
+
+def _summed(table: DataFrame, model: LabelModel) -> np.ndarray:
+    """``LabelModel.sums`` over a table (votes, n), added up in tasks: one row of bounded size from each."""
+    width = model.n
+
+    def run(batches):
+        total = np.zeros(model.size())
+        for batch in batches:
+            raw = [np.frombuffer(x, np.uint8) for x in batch.column("votes").to_pylist()]
+            if raw:
+                votes = np.unpackbits(np.stack(raw), axis=1, count=width).astype(np.float64)
+                total += _weighted(model, votes, batch.column("n").to_numpy().astype(np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.float64) for x in rows.column("sums").to_pylist())
+        return pa.table({"sums": pa.array([total.tobytes()], pa.binary())})
+
+    # Sums of tasks meet in a few groups, so that the driver adds up a handful of rows whatever the number of tasks.
+    parts = table.mapInArrow(run, "sums binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGES)))
+    rows = parts.groupBy("part").applyInArrow(lambda t: add(t.select(["sums"])), "sums binary").collect()
+    return sum((np.frombuffer(r["sums"], np.float64) for r in rows), np.zeros(model.size()))
+
+
+def _weighted(model: LabelModel, votes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``sums`` of rows that stand for ``n`` texts each."""
+    q = model.posterior(votes)
+    likely = q > 0.5
+    weighted = votes * n[:, None]
+    pairs = [votes[of].T @ weighted[of] for of in (~likely, likely)]
+    return np.concatenate([[n.sum(), (n * q).sum()], weighted.T @ (1 - q), weighted.T @ q, [n[~likely].sum(), n[likely].sum()], *(p.ravel() for p in pairs)])
+
+
+def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE) -> dict:
+    """A model from the labelled training documents; without any, or with one class only, every score is 0."""
+    examples = _examples(docs, labels, training)
+    counts = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return {"slots": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": -30.0}
+    base = counts[1] / (counts[0] + counts[1])
+    total, hit = _slot_counts(examples)
     # Evidence that a slot tells the classes apart: its log likelihood against the share of toxic texts. What chance alone would
     # show somewhere among so many slots is not kept.
     share = np.clip(hit / np.maximum(total, 1), 1e-9, 1 - 1e-9)
@@ -167,21 +312,27 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SA
     evidence[(total < SUPPORT) | (evidence < np.log(max(2, np.count_nonzero(total >= SUPPORT))))] = 0
     order = np.argsort(-evidence, kind="stable")
     kept = np.sort(order[:FEATURES][evidence[order[:FEATURES]] > 0])
+    voters = _Voters(order[(share[order] >= PURITY) & (evidence[order] > 0)][:LEXICON])
+    labelled = C.stored(_labelled_votes(examples, voters), "toxicity-votes")
+    model = LabelModel(len(voters), len(voters.raised), (counts[1] + 1) / (counts[0] + counts[1] + 2))
+    for _ in range(ROUNDS):
+        if model.update(_summed(labelled, model)) < 1e-4:
+            break
+    # All documents have a say in rates and correlations once the labels have told the classes apart.
+    everything = C.stored(labelled.unionByName(_all_votes(docs, voters)), "toxicity-votes")
+    for _ in range(LAST_ROUNDS):
+        model.update(_summed(everything, model))
+    # The classifier's sample: texts with the smallest hashes, copies have gone before.
+    rows = examples.orderBy(F.xxhash64("key"), "key", "toxic").limit(sample).toPandas().sort_values(["toxic", "key"], ignore_index=True)
+    lists = [np.frombuffer(x, np.int32) for x in rows["slots"]]
+    document, slot = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists).astype(np.int64)
+    patterns = np.stack([np.unpackbits(np.frombuffer(x, np.uint8), count=len(PATTERNS)) for x in rows["patterns"]]).astype(bool)
+    toxic = rows["toxic"].to_numpy() == 1
+    votes = np.concatenate([voters.votes(document, slot, patterns), toxic[:, None], ~toxic[:, None]], axis=1).astype(np.float64)
     index = np.full(1 << SLOT_BITS, -1)
     index[kept] = np.arange(len(kept))
     use = index[slot] >= 0
-    document, feature = document[use], index[slot[use]]
-    raised = order[(share[order] >= PURITY) & (evidence[order] > 0)][:LEXICON]
-    voter = np.full(len(kept) + 1, -1)
-    raised = raised[index[raised] >= 0]
-    voter[index[raised]] = np.arange(len(raised))
-    votes = np.zeros((len(lists), int((voter >= 0).sum())), bool)
-    fires = voter[feature] >= 0
-    votes[document[fires], voter[feature[fires]]] = True
-    patterns = np.stack([np.unpackbits(np.frombuffer(x, np.uint8), count=len(PATTERNS)) for x in rows["patterns"]]).astype(bool)
-    silent = ~votes.any(axis=1)
-    model = fit_label_model(np.concatenate([votes, patterns, silent[:, None]], axis=1), label, votes.shape[1])
-    weights, bias = fit_classifier(document, feature, len(kept), model["posterior"])
+    weights, bias = fit_classifier(document[use], index[slot[use]], len(kept), model.posterior(votes))
     return {"slots": kept, "weights": weights, "bias": bias}
 
 
@@ -213,8 +364,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, training: Column, *keep:
     """Score every document for toxicity with a model learned from labelled training documents.
 
     docs: doc_id, text and what is kept; labels: doc_id, toxic (0 or 1; others are ignored). ``training`` is a condition on doc_id of
-    the labels. The classifier is fitted on at most ``sample`` labelled texts, those with the smallest hashes of their ids, equal
-    texts and near copies once. Only the text is looked at in a score. A null or empty text has the score of a text without features. Every row is judged by itself, so
+    the labels. The classifier is fitted on at most ``sample`` labelled texts, equal texts and near copies once; the lexicon, the voters' rates
+    and their correlations come from all labelled training texts and all documents. Only the text is looked at in a score. A null or empty text has the score of a text without features. Every row is judged by itself, so
     repeated rows repeat; several labels of one document count as toxic if one is. Further columns are ignored.
     """
     return score(docs, train(docs, labels, training, sample), *keep)

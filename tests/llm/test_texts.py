@@ -125,6 +125,46 @@ def test_toxicity(spark):
     assert hit / max(1, sum(r["predicted"] for r in got)) > 0.85 and hit / sum(r["toxic"] for r in got) > 0.8
 
 
+def test_toxicity_counts_every_labelled_text_once(spark, frame):
+    """Copies, copies in other case, texts without a label, repeated labels: slots by label are those of all distinct labelled texts."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("bcdfghjklm") for _ in range(7)) for _ in range(1500)]
+    texts = {i: " ".join(rng.sample(words, 30)) + (" alphax" if i % 5 == 0 else "") for i in range(300)}
+    rows = [*texts.items(), (300, texts[0].upper()), (301, texts[1]), (302, None), (None, "nobody")]
+    marks = [(i, int("alphax" in t)) for i, t in texts.items() if i % 4] + [(300, 0), (301, int("alphax" in texts[1])), (302, 1), (1, 0), (999, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    total, hit = toxicity._slot_counts(toxicity._examples(frame(rows), labels, F.lit(True)))
+    label = {}
+    for i, t in marks:
+        label[i] = max(label.get(i, 0), t)
+    import pyarrow as pa
+
+    seen, expected = set(), {}
+    for i, text in rows:
+        if i in label and text is not None:
+            _, slots, _ = toxicity._features(pa.chunked_array([pa.array([text])]))
+            if (label[i], tuple(slots)) not in seen:
+                seen.add((label[i], tuple(slots)))
+                for s in slots.tolist():
+                    n, t = expected.get(s, (0, 0))
+                    expected[s] = (n + 1, t + label[i])
+    expected = {s: v for s, v in expected.items() if v[0] >= toxicity.SUPPORT}
+    assert {int(s): (int(total[s]), int(hit[s])) for s in np.flatnonzero(total)} == expected
+
+
+def test_label_model_sums_add_up():
+    """The sums of parts are the sums of the whole, and rows that stand for several texts count as often."""
+    rng = np.random.default_rng(3)
+    votes = (rng.random((400, 9)) < 0.3).astype(float)
+    model = toxicity.LabelModel(7, 3, 0.2)
+    for _ in range(4):
+        whole = model.sums(votes)
+        assert np.allclose(whole, model.sums(votes[:150]) + model.sums(votes[150:]))
+        distinct, n = np.unique(votes, axis=0, return_counts=True)
+        assert np.allclose(whole, toxicity._weighted(model, distinct, n.astype(float)))
+        model.update(whole)
+
+
 def test_toxicity_edges(spark, frame):
     rng = random.Random(4)
     rows = [(i, " ".join("".join(rng.choice("aeiklmnrst") for _ in range(3)) for _ in range(20)) + (" nasty" if i % 3 == 0 else " kind")) for i in range(60)] + [(100, None), (101, ""), (102, "nasty " * 20_000), (103, "Nasty"), (0, "dup nasty")]
