@@ -5,6 +5,9 @@ a known number of characters in common; with characters in one global order, the
 each. A text is sent once per pair of these first characters, however many texts the other side has. Very short and very long texts
 use single characters, which are few for the former and telling for the latter. A key that many texts have is cut into rows and columns.
 
+*Sets of tokens* (``token_set``). Besides such keys of the distinct tokens, which two texts share unless one is nearly contained in the
+other, a text is sent with its longest tokens, as many as leave less than a contained text must share, to meet all tokens of the others.
+
 *Names* (``name_similarity``). The partial measure lets a short name match anywhere in a long one, which leaves no key that both must
 share. The comparison space is a grid: queries are hashed into row blocks, candidates into column blocks, and every cell is one bounded
 task that compares its block with vectorised bounds and emits only the winners.
@@ -15,6 +18,7 @@ distinct: callers pass distinct names, not the rows that carry them.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 
@@ -94,8 +98,36 @@ def text_keys(text: str, cutoff: float, rarity: dict[str, float]) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _keyed(texts: DataFrame, name: str, cutoff: float, rarity: dict[str, float]) -> DataFrame:
+def _token_number(token: str, tag: int) -> np.int64:
+    digest = hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8, key=bytes([tag])).digest()
+    return np.frombuffer(digest, np.int64)[0]
+
+
+def set_keys(text: str, cutoff: float, rarity: dict[str, float], asks: bool) -> np.ndarray:
+    """Keys of a text for ``token_set``; ``asks``: of a query, else of a candidate.
+
+    What two texts share counts against either one. So each side sends the few longest tokens of which one must be shared if it is the
+    contained one, and all its tokens for where the other is; the tags keep the two apart.
+    """
+    tokens = sorted(set(text.split()), key=lambda t: (-len(t), t))
+    distinct = " ".join(sorted(tokens))
+    need, left, few = cutoff * len(distinct) / (200.0 - cutoff), len(distinct), []
+    for token in tokens:
+        if left < need - 1e-9 or left <= 0:
+            break
+        few.append(token)
+        left -= len(token) + 1
+    mine, others = (1, 2) if asks else (2, 1)
+    found = [_token_number(t, mine) for t in few] + [_token_number(t, others) for t in tokens]
+    return np.unique(np.concatenate([text_keys(distinct, cutoff, rarity), np.array(found, np.int64)]))
+
+
+def _keyed(texts: DataFrame, name: str, cutoff: float, rarity: dict[str, float], scorer: str) -> DataFrame:
+    asks = name == "query"
+
     def keys(values: pd.Series) -> pd.Series:
+        if scorer == "token_set":
+            return pd.Series([set_keys(v, cutoff, rarity, asks) for v in values])
         return pd.Series([text_keys(" ".join(v.split()), cutoff, rarity) for v in values])
 
     keys.__annotations__ = {"values": pd.Series, "return": pd.Series}
@@ -110,15 +142,16 @@ def _rarity(texts: DataFrame) -> dict[str, float]:
     return {ch: math.log(n / most) for ch, n in counts.items()}
 
 
-def _keyed_search(cutoff: float, keep_all: bool):
-    scorer = similarity.ratio_pairs
+def _keyed_search(measure: str, cutoff: float, keep_all: bool):
+    by_set = measure == "token_set"
+    scorer = similarity.token_set_pairs if by_set else similarity.ratio_pairs
 
     def search(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         columns = ["_key", "query", "candidate", "score", "candidate_order"]
         if not len(asked) or not len(offered):
             return pd.DataFrame([], columns=columns).astype({"score": float})
-        texts = [" ".join(sorted(t.split())) for t in offered["candidate"]]
-        asked = asked.assign(_text=[" ".join(sorted(t.split())) for t in asked["query"]]).sort_values(["query", "_key"], kind="stable")
+        texts = offered["candidate"].tolist() if by_set else [" ".join(sorted(t.split())) for t in offered["candidate"]]
+        asked = asked.assign(_text=asked["query"] if by_set else [" ".join(sorted(t.split())) for t in asked["query"]]).sort_values(["query", "_key"], kind="stable")
         where, codes = np.unique(pd.concat([offered["_prefix"], asked["_prefix"]]).to_numpy(), return_inverse=True)
         code, mine = codes[: len(offered)], codes[len(offered) :]
         by_code = np.argsort(code, kind="stable")
@@ -141,7 +174,9 @@ def _keyed_search(cutoff: float, keep_all: bool):
             count = (high - low)[start:stop]
             left = np.repeat(np.arange(start, stop), count)
             right = by_code[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[start:stop], count)]
-            near = (200.0 * np.minimum(own[left], sizes[right]) >= (cutoff - 1e-9) * (own[left] + sizes[right])) & (keys_a[left] == keys_o[right])
+            near = keys_a[left] == keys_o[right]
+            if not by_set:
+                near &= 200.0 * np.minimum(own[left], sizes[right]) >= (cutoff - 1e-9) * (own[left] + sizes[right])
             left, right = left[near], right[near]
             _, once = np.unique(owner[left].astype(np.int64) * (int(candidate.max()) + 1) + candidate[right], return_index=True)
             left, right = left[once], right[once]
@@ -157,11 +192,11 @@ def _keyed_search(cutoff: float, keep_all: bool):
     return search
 
 
-def _by_keys(queries: DataFrame, candidates: DataFrame, cutoff: float, within: str | None, keep_all: bool) -> DataFrame:
+def _by_keys(queries: DataFrame, candidates: DataFrame, scorer: str, cutoff: float, within: str | None, keep_all: bool) -> DataFrame:
     rarity = _rarity(candidates)
     group = F.col(within).cast("string") if within else F.lit("")
-    queries = _keyed(queries.select("query", group.alias("_key")), "query", cutoff, rarity)
-    candidates = _keyed(candidates.select("candidate", "candidate_order", group.alias("_key")), "candidate", cutoff, rarity)
+    queries = _keyed(queries.select("query", group.alias("_key")), "query", cutoff, rarity, scorer)
+    candidates = _keyed(candidates.select("candidate", "candidate_order", group.alias("_key")), "candidate", cutoff, rarity, scorer)
     shared = ["_key", "_prefix"]
     sizes = queries.groupBy(*shared).agg(F.count(F.lit(1)).alias("_asked")).join(
         candidates.groupBy(*shared).agg(F.count(F.lit(1)).alias("_offered")), shared
@@ -177,7 +212,7 @@ def _by_keys(queries: DataFrame, candidates: DataFrame, cutoff: float, within: s
     found = (
         asked.select(task, "_key", cell, "query").groupBy("_task")
         .cogroup(offered.select(task, "_key", cell, "candidate", "candidate_order").groupBy("_task"))
-        .applyInPandas(_keyed_search(cutoff, keep_all), "_key string, query string, candidate string, score double, candidate_order string")
+        .applyInPandas(_keyed_search(scorer, cutoff, keep_all), "_key string, query string, candidate string, score double, candidate_order string")
     )
     return found.withColumnRenamed("_key", within) if within else found.drop("_key")
 
@@ -220,10 +255,10 @@ def _by_grid(queries: DataFrame, candidates: DataFrame, scorer: str, cutoff: flo
 
 
 def _search(queries, candidates, scorer, cutoff, within, keep_all):
-    if scorer == "token_sort":
-        return _by_keys(queries, candidates, cutoff, within, keep_all)
+    if scorer in ("token_sort", "token_set"):
+        return _by_keys(queries, candidates, scorer, cutoff, within, keep_all)
     if within is not None:
-        raise ValueError("only the sorted-token measure is searched within keys")
+        raise ValueError("names are not searched within keys")
     return _by_grid(queries, candidates, scorer, cutoff, keep_all)
 
 

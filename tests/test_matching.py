@@ -171,6 +171,30 @@ def test_keyed_search_equals_brute_force(spark, monkeypatch, cutoff):
     assert bm.best_match(asked.limit(0), offered, "token_sort", cutoff).count() == bm.best_match(asked, offered.limit(0), "token_sort", cutoff).count() == 0
 
 
+def test_sets_of_tokens_within_a_vendor_with_a_third_of_all_rows(spark, monkeypatch):
+    """Contained texts of any length, shared and repeated tokens, texts without a common token, ties by order."""
+    monkeypatch.setattr(bm, "QUERY_BLOCK", 10)
+    monkeypatch.setattr(bm, "CANDIDATE_BLOCK", 8)
+    monkeypatch.setattr(bm, "TASK_ROWS", 400)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 9))) for _ in range(40)]
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    vendors = ["hot"] * 6 + [f"v{i}" for i in range(6)]
+    products = sorted({(rng.choice(vendors), text(rng.randrange(1, 6))) for _ in range(160)})
+    asked = sorted({(rng.choice(vendors), rng.choice([text(rng.randrange(1, 5)), text(12), rng.choice(products)[1] + " " + text(8), "zz " + rng.choice(products)[1][1:]])) for _ in range(120)})
+    offered = spark.createDataFrame([(v, p, f"{i:04}") for i, (v, p) in enumerate(products)], "vendor string, candidate string, candidate_order string")
+    got = {(r.vendor, r.query): (r.candidate, r.score) for r in bm.best_match(spark.createDataFrame(asked, "vendor string, query string"), offered, "token_set", 60.0, within="vendor").collect()}
+    expected = {}
+    for v, q in asked:
+        scored = [(-similarity.token_set(q, p), i, p) for i, (w, p) in enumerate(products) if w == v]
+        if scored and -min(scored)[0] >= 60:
+            expected[v, q] = (min(scored)[2], -min(scored)[0])
+    assert got == expected
+
+
 def test_a_text_is_sent_as_often_whatever_the_other_side_holds():
     rarity = {ch: -0.1 * i for i, ch in enumerate("abcdefghijklmnopqrstuvwxyz ")}
     for cutoff, size, most in ((88.0, 20, 15), (88.0, 40, 45), (80.0, 20, 28)):
