@@ -1,6 +1,6 @@
 """Exact similarity search between two sets of texts, without a cross join.
 
-*Sorted tokens* (``token_sort``). Texts meet by keys. The score is a share of common characters, so two texts that reach the cutoff have
+*Texts and sorted tokens* (``ratio``, ``token_sort``). Texts meet by keys. The score is a share of common characters, so two texts that reach the cutoff have
 a known number of characters in common; with characters in one global order, the rarest first, they share two among the first few of
 each. A text is sent once per pair of these first characters, however many texts the other side has. Very short and very long texts
 use single characters, which are few for the former and telling for the latter. A key that many texts have is cut into rows and columns.
@@ -38,6 +38,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 QUERY_BLOCK = 4_000
 CANDIDATE_BLOCK = 50_000
 CELL_PAIRS = 1 << 24
+# A group of a ``within`` key of at most so many pairs is compared as it is.
+FEW_PAIRS = 4_096
 TASK_ROWS = 50_000
 #: Texts of this length and more use keys of single characters.
 LONG = 64
@@ -128,6 +130,8 @@ def _keyed(texts: DataFrame, name: str, cutoff: float, rarity: dict[str, float],
     def keys(values: pd.Series) -> pd.Series:
         if scorer == "token_set":
             return pd.Series([set_keys(v, cutoff, rarity, asks) for v in values])
+        if scorer == "ratio":
+            return pd.Series([text_keys(v, cutoff, rarity) for v in values])
         return pd.Series([text_keys(" ".join(v.split()), cutoff, rarity) for v in values])
 
     keys.__annotations__ = {"values": pd.Series, "return": pd.Series}
@@ -143,15 +147,15 @@ def _rarity(texts: DataFrame) -> dict[str, float]:
 
 
 def _keyed_search(measure: str, cutoff: float, keep_all: bool):
-    by_set = measure == "token_set"
+    by_set, sorted_tokens = measure == "token_set", measure == "token_sort"
     scorer = similarity.token_set_pairs if by_set else similarity.ratio_pairs
 
     def search(asked: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
         columns = ["_key", "query", "candidate", "score", "candidate_order"]
         if not len(asked) or not len(offered):
             return pd.DataFrame([], columns=columns).astype({"score": float})
-        texts = offered["candidate"].tolist() if by_set else [" ".join(sorted(t.split())) for t in offered["candidate"]]
-        asked = asked.assign(_text=asked["query"] if by_set else [" ".join(sorted(t.split())) for t in asked["query"]]).sort_values(["query", "_key"], kind="stable")
+        texts, own_texts = ([" ".join(sorted(t.split())) for t in side] if sorted_tokens else side.tolist() for side in (offered["candidate"], asked["query"]))
+        asked = asked.assign(_text=own_texts).sort_values(["query", "_key"], kind="stable")
         where, codes = np.unique(pd.concat([offered["_prefix"], asked["_prefix"]]).to_numpy(), return_inverse=True)
         code, mine = codes[: len(offered)], codes[len(offered) :]
         by_code = np.argsort(code, kind="stable")
@@ -254,8 +258,26 @@ def _by_grid(queries: DataFrame, candidates: DataFrame, scorer: str, cutoff: flo
     )
 
 
+def _in_groups(queries: DataFrame, candidates: DataFrame, scorer: str, cutoff: float, within: str, keep_all: bool) -> DataFrame:
+    """Groups of few pairs are compared pair by pair, which costs less than keys; larger ones meet by keys."""
+    asked = queries.groupBy(within).agg(F.count(F.lit(1)).alias("_asked"))
+    offered = candidates.groupBy(within).agg(F.count(F.lit(1)).alias("_offered"))
+    few = F.col("_asked") * F.col("_offered") <= FEW_PAIRS
+    groups = asked.join(offered, within).select(within, few.alias("_few"))
+    queries, candidates = (side.join(groups, within) for side in (queries, candidates))
+    pairs = queries.filter("_few").drop("_few").join(candidates.filter("_few").drop("_few"), within)
+    score = getattr(similarity, f"{scorer}_udf")
+    scored = pairs.withColumn("score", score("query", "candidate")).filter(F.col("score") >= cutoff)
+    columns = ["query", "candidate", "score", "candidate_order"]
+    scored = scored.select(F.col(within).cast("string").alias(within), *columns)
+    keyed = _by_keys(queries.filter("NOT _few"), candidates.filter("NOT _few"), scorer, cutoff, within, keep_all)
+    return scored.unionByName(keyed.select(within, *columns))
+
+
 def _search(queries, candidates, scorer, cutoff, within, keep_all):
-    if scorer in ("token_sort", "token_set"):
+    if scorer in ("ratio", "token_sort", "token_set"):
+        if within is not None:
+            return _in_groups(queries, candidates, scorer, cutoff, within, keep_all)
         return _by_keys(queries, candidates, scorer, cutoff, within, keep_all)
     if within is not None:
         raise ValueError("names are not searched within keys")

@@ -176,6 +176,7 @@ def test_sets_of_tokens_within_a_vendor_with_a_third_of_all_rows(spark, monkeypa
     monkeypatch.setattr(bm, "QUERY_BLOCK", 10)
     monkeypatch.setattr(bm, "CANDIDATE_BLOCK", 8)
     monkeypatch.setattr(bm, "TASK_ROWS", 400)
+    monkeypatch.setattr(bm, "FEW_PAIRS", 40)
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 9))) for _ in range(40)]
 
@@ -204,6 +205,7 @@ def test_a_text_is_sent_as_often_whatever_the_other_side_holds():
 def test_grid_search_within_keys(spark, monkeypatch):
     monkeypatch.setattr(bm, "QUERY_BLOCK", 5)
     monkeypatch.setattr(bm, "CANDIDATE_BLOCK", 5)
+    monkeypatch.setattr(bm, "FEW_PAIRS", 20)
     rng = random.Random(5)
 
     def word():
