@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,29 +91,66 @@ def _header_cells(line: str) -> list[str]:
     return [cell.strip() for cell in next(csv.reader([line.lstrip("\ufeff")]), [])]
 
 
+def _place(block: str, line: str) -> Column:
+    """Where a row stands: a text that sorts as rows follow in their file."""
+    return F.concat_ws("|", "path", F.lpad(F.col(block).cast("string"), 20, "0"), F.lpad(F.col(line).cast("string"), 20, "0"))
+
+
+def whole_records(lines: DataFrame) -> DataFrame:
+    """``(path, block, line, text)`` lines -> ``(path, block, line, text)`` records, joined where a quoted cell holds line breaks.
+
+    A line begins a record if an even number of quotes stands before it in its file. Splits of a file are counted by themselves; how many
+    quotes stand before a split is a running sum over the splits of its file, and so is the record that a split's first lines go on with.
+    So a file is read by as many tasks as it has splits. The header, the first record of a file, is left out.
+    """
+    odd = F.pmod(F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit(""))), F.lit(2))
+    lines = lines.withColumn("odd", odd)
+    within = Window.partitionBy("path", "block").orderBy("line")
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy("path", "block").agg(F.sum("odd").alias("odd")).select(
+        "path", "block", F.pmod(F.coalesce(F.sum("odd").over(before), F.lit(0)), F.lit(2)).alias("inside")
+    )
+    placed = lines.join(splits, ["path", "block"]).withColumn("begins", F.pmod(F.col("inside") + F.coalesce(F.sum("odd").over(earlier), F.lit(0)), F.lit(2)) == 0)
+    own = F.struct("block", "line")
+    carried = placed.groupBy("path", "block").agg(F.max(F.when(F.col("begins"), own)).alias("last")).select(
+        "path", "block", F.last("last", ignorenulls=True).over(before).alias("carried")
+    )
+    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owned = placed.join(carried, ["path", "block"]).withColumn(
+        "record", F.coalesce(F.last(F.when(F.col("begins"), own), ignorenulls=True).over(so_far), F.col("carried"))
+    )
+    first = (F.col("record.block") == 0) & (F.col("record.line") == F.min("record.line").over(Window.partitionBy("path", "record.block")))
+    owned = owned.withColumn("is_header", first).filter(~F.col("is_header"))
+    alone = F.col("begins") & (F.col("odd") == 0)
+    single = owned.filter(alone).select("path", "block", "line", "text")
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("block", "line", "text"))), lambda p: p["text"])
+    joined = owned.filter(~alone).groupBy("path", "record").agg(F.array_join(pieces, "\n").alias("text"))
+    return single.unionByName(joined.select("path", "record.block", "record.line", "text"))
+
+
 def read_timesheet_csv(
     spark: SparkSession, paths: list[str], header: list[str], encoding: str = "utf-8", torn: bool = False
 ) -> DataFrame:
     """Files of one header, every known column as text; only an empty cell is null, so a literal ``NA`` survives.
 
-    Quotes inside a cell are doubled. ``torn`` files are read whole by one task each, as their cells may hold line breaks.
-    Of columns with the same name the first counts. ``row_order`` is a text that sorts rows as they stand in their file.
+    Quotes inside a cell are doubled. Cells of ``torn`` files may hold line breaks; their records are put together first
+    (``whole_records``). Of columns with the same name the first counts. ``row_order`` is a text that sorts rows as they stand in their file.
     """
     schema = T.StructType([T.StructField(f"cell_{i}", T.StringType()) for i in range(len(header))])
-    reader = (
-        spark.read.schema(schema).option("header", True).option("encoding", "utf-8" if encoding == "utf-8" else "iso-8859-1")
-        .option("nullValue", "").option("emptyValue", "").option("escape", '"').option("multiLine", torn)
-    )
-    order = F.concat_ws(
-        "|",
-        F.col("_metadata.file_path"),
-        F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
-        F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"),
-    )
     cells = {name: F.col(f"cell_{i}") for i, name in reversed(list(enumerate(header))) if name in EXPORT_COLUMNS}
     if encoding == "cp1252":
         cells = {name: F.translate(cell, _LATIN_BLOCK, _WINDOWS_BLOCK) for name, cell in cells.items()}
-    return reader.csv(paths).select(*[cell.alias(name) for name, cell in cells.items()], order.alias("row_order"))
+    options = {"nullValue": "", "emptyValue": "", "escape": '"'}
+    place = [F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")]
+    if torn:
+        text = F.col("value") if encoding == "utf-8" else F.decode(F.col("value").cast("binary"), "iso-8859-1")
+        records = whole_records(spark.read.text(paths).select(*place, text.alias("text"))).filter(F.trim("text") != "")
+        rows = records.select("path", "block", "line", F.from_csv("text", schema.simpleString()[7:-1].replace(":", " "), options).alias("row")).select("path", "block", "line", "row.*")
+    else:
+        reader = spark.read.schema(schema).option("header", True).option("encoding", "utf-8" if encoding == "utf-8" else "iso-8859-1")
+        rows = reader.options(**options).csv(paths).select("*", *place)
+    return rows.select(*[cell.alias(name) for name, cell in cells.items()], _place("block", "line").alias("row_order"))
 
 
 def read_timesheet_folder(spark: SparkSession, path: str) -> DataFrame:

@@ -100,3 +100,43 @@ def test_nested_payload(spark, tmp_path):
     assert [(r.investment_id, r.hours) for r in rows] == [("PR1", 8.0)]
     none = files.flatten_payload(files.period_pushdown(payload, known, "2026-05-12", None))
     assert none.count() == 0 and len(none.columns) == 12
+
+
+def test_a_torn_file_in_several_tasks_equals_the_whole_reading(spark, tmp_path):
+    """Line breaks, doubled quotes and commas in cells, over many splits; cells of several splits; an open quote at the end; Windows text."""
+    import csv
+    import random
+
+    rng = random.Random(5)
+    header = list(files.REQUIRED) + ["Task Name"]
+
+    def cell(i):
+        odd = rng.random()
+        if odd < 0.15:
+            return "\n".join(rng.choice(["a", '"q"', ",", "é", ""]) for _ in range(rng.randrange(2, 6)))
+        return '5" pipe' if odd < 0.2 else f"cell {i}" if odd < 0.9 else ""
+
+    def content(n, long):
+        rows = [[f"Person {i}", "2024-01-02", f"P{i}", "1.0", cell(i)] for i in range(n)]
+        rows[n // 2][4] = "x\n" * long + "y"
+        return rows
+
+    made = {"utf-8": content(400, 3000), "cp1252": content(300, 1)}
+    for encoding, rows in made.items():
+        with open(tmp_path / f"{encoding}.csv", "w", newline="", encoding=encoding) as file:
+            writer = csv.writer(file, lineterminator="\n")
+            writer.writerow(header)
+            writer.writerows(rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for encoding, rows in made.items():
+            got = files.read_timesheet_csv(spark, [str(tmp_path / f"{encoding}.csv")], header, encoding, torn=True)
+            assert spark.read.text(str(tmp_path / f"{encoding}.csv")).rdd.getNumPartitions() > 3
+            seen = [(r["Resource Name"], r["Task Name"]) for r in got.orderBy("row_order").collect()]
+            assert seen == [(r[0], r[4] or None) for r in rows]
+        whole = sorted((r["resource_name"], r["task_name"] or "") for r in files.read_timesheet_folder(spark, str(tmp_path)).collect())
+        assert whole == sorted((r[0], r[4]) for rows in made.values() for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
