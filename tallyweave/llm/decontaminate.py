@@ -2,8 +2,9 @@
 
 Texts and items are lower-cased in A-Z, and every run of other bytes than letters, digits and non-ASCII becomes one blank. All
 windows of the items, with blanks around them, are the patterns of one automaton; a text is scanned once, and matches are mapped
-back to its words and to byte offsets in the original. The automaton is built from a benchmark slice of bounded size; a larger
-benchmark is scanned slice by slice, each task gathering the hits of all slices.
+back to its words and to byte offsets in the original. A benchmark of up to ``SLICE_BYTES`` is one automaton, whose text is broadcast. A larger
+one is cut into slices of that size: blocks of documents and slices are dealt to tasks pair by pair, each of which builds one slice's
+automaton, and the hits of a document's slices meet again. Neither the driver nor any task holds more than a slice.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from tallyweave.llm import common as C
 
 #: Bytes of benchmark text in one automaton.
 SLICE_BYTES = 4 << 20
-#: Bytes of documents that are scanned before the next slice's automaton is taken.
+#: Bytes of documents that meet one slice in a task.
 SCAN_BYTES = 32 << 20
+HITS = "row long, spans array<struct<start:long,stop:long>>, items array<string>"
+HITS_ARROW = pa.schema([("row", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.string()))])
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, spans array<struct<start:long,length:long>>"
 SPAN = pa.struct([("start", pa.int64()), ("length", pa.int64())])
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("items_sha256", pa.string()), ("spans", pa.list_(SPAN))])
@@ -87,62 +90,92 @@ def find_benchmark_text(docs: DataFrame, benchmark: DataFrame, width: int = 10,
     runs of the original text from the first to the last hit word of a run). Null texts have no words; items without an id take no part. Every row has a
     result of its own, so repeated rows repeat. The columns named in ``keep`` follow; others are ignored.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     n_slices = max(1, math.ceil(C.text_bytes(items) / slice_bytes))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n_slices))
-    shared = []
-    for k in range(n_slices):
-        rows = items.where(part == k).select("item", F.col("text").cast("binary").alias("text")).collect()
-        shared.append((uuid.uuid4().hex, spark.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in rows])))
-
-    def automata():
-        for name, slice_of in shared:
-            if name not in _BUILT:
-                if len(shared) > 1 or len(_BUILT) > 4:
-                    _BUILT.clear()
-                _BUILT[name] = _automaton(slice_of.value, width)
-            if _BUILT[name] is not None:
-                yield _BUILT[name]
-
     carried = [f"keep_{i}" for i in range(len(keep))]
     source = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, carried, strict=True)))
     result = StructType([*StructType.fromDDL(RESULT).fields, *(source.schema[k] for k in carried)])
+    found = _by_one_automaton(source, items, width, result, carried) if n_slices == 1 else _by_slices(source, items, width, n_slices, result, carried)
+    return found.withColumnsRenamed(dict(zip(carried, keep, strict=True)))
+
+
+def _result(held: pa.Table, texts: list[bytes], hits: list[tuple[list[tuple[int, int]], set[str]]], carried: list[str]) -> pa.Table:
+    rows = []
+    for doc_id, text, (spans, found) in zip(held.column("doc_id").to_pylist(), texts, hits, strict=True):
+        n_words, n_hit, runs = len(normal(text)), 0, []
+        if spans:
+            edge = np.zeros(n_words + 1, np.int64)
+            for a, b in spans:
+                edge[a] += 1
+                edge[b] -= 1
+            hit = np.cumsum(edge)[:-1] > 0
+            n_hit = int(hit.sum())
+            begin, end = _byte_words(text)
+            change = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+            runs = [{"start": int(begin[a]), "length": int(end[b - 1] - begin[a])} for a, b in zip(change[::2], change[1::2], strict=True)]
+        names = sorted(found)
+        rows.append((doc_id, n_words, n_hit, len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), runs))
+    out = pa.Table.from_pylist([dict(zip(RESULT_ARROW.names, r, strict=True)) for r in rows], schema=RESULT_ARROW)
+    for name in carried:
+        out = out.append_column(name, held.column(name))
+    return out
+
+
+def _texts(table: pa.Table | pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _by_one_automaton(source: DataFrame, items: DataFrame, width: int, result: StructType, carried: list[str]) -> DataFrame:
+    # At most SLICE_BYTES of text: the caller has checked it.
+    rows = items.select("item", F.col("text").cast("binary").alias("text")).collect()
+    name, sent = uuid.uuid4().hex, source.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["text"])) for r in rows])
+
+    def run(batches):
+        if name not in _BUILT:
+            _BUILT.clear()
+            _BUILT[name] = _automaton(sent.value, width)
+        for batch in C.small(batches):
+            texts = _texts(batch)
+            hits = [([], set()) for _ in texts]
+            if _BUILT[name] is not None:
+                _scan(texts, hits, _BUILT[name])
+            yield from _result(pa.Table.from_batches([batch]), texts, hits, carried).to_batches()
 
-    def judged(held: pa.Table) -> pa.Table:
-        ids, texts = held.column("doc_id").to_pylist(), [t or b"" for t in held.column("text").cast(pa.binary()).to_pylist()]
-        hits = [([], set()) for _ in texts]
-        for automaton in automata():
-            _scan(texts, hits, automaton)
+    return source.mapInArrow(C.giving_back(run), result)
+
+
+def _by_slices(source: DataFrame, items: DataFrame, width: int, n_slices: int, result: StructType, carried: list[str]) -> DataFrame:
+    source = C.stored(source.withColumn("row", F.monotonically_increasing_id()), "benchmark-texts")
+    n_blocks = max(1, math.ceil(C.text_bytes(source) / SCAN_BYTES))
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    texts = source.select("row", "text", F.pmod(F.xxhash64("row"), F.lit(n_blocks)).cast("int").alias("block"), every(n_slices).alias("slice"))
+    slices = items.select("item", "text", F.pmod(F.xxhash64("item", "text"), F.lit(n_slices)).cast("int").alias("slice"), every(n_blocks).alias("block"))
+
+    def scan(docs: pa.Table, of: pa.Table) -> pa.Table:
+        pairs = list(zip(of.column("item").to_pylist(), _texts(of), strict=True))
+        automaton = _automaton(pairs, width) if docs.num_rows else None
         rows = []
-        for doc_id, text, (spans, found) in zip(ids, texts, hits, strict=True):
-            n_words, n_hit, runs = len(normal(text)), 0, []
-            if spans:
-                edge = np.zeros(n_words + 1, np.int64)
-                for a, b in spans:
-                    edge[a] += 1
-                    edge[b] -= 1
-                hit = np.cumsum(edge)[:-1] > 0
-                n_hit = int(hit.sum())
-                begin, end = _byte_words(text)
-                change = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-                runs = [{"start": int(begin[a]), "length": int(end[b - 1] - begin[a])} for a, b in zip(change[::2], change[1::2], strict=True)]
-            names = sorted(found)
-            rows.append((doc_id, n_words, n_hit, len(names), names, hashlib.sha256(",".join(names).encode()).hexdigest(), runs))
-        out = pa.Table.from_pylist([dict(zip(RESULT_ARROW.names, r, strict=True)) for r in rows], schema=RESULT_ARROW)
-        for name in carried:
-            out = out.append_column(name, held.column(name))
-        return out
+        for batch in C.small(docs.to_batches()) if automaton is not None else ():
+            batch_texts = _texts(batch)
+            hits = [([], set()) for _ in batch_texts]
+            _scan(batch_texts, hits, automaton)
+            rows += [
+                {"row": row, "spans": [{"start": a, "stop": b} for a, b in spans], "items": sorted(found)}
+                for row, (spans, found) in zip(batch.column("row").to_pylist(), hits, strict=True) if spans
+            ]
+        return pa.Table.from_pylist(rows, schema=HITS_ARROW)
+
+    cell = ("block", "slice")
+    hits = texts.groupBy(*cell).cogroup(slices.groupBy(*cell)).applyInArrow(scan, HITS)
+    # One row of a document from each slice that has windows in it.
+    merged = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
     def run(batches):
-        held, size = [], 0
         for batch in C.small(batches):
-            held.append(batch)
-            size += batch.nbytes
-            if len(shared) == 1 or size >= SCAN_BYTES:
-                yield from judged(pa.Table.from_batches(held)).to_batches()
-                held, size = [], 0
-        if held:
-            yield from judged(pa.Table.from_batches(held)).to_batches()
-
-    return source.mapInArrow(C.giving_back(run), result).withColumnsRenamed(dict(zip(carried, keep, strict=True)))
+            found = [([(s["start"], s["stop"]) for s in spans or []], set(items or [])) for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)]
+            yield from _result(pa.Table.from_batches([batch]), _texts(batch), found, carried).to_batches()
+
+    return source.join(merged, "row", "left").drop("row").mapInArrow(C.giving_back(run), result)
