@@ -23,6 +23,8 @@ from tallyweave.llm import common as C
 
 #: Labelled texts that the classifier is fitted on, copies left out before.
 SAMPLE = 12_000
+#: Rows of two numbers that are sent to every executor.
+BROADCAST_ROWS = 1_000_000
 #: Rounds of the estimate over labelled texts and then over all; groups in which the sums of tasks meet.
 ROUNDS, LAST_ROUNDS, MERGES = 20, 2, 8
 SLOT_BITS = 20
@@ -171,13 +173,21 @@ def _copy_key(slots: np.ndarray) -> int:
     return int(key.view(np.int64)[0])
 
 
+def _joinable(df: DataFrame) -> DataFrame:
+    """Sent to every executor if it has few rows (of a few numbers each); else the join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _examples(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame:
     """(toxic, key, slots, patterns) of every labelled training text, of copies and near copies with one label the first."""
     marked = labels.where(training & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marked = C.stored(marked.where("doc_id IS NOT NULL"), "toxicity-labels")
     given = docs.select("doc_id", "text").where("text IS NOT NULL AND doc_id IS NOT NULL")
-    # Only texts that may have a label are shuffled.
-    bits = bloom.filter_of(marked.select("doc_id"), "doc_id")
-    texts = bloom.split(given, F.col("doc_id"), bits)[0].join(marked, "doc_id").select("toxic", "text")
+    side = _joinable(marked)
+    if side is marked:
+        # Only texts that may have a label are shuffled.
+        given = bloom.split(given, F.col("doc_id"), bloom.filter_of(marked.select("doc_id"), "doc_id"))[0]
+    texts = given.join(side, "doc_id").select("toxic", "text", F.monotonically_increasing_id().alias("row"))
 
     def extract(batches):
         for batch in C.small(batches):
@@ -186,13 +196,13 @@ def _examples(docs: DataFrame, labels: DataFrame, training: Column) -> DataFrame
             rows = [slot[a:b].astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             keys = pa.array([_copy_key(r) for r in rows], pa.int64())
             votes = pa.array([np.packbits(p).tobytes() for p in patterns], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), keys, pa.array([r.tobytes() for r in rows], pa.binary()), votes], names=["toxic", "key", "slots", "patterns"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), keys, batch.column("row"), pa.array([r.tobytes() for r in rows], pa.binary()), votes], names=["toxic", "key", "row", "slots", "patterns"])
 
-    found = C.stored(texts.mapInArrow(C.giving_back(extract), "toxic int, key long, slots binary, patterns binary"), "toxicity-texts")
-    # The least of near copies, so that the order in which rows arrive does not matter; the rows that stay are told by hash.
-    first = found.groupBy("toxic", "key").agg(F.min(F.xxhash64("slots", "patterns")).alias("least"))
-    kept = found.join(first, ["toxic", "key"]).where(F.xxhash64("slots", "patterns") == F.col("least"))
-    return C.stored(kept.dropDuplicates(["toxic", "key"]).select("toxic", "key", "slots", "patterns"), "toxicity-examples")
+    found = C.stored(texts.mapInArrow(C.giving_back(extract), "toxic int, key long, row long, slots binary, patterns binary"), "toxicity-texts")
+    # Of near copies the one with the least hash, so that the order in which rows arrive does not matter; of equal ones any.
+    first = found.groupBy("toxic", "key").agg(F.min(F.struct(F.xxhash64("slots", "patterns").alias("hash"), "row")).alias("least"))
+    first = C.stored(first.select(F.col("least.row").alias("row")), "toxicity-first")
+    return found.join(_joinable(first), "row").select("toxic", "key", "slots", "patterns")
 
 
 def _slot_counts(examples: DataFrame) -> tuple[np.ndarray, np.ndarray]:
