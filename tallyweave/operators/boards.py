@@ -35,11 +35,15 @@ def history(invoices: DataFrame, invoice_type: str) -> DataFrame:
     return invoices.filter(F.col("invoice_type") == invoice_type).orderBy(F.desc("created_at"), F.desc("id"))
 
 
+def search_fields() -> list[Column]:
+    """What a search of invoices looks in."""
+    return [F.coalesce("vendor_name", F.lit("")), F.coalesce("invoice_number", F.lit("")), F.col("id").cast("string")]
+
+
 def matches_search(text: str) -> Column:
     """Case-insensitive substring of the vendor, the invoice number or the id."""
     wanted = text.strip().lower()
-    fields = [F.coalesce("vendor_name", F.lit("")), F.coalesce("invoice_number", F.lit("")), F.col("id").cast("string")]
-    return any_of([F.contains(F.lower(f), F.lit(wanted)) for f in fields]) if wanted else F.lit(True)
+    return any_of([F.contains(F.lower(f), F.lit(wanted)) for f in search_fields()]) if wanted else F.lit(True)
 
 
 def search_timesheets(timesheets: DataFrame, text: str | None = None, limit: int | None = 50) -> DataFrame:

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import money
 from tallyweave.functions.coding import Company, Policy
-from tallyweave.operators import accounting, boards, report
+from tallyweave.operators import accounting, boards, report, search
 from tallyweave.operators.scale import top_and_rest
 from tallyweave.plans.oracle_views import COUNTED, ORACLE_VIEWS, day_text, exact_cents
 from tallyweave.plans.registry import query
+from tallyweave.plans.timesheet_queries import fresh_folder
+from tallyweave.session import cut_lineage
 
 POLICY = Policy(
     companies=(
@@ -283,24 +285,56 @@ def flt_nonzero(d):
     return report.chart_rows(full_report(d))
 
 
-@query("snk_report_json", f"""
-    SELECT t.combined_spend, t.invoice_count, (SELECT count(*) FROM vendor_top) AS vendors,
-           (SELECT count(*) FROM project_top) AS projects, (SELECT count(*) FROM ({_TREND_SQL})) AS months,
-           (SELECT max(amount) FROM class_spend) AS largest_class, (SELECT vendor FROM vendor_top WHERE rank = 1) AS first_vendor
-    FROM ({_TOTALS_SQL}) t""")
+# Every part of the report document: its fields with their types, and the statement that checks it.
+_METHODS = "SELECT method, count(*) AS invoices FROM spend_invoices WHERE method <> '' GROUP BY ALL"
+_PARTS = {
+    "totals": (
+        "combined_spend double, contractor_spend double, other_spend double, invoice_count long, contractor_invoice_count long, other_invoice_count long, avg_parse_confidence double",
+        _TOTALS_SQL,
+    ),
+    "status_counts": ("status string, invoices long", "SELECT status, count(*) AS invoices FROM spend_invoices GROUP BY ALL"),
+    "method_counts": ("method string, invoices long", _METHODS),
+    "capex_opex": ("expense_class string, amount double, pct double", "SELECT * FROM class_spend"),
+    "by_company": ("company string, spend double, company_code string, cost_center string", "SELECT * FROM company_spend"),
+    "by_cost_center": ("cost_center string, spend double", "SELECT * FROM center_spend"),
+    "by_vendor": ("rank int, vendor string, spend double, invoice_count long, type string", "SELECT * FROM vendor_top"),
+    "by_project": ("rank int, project string, spend double, is_rest boolean", "SELECT * FROM project_top"),
+    "monthly_trend": ("month string, contractor_spend double, other_spend double, invoice_count long", _TREND_SQL),
+}
+
+
+def _fields(part):
+    return [tuple(f.split()) for f in _PARTS[part][0].split(", ")]
+
+
+def _part_sql(part):
+    cells = [
+        f"coalesce(CAST({f'CAST(round({name}, 2) AS DECIMAL(28, 2))' if kind == 'double' else name} AS VARCHAR), '')" for name, kind in _fields(part)
+    ]
+    order = _fields(part)[0][0]
+    return f"SELECT '{part}' AS part, row_number() OVER (ORDER BY {order}) AS place, {" || '|' || ".join(cells)} AS cells FROM ({_PARTS[part][1]}) {part}_rows"
+
+
+@query("snk_report_json", " UNION ALL ".join(_part_sql(part) for part in _PARTS))
 def snk_report_json(d):
-    document = report.report_document(full_report(d))
-    shape = (
-        "totals struct<combined_spend: double, invoice_count: long>, by_vendor array<struct<rank: int, vendor: string>>, "
-        "by_project array<struct<rank: int>>, monthly_trend array<struct<month: string>>, "
-        "capex_opex array<struct<expense_class: string, amount: double>>"
-    )
-    return document.select(F.from_json("report", shape).alias("r")).select(
-        "r.totals.combined_spend", "r.totals.invoice_count", F.size("r.by_vendor").alias("vendors"),
-        F.size("r.by_project").alias("projects"), F.size("r.monthly_trend").alias("months"),
-        F.array_max(F.transform("r.capex_opex", lambda c: c["amount"])).alias("largest_class"),
-        F.get(F.transform(F.filter("r.by_vendor", lambda v: v["rank"] == 1), lambda v: v["vendor"]), F.lit(0)).alias("first_vendor"),
-    )
+    """The whole document read back: every row of every part, in its place."""
+    # One row; its parts are taken from it, not computed again.
+    document = cut_lineage(report.report_document(full_report(d)))
+    shape = ", ".join(f"{part} {'struct<{}>' if part == 'totals' else 'array<struct<{}>>'}".format(", ".join(f"{n}: {k.replace('long', 'bigint')}" for n, k in _fields(part))) for part in _PARTS)
+    parsed = document.select(F.from_json("report", shape).alias("r"))
+
+    def cells(part):
+        rows = parsed.select(F.posexplode(F.array("r.totals") if part == "totals" else F.col(f"r.{part}")).alias("place", "row"))
+        texts = []
+        for name, kind in _fields(part):
+            value = F.round(f"row.{name}", 2).cast("decimal(28,2)") if kind == "double" else F.col(f"row.{name}")
+            texts.append(F.coalesce(value.cast("string"), F.lit("")))
+        return rows.select(F.lit(part).alias("part"), (F.col("place") + 1).alias("place"), F.concat_ws("|", *texts).alias("cells"))
+
+    whole = None
+    for part in _PARTS:
+        whole = cells(part) if whole is None else whole.unionByName(cells(part))
+    return whole
 
 
 # --- boards -----------------------------------------------------------------------------------------
@@ -337,16 +371,25 @@ def flt_history(d):
     UNION ALL SELECT id FROM spend_invoices WHERE contains(lower(coalesce(vendor_name, '')), '99')
         OR contains(lower(coalesce(invoice_number, '')), '99') OR contains(CAST(id AS VARCHAR), '99')""")
 def flt_search(d):
+    """Once through the stored index, once by a text that is too short for it."""
     invoices = d.spend_invoices()
-    by_vendor = invoices.filter(boards.matches_search(" MER 12"))
-    return by_vendor.select("id").unionByName(invoices.filter(boards.matches_search("99")).select("id"))
+    index = search.SearchIndex(d.spark, f"{fresh_folder(d)}/index")
+    index.write(invoices, "id", boards.search_fields())
+    by_vendor = index.find(invoices, "id", boards.search_fields(), " MER 12")
+    return by_vendor.select("id").unionByName(index.find(invoices, "id", boards.search_fields(), "99").select("id"))
 
 
 @query("flt_timesheet_search", f"""
     SELECT contractor_name, {day_text('date_worked')} AS date_worked, hours, source_row_hash FROM timesheets
     WHERE contains(contractor_name_normalized, 'ran') ORDER BY contractor_name, entry_order""")
 def flt_timesheet_search(d):
-    return boards.search_timesheets(d.timesheets(), "RAN", None).select("contractor_name", "date_worked", "hours", "source_row_hash")
+    """People are indexed, once each; their entries follow."""
+    people = d.timesheets().select("contractor_name_normalized").filter("contractor_name_normalized is not null").distinct()
+    index = search.SearchIndex(d.spark, f"{fresh_folder(d)}/index")
+    index.write(people, "contractor_name_normalized", [F.col("contractor_name_normalized")])
+    found = index.find(people, "contractor_name_normalized", [F.col("contractor_name_normalized")], "RAN")
+    entries = d.timesheets().join(found, "contractor_name_normalized", "left_semi")
+    return boards.search_timesheets(entries, None, None).select("contractor_name", "date_worked", "hours", "source_row_hash")
 
 
 @query("rank_limit", """
