@@ -32,7 +32,7 @@ SORTED_BYTES = 1 << 19
 PART_RUNS = 4096
 #: A byte that UTF-8 text doesn't have.
 STOP = 0xFF
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 ASK = "block long, bucket long, anchors binary, counts binary"
 ASK_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("counts", pa.binary())])
@@ -375,13 +375,17 @@ def remove_repeated_strings(docs: DataFrame, window: int = 100, anchor: int | No
     def number(block: pa.Table) -> int:
         return block.column("block")[0].as_py()
 
-    asked = blocks.groupBy("block").applyInArrow(lambda b: _ask(_Runs(b, window, anchor), number(b), bits, n_buckets), ASK).repartition(n_buckets, "bucket")
+    def lean(made: pa.Table) -> pa.Table:
+        C.give_back()
+        return made
+
+    asked = blocks.groupBy("block").applyInArrow(lambda b: lean(_ask(_Runs(b, window, anchor), number(b), bits, n_buckets)), ASK).repartition(n_buckets, "bucket")
     answers = asked.groupBy("bucket").applyInArrow(lambda m: _answer(m, part_runs), ASK).repartition(n, "block")
     strings = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        lambda b, m: _strings(_Runs(b, window, anchor), number(b), m, bits, n_buckets, window, n_shards), STRING
+        lambda b, m: lean(_strings(_Runs(b, window, anchor), number(b), m, bits, n_buckets, window, n_shards)), STRING
     ).repartition(n_shards, "shard")
     found = strings.groupBy("shard").applyInArrow(lambda s: _solve(s, window, n_buckets), FOUND).repartition(n_buckets, "bucket")
     spans = found.groupBy("bucket").applyInArrow(_meet, FOUND).repartition(n, "block")
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(
-        lambda b, m: _results(b, m, window, carried), result
+        lambda b, m: lean(_results(b, m, window, carried)), result
     ).withColumnsRenamed(dict(zip(carried, keep, strict=True)))
