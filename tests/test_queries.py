@@ -19,6 +19,7 @@ SAMPLE = [
     "agg_timesheet_canonical", "join_resolve_tiers", "agg_invoice_status", "agg_mismatch_reasons", "agg_capex_opex", "agg_by_project_top",
     "snk_purchase_rows", "join_supplier_number", "join_budget_route", "txt_header", "txt_lines_period_blocks", "txt_other_words",
     "txt_template_apply", "stream_timesheet_upsert", "stream_invoice_match",
+    "txt_parse_contractor", "txt_parse_service", "snk_bulk_export", "snk_report_json", "rank_board_sort", "flt_search", "agg_person_detail",
 ]
 needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
 
