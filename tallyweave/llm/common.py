@@ -56,6 +56,16 @@ def release(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Texts that go from Spark to Python at a time: the default of 10,000 makes batches of tens of MB that executors keep room for.
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batches between Spark and Python to BATCH_ROWS rows."""
+    if int(spark.conf.get(BATCH_SETTING)) > BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def fold(doc_id: Column | str, modulo: int) -> Column:
     """crc32 of the id as text, modulo ``modulo``; a null id counts as the empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -363,6 +363,7 @@ def remove_repeated_strings(docs: DataFrame, window: int = 100, anchor: int | No
     if not 1 <= anchor <= window:
         raise ValueError("an anchor is no longer than the window")
     spark = docs.sparkSession
+    C.small_batches(spark)
     carried = [f"keep_{i}" for i in range(len(keep))]
     source = docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, carried, strict=True)))
     total = C.text_bytes(source)
