@@ -195,3 +195,16 @@ def test_hours_that_cancel_out_leave_a_span_unresolved(spark):
     linked = spark.createDataFrame([("a b", day, day, 100.0)], "resolved string, span_start date, span_end date, weight double")
     rows = accounting.allocate_labels(linked, sheets).collect()
     assert [(r["project"], float(r["spend"])) for r in rows] == [("Unresolved", 100.0)]
+
+
+def test_lines_are_read_once_for_spans_and_for_report_parts(spark, seed, tmp_path):
+    sheets, invoices, lines, projects, companies = seed
+    lines.write.parquet(f"{tmp_path}/billed")
+    stored = spark.read.parquet(f"{tmp_path}/billed")
+    whole = report.spend_report(invoices, stored, sheets, projects, companies, POLICY)
+    # What follows the written sums knows nothing of the lines.
+    for bucket in (whole.capex_opex, whole.by_company, whole.by_cost_center, whole.by_project):
+        assert not bucket.inputFiles()
+    assert {r.expense_class: r.amount for r in whole.capex_opex.collect()} == {"CAPEX": 1300.0, "OPEX": 500.0, "vendor_stated_opex": 200.0}
+    spread = accounting.allocate_labels(accounting.linked_lines(invoices, stored, sheets, projects), sheets)
+    assert not spread.inputFiles() and sum(r.spend for r in spread.collect()) == 1700
