@@ -222,3 +222,24 @@ def test_grid_search_within_keys(spark, monkeypatch):
         if scored and -scored[0][0] >= 60:
             expected[(k, q)] = scored[0][1]
     assert got == expected
+
+
+def test_alike_names_meet_in_a_bounded_grid(spark, monkeypatch):
+    """Names that share nearly every key are not met key by key; long, empty and repeated characters are bounded as well."""
+    monkeypatch.setattr(bm, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(bm, "CANDIDATE_BLOCK", 30)
+    monkeypatch.setattr(bm, "CHARACTER_BITS", 64)
+    monkeypatch.setattr(bm, "_keyed_search", lambda *_: pytest.fail("met by keys"))
+    rng = random.Random(5)
+
+    def name():
+        return "".join(rng.choice(["bal", "ran", "zar", "ton"]) for _ in range(rng.randint(2, 5))) + rng.choice([" inc technologies", " llc solutions", " x" * 50])
+
+    queries, candidates = sorted({name() for _ in range(60)} | {""}), sorted({name() for _ in range(80)} | {""})
+    asked = spark.createDataFrame([(q,) for q in queries], "query string")
+    offered = spark.createDataFrame([(c, f"{i:04}") for i, c in enumerate(candidates)], "candidate string, candidate_order string")
+    got = {r.query: (r.candidate, r.score) for r in bm.best_match(asked, offered, "token_sort", 88.0).collect()}
+    scores = {q: [similarity.token_sort(q, c) for c in candidates] for q in queries}
+    assert got == {q: (candidates[s.index(max(s))], max(s)) for q, s in scores.items() if max(s) >= 88}
+    rows = [(r.query, r.candidate) for r in bm.all_matches(asked, offered, "ratio", 80.0).collect()]
+    assert sorted(rows) == sorted((q, c) for q in queries for c in candidates if similarity.ratio(q, c) >= 80)
