@@ -170,3 +170,14 @@ def test_a_header_row_far_down_is_found(spark):
     assert [(r.contractor_name, r.hours, r.amount) for r in people] == [("Balran Zarton", 8.0, 80.0)]
     services = service_rows(grid(("Description", "Quantity", "Unit Price", "Amount"), ("Hosting", "2", "5.00", "10.00"))).collect()
     assert [(r.description, r.amount) for r in services] == [("Hosting", 10.0)]
+
+
+def test_names_are_cut_without_patterns_compiled_per_row(column, monkeypatch):
+    """Particles in capitals, initials, dots and words that are no names; ``split`` gets single characters only."""
+    texts = ["VAN Der Berg", "Maria DE Souza", "Piet VAN DER Berg - Lead", "J. Smith .Dev.", "x \u0001Balran Zarton\u0001", "One Two Three Four Five", "DE la Cruz Ana 2026", None]
+    expected = [None, "Maria de Souza", "Piet van der Berg", "J. Smith .Dev.", "Balran Zarton", None, "Cruz Ana", None]
+    assert column(documents.best_name, texts) == expected
+    split, seen = F.split, []
+    monkeypatch.setattr(documents.F, "split", lambda text, pattern, *more: seen.append(pattern) or split(text, pattern, *more))
+    documents.person_name(F.col("text"))
+    assert seen and all(len(pattern) == 1 for pattern in seen)
