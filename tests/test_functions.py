@@ -181,3 +181,20 @@ def test_names_are_cut_without_patterns_compiled_per_row(column, monkeypatch):
     monkeypatch.setattr(documents.F, "split", lambda text, pattern, *more: seen.append(pattern) or split(text, pattern, *more))
     documents.person_name(F.col("text"))
     assert seen and all(len(pattern) == 1 for pattern in seen)
+
+
+def test_plain_numbers_read_like_any_other(column):
+    texts = ["7", "007.50", "1,234.50", "12,34,5.0", "1,234", "1,23", "1.234,56", "1.2.3", "5.", ".5", "5\n", "9" * 30, "1,,2.0", "$1,234.50", " 1,234.50", "1 234.50", "", None, "x"]
+    got = column(money.clean_number, texts)
+    # A sign in front is taken away, so the second reading never is the plain one.
+    signed = column(lambda c: money.clean_number(F.concat(F.lit("$"), c)), texts)
+    assert got == signed and got[:5] == [7.0, 7.5, 1234.5, 12345.0, 1234.0]
+
+
+def test_labels_that_all_begin_a_word_find_what_each_finds(column):
+    from tallyweave.functions import lines
+
+    options = ("Sub total", "tax", "a/c #", "2nd notice")
+    texts = ["SUBTOTAL 3", "pretax", "tax", "sub  total:", "x tax.", "A/C # 7", "no", "", None, "22nd notice", "the 2nd NOTICE", "taxes"]
+    each = [column(lambda c, o=o: c.rlike("(?i)" + lines.words(o)), texts) for o in options]
+    assert column(lambda c: c.rlike("(?i)" + lines.any_of(options)), texts) == [None if row[0] is None else any(row) for row in zip(*each)]
