@@ -243,3 +243,15 @@ def test_alike_names_meet_in_a_bounded_grid(spark, monkeypatch):
     assert got == {q: (candidates[s.index(max(s))], max(s)) for q, s in scores.items() if max(s) >= 88}
     rows = [(r.query, r.candidate) for r in bm.all_matches(asked, offered, "ratio", 80.0).collect()]
     assert sorted(rows) == sorted((q, c) for q in queries for c in candidates if similarity.ratio(q, c) >= 80)
+
+
+def test_searches_are_sent_after_a_measure_was_used(spark):
+    """A UDF that was used holds a handle of the JVM, which no task may take along."""
+    rows = spark.createDataFrame([("balran zarton", "dorbet wenton")], "a string, b string")
+    for measure in (similarity.ratio_udf, similarity.token_sort_udf, similarity.token_set_udf, similarity.name_similarity_udf):
+        rows.select(measure("a", "b")).collect()
+    for search, scorers in ((bm._bounded_search, ("ratio", "token_sort")), (bm._cell_search, ("token_sort", "name_similarity"))):
+        for scorer in scorers:
+            assert bm.cloudpickle.dumps(search(scorer, 80.0, False))
+    for scorer in ("ratio", "token_sort", "token_set"):
+        assert bm.cloudpickle.dumps(bm._keyed_search(scorer, 80.0, False))
