@@ -89,6 +89,36 @@ def test_purchase_rows(spark, seed):
     assert {r.id for r in export.exportable(invoices, lines, draft=True).collect()} == {1}
 
 
+def _plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+
+
+def test_lines_are_numbered_before_they_are_multiplied(spark, seed):
+    """Lines that repeat an id, alike or in another span or place; nothing is dealt out after the join that multiplies them."""
+    sheets, invoices, lines, projects, companies = seed
+    linked = accounting.linked_lines(invoices, lines, sheets, projects)
+    again = linked.filter("id = '1-1'")
+    moved = again.withColumns({"span_start": F.lit(None).cast("date"), "span_end": F.lit(None).cast("date")})
+    splits = accounting.span_projects(accounting.spans_of(linked.unionByName(moved)), sheets, companies, POLICY)
+    departments = spark.createDataFrame([("nobody", "DT500")], "contractor_name_normalized string, cost_center string")
+    for given in (linked, linked.unionByName(again), linked.unionByName(moved), linked.unionByName(again).unionByName(moved)):
+        rows = accounting.line_splits(given, accounting.ranked_splits(splits)).collect()
+        ids, expected = {}, []
+        for r in rows:
+            ids.setdefault(r.id, []).append(r)
+        of_invoice = {}
+        for own in ids.values():
+            own.sort(key=lambda r: (-(r.project_hours or -1), r.first_seen or ""))
+            of_invoice.setdefault(own[0].invoice_id, []).append((own[0].line_ord, own))
+        for invoice in of_invoice.values():
+            ordered = [r for _, own in sorted(invoice, key=lambda x: x[0]) for r in own]
+            expected += [(r.id, r.project_id, n) for n, r in enumerate(ordered, 1)]
+        coded = export.coded_lines(given, splits, companies, departments, POLICY)
+        assert sorted(map(str, ((r.id, r.project_id, r.line_number) for r in coded.collect()))) == sorted(map(str, expected))
+    last_join = next(line for line in _plan_of(export.coded_lines(linked, splits, companies, departments, POLICY)) if "Join" in line)
+    assert "span_start" in last_join and "project_hours" not in last_join
+
+
 def test_running_offset_is_exact_over_ranges(spark):
     """Sparse positions, and a group with most of all rows, which several ranges share."""
     rows = spark.range(3000).selectExpr("CASE WHEN id % 7 = 0 THEN id % 3 ELSE 9 END AS g", "id * 100000007 % 1000000000039 AS position", "id % 3 AS n")
