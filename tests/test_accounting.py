@@ -119,6 +119,29 @@ def test_lines_are_numbered_before_they_are_multiplied(spark, seed):
     assert "span_start" in last_join and "project_hours" not in last_join
 
 
+def test_purchase_rows_take_cells_and_files_from_their_lines(spark, seed):
+    """As joins of the multiplied rows would give them, for ids that several invoices have too; nothing is joined after the projects."""
+    sheets, invoices, lines, projects, companies = seed
+    routed = invoices.unionByName(invoices.filter("id = 1").withColumn("vendor_name", F.lit("Other"))).withColumn("supplier_number", F.lit("S-1")).withColumn("approver", F.lit(None).cast("string"))
+    names = spark.createDataFrame([(1, "a.csv"), (1, "b.csv"), (3, "c.csv")], "id long, file_name string")
+    departments = spark.createDataFrame([("balran zarton", "DT500")], "contractor_name_normalized string, cost_center string")
+
+    def rows(carried, *files):
+        linked = accounting.linked_lines(invoices, carried, sheets, projects)
+        splits = accounting.span_projects(accounting.spans_of(linked), sheets, companies, POLICY)
+        return export.purchase_rows(routed, export.coded_lines(linked, splits, companies, departments, POLICY), *files)
+
+    def listed(df):
+        return sorted(map(str, df.select(sorted(df.columns)).collect()))
+
+    joined = rows(lines)
+    assert listed(rows(export.with_invoice_cells(lines, routed))) == listed(joined)
+    named = rows(export.with_invoice_cells(lines, routed, names), names)
+    assert listed(named) == listed(joined.join(names.withColumnRenamed("id", "invoice_id"), "invoice_id"))
+    plan = [line for line in _plan_of(rows(export.with_invoice_cells(lines, routed)).filter("record = 3")) if "Join" in line]
+    assert "span_start" in plan[0]
+
+
 def test_running_offset_is_exact_over_ranges(spark):
     """Sparse positions, and a group with most of all rows, which several ranges share."""
     rows = spark.range(3000).selectExpr("CASE WHEN id % 7 = 0 THEN id % 3 ELSE 9 END AS g", "id * 100000007 % 1000000000039 AS position", "id % 3 AS n")
