@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import pytest
@@ -142,6 +143,30 @@ def test_purchase_rows_take_cells_and_files_from_their_lines(spark, seed):
     assert "span_start" in plan[0]
 
 
+def test_project_detail_moves_its_rows_once(spark, seed):
+    """Every invoice of a repeated id has its row, without vendor too; above the groups nothing is joined by the invoice alone."""
+    sheets, invoices, lines, projects, companies = seed
+    twice = invoices.unionByName(invoices.filter("id = 1").withColumn("vendor_name", F.lit(None).cast("string")))
+    linked = accounting.linked_lines(invoices, lines, sheets, projects)
+    spend = accounting.invoice_project_spend(linked, accounting.span_projects(accounting.spans_of(linked), sheets, companies, POLICY))
+    people = linked.filter("resolved is not null").select("invoice_id", *accounting.SPAN).distinct()
+    entries = sheets.withColumn("resolved", F.col("contractor_name_normalized"))
+    departments = spark.createDataFrame([("balran zarton", "DT500"), ("dorbet wenton", "DT400")], "contractor_name_normalized string, cost_center string")
+    lob = spark.createDataFrame([("PR1", "/group/a")], "project_id string, lob string")
+    detail = accounting.project_detail(twice, people, entries, spend, projects, companies, lob, departments, POLICY)
+    got = sorted(map(tuple, detail.select("invoice_id", "project_id", "capex_opex", "cost_center", F.coalesce("vendor", F.lit("-")), "lob", "spend").collect()))
+    assert got == [
+        (1, "PR1", "CAPEX", "CA", "-", "/group/a", 428.57), (1, "PR1", "CAPEX", "CA", "Acme", "/group/a", 428.57),
+        (1, "PR2", "OPEX", "DT400, DT500", "-", None, 1071.43), (1, "PR2", "OPEX", "DT400, DT500", "Acme", None, 1071.43),
+    ]
+    above = []
+    for line in _plan_of(detail):
+        if "Aggregate" in line:
+            break
+        above.append(line)
+    assert not [line for line in above if re.search(r"Join \[invoice_id#\d+L?\], ", line)]
+
+
 def test_running_offset_is_exact_over_ranges(spark):
     """Sparse positions, and a group with most of all rows, which several ranges share."""
     rows = spark.range(3000).selectExpr("CASE WHEN id % 7 = 0 THEN id % 3 ELSE 9 END AS g", "id * 100000007 % 1000000000039 AS position", "id % 3 AS n")
